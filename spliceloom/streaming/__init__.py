@@ -1,0 +1 @@
+"""The engine works on bounded inputs only; this package holds no operators."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from spliceloom.llm import urlrep
+from spliceloom.llm import licenses, mixing, secretscan, topk, urlrep
 
 
 def queries():
     return {
+        "op2_license_scans": licenses.op2_license_scans,
+        "op3_mixing": mixing.op3_mixing,
+        "op5_top_k_search": topk.op5_top_k_search,
         "op6_url_filters": urlrep.op6_url_filters,
+        "op10_secret_scans": secretscan.op10_secret_scans,
     }
 
 
 def oracle_sql():
-    return {"op6_url_filters": urlrep.OP6_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_top_k_search": topk.OP5_SQL, "op6_url_filters": urlrep.OP6_SQL}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spliceloom.llm import licenses, mixing, secretscan, topk, urlrep
+from spliceloom.llm import dac, licenses, mixing, packing, secretscan, topk, urlrep
 
 
 def queries():
     return {
         "op2_license_scans": licenses.op2_license_scans,
         "op3_mixing": mixing.op3_mixing,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_top_k_search": topk.op5_top_k_search,
         "op6_url_filters": urlrep.op6_url_filters,
+        "op9_token_files": dac.op9_token_files,
         "op10_secret_scans": secretscan.op10_secret_scans,
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spliceloom.llm import dac, licenses, mixing, packing, quality, secretscan, topk, urlrep
+from spliceloom.llm import dac, licenses, mixing, packing, quality, secretscan, simhash, topk, urlrep
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_top_k_search": topk.op5_top_k_search,
         "op6_url_filters": urlrep.op6_url_filters,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_simhash": simhash.op8_simhash,
         "op9_token_files": dac.op9_token_files,
         "op10_secret_scans": secretscan.op10_secret_scans,
     }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spliceloom.llm import dac, licenses, mixing, packing, quality, secretscan, simhash, topk, urlrep
+from spliceloom.llm import dac, licenses, mixing, packing, quality, secretscan, simhash, substring, topk, urlrep
 
 
 def queries():
     return {
+        "op1_suffix_dedup": substring.op1_suffix_dedup,
         "op2_license_scans": licenses.op2_license_scans,
         "op3_mixing": mixing.op3_mixing,
         "op4_best_fit_packing": packing.op4_best_fit_packing,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
-from spliceloom.llm.words import UnitStore, _sum_by, slices, split_spaces
+from spliceloom.llm.words import UnitStore, _sum_by, flat_lists, slices, split_spaces
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -89,7 +89,7 @@ class Vocabulary:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.store = UnitStore(lambda words: self.model.encode(words, num_threads=1))
+        self.store = UnitStore(lambda words: flat_lists(self.model.encode(words, num_threads=1)))
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
 
 

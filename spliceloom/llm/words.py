@@ -9,6 +9,7 @@ tokenizer over the whole text.
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -20,13 +21,16 @@ import pyarrow.compute as pc
 #: Units that a store holds at most before it starts anew.
 UNITS = 600_000
 #: Bytes of text that one step of array operations takes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
+#: New units that are encoded in one text, and what stands between them where spaces are dropped.
+JOINED, MARK = 500, "\x01"
 
 
 class UnitStore:
     """Distinct units and their ids in one flat array."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = UNITS):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = UNITS):
+        """``encode`` gives (ids of all units one after another, ids per unit)."""
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -36,36 +40,40 @@ class UnitStore:
         self.start = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, unit: str, ids) -> None:
-        k, n = len(self.index), len(ids)
-        if k + 2 > len(self.start):
+    def _add(self, units: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.index)
+        while k + len(units) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        while self.used + n > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.used += n
-        self.index[unit] = k
-        self.start[k + 1] = self.used
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k + 1 : k + 1 + len(units)] = self.used + np.cumsum(n)
+        self.used += len(ids)
+        self.index.update(zip(units, range(k, k + len(units)), strict=True))
 
     def rows(self, units: list[str]) -> np.ndarray:
         """Row numbers of the units, new ones encoded. Valid until the next call."""
         if len(self.index) > self.limit:
             self.clear()
         index = self.index
-        missing = [u for u in dict.fromkeys(units) if u not in index]
-        if missing:
+        out = np.array([index.get(u, -1) for u in units], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            missing = list(dict.fromkeys([units[i] for i in new]))
             # a last comma or stop behind a letter is a piece of its own
-            tails = [len(u) > 1 and u[-1] in ",." and (u[-2].isascii() or unicodedata.normalize("NFC", u[-2]).lower()[-1:].isalpha()) and u[-2].isalpha() for u in missing]
-            need = dict.fromkeys(u[:-1] if t else u for u, t in zip(missing, tails, strict=True))
-            need |= dict.fromkeys(u[-1] for u, t in zip(missing, tails, strict=True) if t)
+            tailed = [u for u in missing if u[-1:] in (",", ".") and u[-2:-1].isalpha() and (u[-2].isascii() or unicodedata.normalize("NFC", u[-2]).lower()[-1:].isalpha())]
+            apart = set(tailed)
+            need = dict.fromkeys(u for u in missing if u not in apart)
+            need |= dict.fromkeys(u[:-1] for u in tailed)
+            need |= dict.fromkeys(u[-1] for u in tailed)
             need = [u for u in need if u not in index]
-            for u, ids in zip(need, self.encode(need), strict=True):
-                self._add(u, ids)
-            for u, t in zip(missing, tails, strict=True):
-                if u not in index:
-                    a, b = index[u[:-1]], index[u[-1]]
-                    self._add(u, np.concatenate([self.flat[self.start[a] : self.start[a + 1]], self.flat[self.start[b] : self.start[b + 1]]]))
-        return np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+            self._add(need, *self.encode(need))
+            if tailed:
+                pairs = np.array([(index[u[:-1]], index[u[-1]]) for u in tailed], np.int64).ravel()
+                ids, n = self.gather(pairs)
+                self._add(tailed, ids, n[::2] + n[1::2])
+            out[new] = [index[units[i]] for i in new]
+        return out
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows one after another, ids per row)."""
@@ -99,6 +107,12 @@ def _sum_by(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def flat_lists(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, their lengths)."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(n.sum())), n
+
+
 class TextEncoder:
     """Ids of whole texts by a tokenizers file, exactly as its ``encode`` gives them."""
 
@@ -108,7 +122,55 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
-        self.store = UnitStore(lambda units: [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)])
+        if keeps_spaces:
+            vocabulary = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how a space is written
+        else:
+            self.mark = self._one_by_one([MARK])[0]
+        self.store = UnitStore(self._units)
+
+    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat_lists([e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)])
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, many in one text where the text shows again where units begin."""
+        if self.keeps_spaces:
+            # " word" with no other white space: its first token, and no other, opens with the space
+            joins = [len(u) > 1 and u[0] == " " and len(u.split()) == 1 and u[1:].isprintable() and u[1:].strip() == u[1:] and "<|" not in u for u in units]
+        else:
+            joins = [len(u) > 0 and u.isprintable() and "<|" not in u for u in units]
+        many = [u for u, j in zip(units, joins, strict=True) if j]
+        ids, n = [], []
+        for a in range(0, len(many), JOINED):
+            part = many[a : a + JOINED]
+            text = "".join(part) if self.keeps_spaces else f" {MARK} ".join(part)
+            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            if self.keeps_spaces:
+                size = np.diff(np.concatenate([np.flatnonzero(self.opens[got]), [len(got)]]))
+            else:
+                at = np.flatnonzero(got == self.mark)
+                size = np.diff(np.concatenate([[-1], at, [len(got)]])) - 1
+                got = np.delete(got, at)
+            if len(size) != len(part):
+                got, size = self._one_by_one(part)
+            ids.append(got)
+            n.append(size)
+        rest = [u for u, j in zip(units, joins, strict=True) if not j]
+        if rest:
+            got, size = self._one_by_one(rest)
+            ids.append(got)
+            n.append(size)
+        if not ids:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, n = np.concatenate(ids), np.concatenate(n)
+        if not rest or not many:
+            return ids, n
+        j = np.array(joins)
+        place = np.empty(len(units), np.int64)
+        place[j], place[~j] = np.arange(len(many)), np.arange(len(many), len(units))
+        begin, size = (np.cumsum(n) - n)[place], n[place]
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text)."""
@@ -119,6 +181,8 @@ class TextEncoder:
         odd = odd.to_numpy(zero_copy_only=False).astype(bool)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         if not self.keeps_spaces:
+            # the vocabulary lower-cases; a combining mark could compose with one case only
+            plain = pc.if_else(pc.match_substring_regex(plain, r"\p{M}"), plain, pc.ascii_lower(plain))
             for c in "\n\t\r\v\f":
                 plain = pc.replace_substring(plain, c, " ")
         codes, parts, n_parts = split_spaces(plain)

@@ -103,6 +103,16 @@ def mix(
     return clear.unionByName(close)
 
 
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **parameters) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies, none where it takes nothing.
+
+    Rows that share an id share the copies of one of them. Rows without an id or words are not taken.
+    """
+    taken = mix(docs, id_col=id_col, **parameters).filter("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("n_copies"))
+    copies = taken.select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("nth_copy"))
+    return docs.join(copies, F.col(id_col) == F.col("taken_id")).select(*(docs[c] for c in docs.columns))
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 

@@ -206,6 +206,22 @@ def quality_rules(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, SCHEMA)
 
 
+def quality_filter(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are, in one pass without a shuffle."""
+    names = docs.columns
+    text_at, lang_at = names.index(text_col), names.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(vocabulary_path)
+        for b in batches:
+            langs = b.column(lang_at).to_pylist()
+            for first, texts in slices(b.column(text_at)):
+                kept = measure(texts, langs[first : first + len(texts)], v)[6]
+                yield b.slice(first, len(texts)).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_rules(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     import public_tokenizers
 

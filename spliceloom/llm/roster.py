@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from spliceloom.llm import dac, licenses, mixing, packing, quality, secretscan, simhash, substring, topk, urlrep
 
 
@@ -17,6 +18,7 @@ def queries():
         "op8_simhash": simhash.op8_simhash,
         "op9_token_files": dac.op9_token_files,
         "op10_secret_scans": secretscan.op10_secret_scans,
+        "pipeline": corpus_pipeline.run,
     }
 
 

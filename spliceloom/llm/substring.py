@@ -43,11 +43,13 @@ SPAN = 50
 #: Bytes of an anchor.
 GRAM = 20
 #: Bytes of text that one step of array operations takes; at most 2**24.
-SLICE = 3 << 20
+SLICE = 1 << 20
+#: Documents of one batch of results.
+ROWS = 500
 #: Suffixes of one run-length index, about.
-INDEX = 200_000
+INDEX = 100_000
 #: Bytes of text for each bucket of anchors, about.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 NULL_ID = 2**63 - 1
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -61,18 +63,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of the GRAM bytes from each place, by doubling."""
     table = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base, have, length = 0x9E3779B97F4A7C15 | 1, {1: table[data]}, 1
-    while 2 * length <= GRAM:
-        h = have[length]
-        have[2 * length] = h[:-length] * np.uint64(pow(base, length, 1 << 64)) + h[length:]
+    base, h, length = 0x9E3779B97F4A7C15 | 1, table[data], 1
+    out, used = None, 0  # of the bits of GRAM so far, low to high
+    while True:
+        if GRAM & length:
+            if out is None:
+                out = h
+            else:
+                n = len(data) - used - length + 1
+                out = h[:n] * np.uint64(pow(base, used, 1 << 64)) + out[length : length + n]
+            used += length
+        if 2 * length > GRAM:
+            return _mix(out)
+        h = h[:-length] * np.uint64(pow(base, length, 1 << 64)) + h[length:]
         length *= 2
-    out, used = have[length], length
-    for part in sorted(have, reverse=True):
-        if used + part <= GRAM:
-            n = len(data) - used - part + 1
-            out = out[:n] * np.uint64(pow(base, part, 1 << 64)) + have[part][used : used + n]
-            used += part
-    return _mix(out)
 
 
 def anchors(data: np.ndarray, span: int) -> np.ndarray:
@@ -372,24 +376,23 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, scan_is_stable: bool = F
         row, start, end = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in ("row", "start", "end"))
         order = np.argsort(row, kind="stable")
         row, start, end = row[order], start[order], end[order]
+        fields = [*_ARROW, *([pa.field("kept", pa.binary())] if with_text else [])]
         at = 0
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
-            rows = np.searchsorted(row, np.arange(at, at + len(ids) + 1))
-            for i, text in enumerate(b.column(1)):
-                buf = text.as_buffer()
-                data = buf.to_pybytes() if buf is not None else b""
-                lo, hi = rows[i], rows[i + 1]
-                if lo == hi:
-                    out.append((ids[i], len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
-                    continue
-                a, z = union(start[lo:hi], end[lo:hi])
-                keep = b"".join(data[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(data)], strict=True))
-                out.append((ids[i], len(data), len(data) - len(keep), len(a), hashlib.sha256(keep).hexdigest(), keep))
-            at += len(ids)
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            fields = [*_ARROW, *([pa.field("kept", pa.binary())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=False)], schema=pa.schema(fields))
+            for first in range(0, len(b), ROWS):
+                part = b.slice(first, ROWS)
+                out, rows = [], np.searchsorted(row, np.arange(at, at + len(part) + 1))
+                for i, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                    buf = text.as_buffer()
+                    data = buf.to_pybytes() if buf is not None else b""
+                    lo, hi = rows[i], rows[i + 1]
+                    runs, kept = 0, data
+                    if lo < hi:
+                        a, z = union(start[lo:hi], end[lo:hi])
+                        runs, kept = len(a), b"".join(data[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(data)], strict=True))
+                    out.append((doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
     return docs.mapInArrow(cut_out, SCHEMA + (", kept binary" if with_text else ""))
 

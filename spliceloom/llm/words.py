@@ -137,7 +137,7 @@ class TextEncoder:
         """Ids of units, many in one text where the text shows again where units begin."""
         if self.keeps_spaces:
             # " word" with no other white space: its first token, and no other, opens with the space
-            joins = [len(u) > 1 and u[0] == " " and len(u.split()) == 1 and u[1:].isprintable() and u[1:].strip() == u[1:] and "<|" not in u for u in units]
+            joins = [len(u) > 1 and u[0] == " " and u.isprintable() and " " not in u[1:] and "<|" not in u for u in units]
         else:
             joins = [len(u) > 0 and u.isprintable() and "<|" not in u for u in units]
         many = [u for u, j in zip(units, joins, strict=True) if j]
@@ -174,27 +174,31 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text)."""
-        # special tokens; and, where spaces are kept, a space behind white space
+        # special tokens; and, where spaces are kept, white space behind white space
         odd = pc.match_substring(texts, "<|")
         if self.keeps_spaces:
-            odd = pc.or_(odd, pc.match_substring_regex(texts, r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\p{Z}][ ]"))
+            odd = pc.or_(odd, pc.match_substring_regex(texts, r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\p{Z}][\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\p{Z}]"))
         odd = odd.to_numpy(zero_copy_only=False).astype(bool)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        if not self.keeps_spaces:
-            # the vocabulary lower-cases; a combining mark could compose with one case only
-            plain = pc.if_else(pc.match_substring_regex(plain, r"\p{M}"), plain, pc.ascii_lower(plain))
-            for c in "\n\t\r\v\f":
-                plain = pc.replace_substring(plain, c, " ")
-        codes, parts, n_parts = split_spaces(plain)
         if self.keeps_spaces:
-            first = np.zeros(len(codes), bool)
-            first[np.cumsum(n_parts) - n_parts] = True
-            heads = codes[first]
-            used, at = np.unique(heads, return_inverse=True)
+            # a line end by itself is a piece; what follows it, or opens a text, has no space before it
+            codes, parts, n_parts = split_spaces(pc.replace_substring(plain, "\n", " \n "))
+            bare = np.zeros(len(codes) + 1, bool)
+            bare[np.cumsum(n_parts) - n_parts] = True
+            if "\n" in parts:
+                line = np.flatnonzero(codes == parts.index("\n"))
+                bare[line] = bare[line + 1] = True
+            bare = bare[:-1]
+            used, at = np.unique(codes[bare], return_inverse=True)
             rows = self.store.rows([" " + p for p in parts] + [parts[i] for i in used])
             of_part = rows[codes]
-            of_part[first] = rows[len(parts) :][at]
+            of_part[bare] = rows[len(parts) :][at]
         else:
+            # the vocabulary lower-cases; a combining mark could compose with one case only
+            plain = pc.if_else(pc.match_substring_regex(plain, r"\p{M}"), plain, pc.ascii_lower(plain))
+            for c in "\n\t\r\v\f":
+                plain = pc.replace_substring(plain, c, " ")
+            codes, parts, n_parts = split_spaces(plain)
             of_part = self.store.rows(parts)[codes]
         ids, n = self.store.gather(of_part)
         per_text = _sum_by(n_parts, n)

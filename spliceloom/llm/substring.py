@@ -112,7 +112,8 @@ def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int)
     new = np.concatenate([[True], (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)])
     first = at[new]
     count = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
-    return np.searchsorted(starts, first, "right") - 1, first, count, h[place[first]]
+    # the least hashes of windows are small numbers; mixed again they spread evenly over buckets
+    return np.searchsorted(starts, first, "right") - 1, first, count, _mix(h[place[first]] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]):

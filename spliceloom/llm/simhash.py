@@ -186,16 +186,21 @@ def meet(key: np.ndarray, who: np.ndarray, asks: np.ndarray, max_bits: int):
 
 
 def fingerprint_links(fps: DataFrame, n: int, *, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): links that keep the components of distinct fingerprints ``fp`` (n of them) at ``max_bits`` of 3 or less."""
+    """(a, b): links that keep the components of distinct fingerprints ``fp`` (n of them) at ``max_bits`` of 3 or less.
+
+    Where there is a column ``tag`` (0 to 15), fingerprints meet those of their own tag only.
+    """
+    fps = fps.select("fp", (F.col("tag") if "tag" in fps.columns else F.lit(0)).cast("int").alias("tag"))
     if max_bits > 3:
         raise ValueError("the keys find differences of 3 bits at most")
     buckets = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(x), 20_000):
-                key, who, asks = keys_of(x[at : at + 20_000])
+            all_fps, all_tags = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for tag, at in ((t, a) for t in np.unique(all_tags) for a in range(0, int((all_tags == t).sum()), 20_000)):
+                key, who, asks = keys_of(all_fps[all_tags == tag][at : at + 20_000])
+                key = key | np.uint32(int(tag) << 26)
                 to = (key * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(buckets)
                 order = np.argsort(to, kind="stable")
                 key, who, asks, to = key[order], who[order], asks[order], to[order]
@@ -220,7 +225,7 @@ def fingerprint_links(fps: DataFrame, n: int, *, max_bits: int = MAX_BITS) -> Da
                 a, b = links(s, q, np.zeros(len(q), np.int64), np.full(len(q), len(s)), max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    placed = fps.select("fp").mapInArrow(spread, "bucket int, keys binary, fps binary")
+    placed = fps.mapInArrow(spread, "bucket int, keys binary, fps binary")
     first = written(placed.groupBy("bucket").applyInPandas(found, "a long, b long, stored binary, asking binary"), "simhash-links")
     hot = first.filter("stored is not null").select("stored", "asking").repartition(buckets, F.xxhash64("stored", "asking"))
     return first.filter("stored is null").select("a", "b").unionByName(hot.mapInArrow(tiled, "a long, b long"))

@@ -34,6 +34,14 @@ class UnitStore:
         self.encode, self.limit = encode, limit
         self.clear()
 
+    _last: UnitStore | None = None
+
+    def activate(self) -> None:
+        """Empty the store that was used before this one: a process holds one full store at a time."""
+        if UnitStore._last is not None and UnitStore._last is not self:
+            UnitStore._last.clear()
+        UnitStore._last = self
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -53,6 +61,7 @@ class UnitStore:
 
     def rows(self, units: list[str]) -> np.ndarray:
         """Row numbers of the units, new ones encoded. Valid until the next call."""
+        self.activate()
         if len(self.index) > self.limit:
             self.clear()
         index = self.index

@@ -232,7 +232,7 @@ def test_op7(docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in res)
 
 
-def test_repeats_with_colliding_hashes(monkeypatch):
+def test_repeats_of_short_alphabets():
     texts = [[rng.randint(0, 3) for _ in range(rng.randint(0, 60))] for _ in range(40)]
     codes, counts = np.array([c for t in texts for c in t]), np.array([len(t) for t in texts])
     assert quality.repeated_words(codes, counts).tolist() == [quality._repeated_exact(t) for t in texts]
@@ -340,3 +340,31 @@ def test_pipeline(docs, spark):
     p = stages["best-fit packing"](spark, m, "")
     assert p.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
     assert p.filter("piece = 0").count() == m.count()
+
+
+def test_near_duplicate_groups(spark, empty, monkeypatch):
+    base = [prose(120).split() for _ in range(8)]
+    rows = []
+    for k, w in enumerate(base):
+        for c in range(6):
+            x = list(w)
+            for _ in range(c % 3):
+                x[rng.randrange(len(x))] = "new" + str(rng.randint(0, 9999))
+            rows.append((10 * k + c, " ".join(x)))
+    rows += [(900 + i, prose(100)) for i in range(20)] + [(950, None), (951, ""), (None, rows[0][1])]
+    from spliceloom.llm import neardup
+
+    sets = {i: set(neardup.shingles(t).tolist()) for i, t in rows if i is not None}
+    part = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    part[a] = part[b] = min(part[a], part[b])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1000, 3):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        res = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d).collect()}
+        assert res.keys() == part.keys() and all(part[i] == part[c] for i, c in res.items())
+        assert sum(res[i] == part[i] for i in part) >= 0.97 * len(part)
+    assert got(neardup.near_duplicate_groups(empty)) == []

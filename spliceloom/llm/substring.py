@@ -12,6 +12,8 @@ id. The work is dealt out by content, so that every index stays small and no tex
    whole stretch goes. Stretches that differ though they share an anchor are indexed: their
    run-compressed Burrows-Wheeler transform is built, matching statistics of all of them are
    streamed over it, and a window goes where a match of ``span`` bytes also belongs to a smaller id.
+   An anchor that very many slices have would fill a task; its stretches are cut into single
+   windows, which travel by a hash of their own bytes and meet only their equals.
 4. Each document gets its marks and removes the bytes.
 
 Steps 1, 2 and 4 read the same scan partitions, so a place is (partition, row, byte). Results of
@@ -50,6 +52,8 @@ ROWS = 500
 INDEX = 100_000
 #: Bytes of text for each bucket of anchors, about.
 BUCKET_BYTES = 8 << 20
+#: Slices with an anchor beyond which its stretches are cut into windows.
+HOT = 4096
 NULL_ID = 2**63 - 1
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -162,6 +166,17 @@ def _shared_list(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[new], several
 
 
+def _with_windows(data, owner, first, count, h, is_hot, span: int):
+    """The hot stretches as single windows, each with a hash of all its bytes, behind the others."""
+    n = count[is_hot]
+    start = np.repeat(first[is_hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    grams, own = gram_hashes(data), np.zeros(len(start), np.uint64)
+    for at in [*range(0, span - GRAM, GRAM), span - GRAM]:
+        own = _mix(own * np.uint64(0x9E3779B97F4A7C15) + grams[start + at])
+    cold = ~is_hot
+    return np.concatenate([owner[cold], np.repeat(owner[is_hot], n)]), np.concatenate([first[cold], start]), np.concatenate([count[cold], np.ones(len(start), np.int64)]), np.concatenate([h[cold], own])
+
+
 def _dump(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -267,7 +282,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def removed_spans(docs: DataFrame, *, span: int = SPAN, scan_is_stable: bool = False, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def removed_spans(docs: DataFrame, *, span: int = SPAN, scan_is_stable: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document, see SCHEMA; with ``with_text`` also the remaining bytes as ``kept``.
 
     ``docs`` is read three times by partition and row. Unless ``scan_is_stable`` says that it is
@@ -309,8 +324,9 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, scan_is_stable: bool = F
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["several"], sizes, strict=True)])
         _, same = np.unique(np.concatenate(lists), return_inverse=True)
         n = np.bincount(same, 1 + several)
-        shared = np.split(n[same] > 1, np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"part": pdf["part"], "slice": pdf["slice"], "bucket": pdf["bucket"], "bits": [np.packbits(x).tobytes() for x in shared]})
+        # two bits a hash: known elsewhere, and hot
+        told = np.split(np.stack([n > 1, n > hot], axis=1)[same], np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"part": pdf["part"], "slice": pdf["slice"], "bucket": pdf["bucket"], "bits": [np.packbits(x.ravel()).tobytes() for x in told]})
 
     asked = docs.mapInArrow(ask, "bucket int, part int, slice int, hashes binary, several binary")
     answers = Mailbox(asked.groupBy("bucket").applyInPandas(answer, "part int, slice int, bucket int, bits binary"), "part", ["slice", "bucket", "bits"])
@@ -324,14 +340,18 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, scan_is_stable: bool = F
                 continue
             uniq, at = np.unique(h, return_inverse=True)
             to = _bucket_of(uniq, buckets).astype(np.int32)
-            shared = np.zeros(len(uniq), bool)
+            told = np.zeros((len(uniq), 2), bool)
             edge = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(uniq)]])
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                shared[a:z] = np.unpackbits(np.frombuffer(bits[number, int(to[a])], np.uint8), count=z - a).astype(bool)
-            k = np.flatnonzero(shared[at])
+                told[a:z] = np.unpackbits(np.frombuffer(bits[number, int(to[a])], np.uint8), count=2 * (z - a)).reshape(-1, 2).astype(bool)
+            k = np.flatnonzero(told[at, 0])
             if not len(k):
                 continue
+            is_hot = told[at[k], 1]
             owner, first, count, h = owner[k], first[k], count[k], h[k]
+            if is_hot.any():
+                owner, first, count, h = _with_windows(data, owner, first, count, h, is_hot, span)
+                k = first
             length = count + span - 1
             padded = np.concatenate([data, np.full(width, END, np.uint8)])
             for a in range(0, len(k), 1 << 17):

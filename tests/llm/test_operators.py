@@ -71,6 +71,7 @@ def test_op1(docs, empty):
         kept = bytes(b for b, g in zip(t, gone) if not g)
         out.append((i, len(t), len(t) - len(kept), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
     assert got(substring.removed_spans(docs)) == want(out)
+    assert got(substring.removed_spans(docs, hot=1)) == want(out)
     assert got(substring.removed_spans(empty)) == []
 
 

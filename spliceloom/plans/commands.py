@@ -199,7 +199,7 @@ def valtable(spark: SparkSession, merged_path: str, inputs: Sequence[str], attri
     samples = {r.id: base_name(r.path) for r in sample.filter("id > 0 and path <> ''").collect()}  # one row an input
     rows = gtf.scan(spark, [merged_path]).filter("feature = 'transcript'")
     merged = rows.select(gtf.attribute(F.col("attrs"), "transcript_id").alias("merged_tx_id"), gtf.attribute(F.col("attrs"), "ISOM_SRC").alias("src"), "line_no")
-    found = [(min(i for i, n in samples.items() if n == base_name(p)), p) for p in inputs if base_name(p) in samples]
+    found = [(min(i for i, n in samples.items() if n == base_name(p)), p) for p in inputs if base_name(p) in samples.values()]
     pairs = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(found)], "source_file_id int, file_id int")
     src = gtf.scan(spark, [p for _, p in found]).filter("feature = 'transcript'").join(F.broadcast(pairs), "source_file_id")
     src = src.select("file_id", gtf.attribute(F.col("attrs"), "transcript_id").alias("src_tx_id"), gtf.attribute(F.col("attrs"), attribute).alias("value"), "line_no").filter("src_tx_id <> ''")

@@ -15,8 +15,10 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     c = F.split("value", "\t", 9)
     ok = (F.size(c) == 9) & c[3].try_cast("int").isNotNull() & c[4].try_cast("int").isNotNull() & c[6].isin("+", "-", ".")
-    checked = F.when(ok, c).otherwise(F.raise_error(F.concat(F.lit("bad GTF line: "), F.col("value"))).cast("array<string>"))
-    rows = lines(spark, paths).filter(~F.col("value").startswith("#")).withColumn("c", checked)
+    comment = F.col("value").startswith("#")
+    # the check excepts comments itself: filters on its columns may run before the one on comments
+    checked = F.when(comment, F.lit(None)).when(ok, c).otherwise(F.raise_error(F.concat(F.lit("bad GTF line: "), F.col("value"))).cast("array<string>"))
+    rows = lines(spark, paths).filter(~comment).withColumn("c", checked)
     return rows.select(
         "source_file_id", "line_no", F.col("c")[0].alias("chrom"), F.col("c")[2].alias("feature"), F.col("c")[3].cast("int").alias("start"), F.col("c")[4].cast("int").alias("end"),
         F.col("c")[6].alias("strand"), F.col("c")[8].alias("attrs"),

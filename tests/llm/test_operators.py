@@ -369,3 +369,34 @@ def test_near_duplicate_groups(spark, empty, monkeypatch):
         assert res.keys() == part.keys() and all(part[i] == part[c] for i, c in res.items())
         assert sum(res[i] == part[i] for i in part) >= 0.97 * len(part)
     assert got(neardup.near_duplicate_groups(empty)) == []
+
+
+def test_near_duplicates_by_appended_cut_and_replaced_text(spark, monkeypatch):
+    from spliceloom.llm import neardup
+
+    own = random.Random(23)
+    word = lambda: "".join(own.choice("abcdefghij") for _ in range(own.randint(2, 9)))
+    rows, expected = [], {}
+    shared = [word() for _ in range(12)]
+    for k in range(60):
+        n = own.choice((60, 150, 400))
+        w = [word() for _ in range(n - 12)] + shared
+        copies = [w, w + [word() for _ in range(n // 5)], w[: n - n // 6], w[: n // 2] + [word() for _ in range(n // 14)] + w[n // 2 + n // 14 :], w[n // 7 :]]
+        for c, x in enumerate(copies):
+            rows.append((10 * k + c, " ".join(x)))
+    sets = {i: set(neardup.shingles(t).tolist()) for i, t in rows}
+    for k in range(60):
+        ids = [10 * k + c for c in range(5)]
+        part = {i: i for i in ids}
+        for _ in ids:
+            for a in ids:
+                for b in ids:
+                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        part[a] = part[b] = min(part[a], part[b])
+        expected |= part
+    assert sum(i != c for i, c in expected.items()) > 150
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, counted in ((100, 20_000), (2, 0)):
+        monkeypatch.setattr(neardup, "HOT", hot, raising=False)
+        monkeypatch.setattr(neardup, "COUNT_ALL", counted, raising=False)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d).collect()} == expected

@@ -400,3 +400,20 @@ def test_near_duplicates_by_appended_cut_and_replaced_text(spark, monkeypatch):
         monkeypatch.setattr(neardup, "HOT", hot, raising=False)
         monkeypatch.setattr(neardup, "COUNT_ALL", counted, raising=False)
         assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d).collect()} == expected
+
+
+def test_bands_reject_stutter_and_random_letters():
+    own = random.Random(5)
+    v = quality.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    english = "the and from with this that their which there about would could these other into more some time people year work first water long little after words called where most know place years live back give years very".split()
+    letters = lambda: "".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(own.randint(3, 10)))
+    word = lambda: own.choice(english)
+    prose_like = [" ".join(word() for _ in range(n)) for n in (40, 150, 600)]
+    tables = ["\n".join(f"{word()}{word()} | {word()}{word()} | {word()}." for _ in range(n)) for n in (15, 60, 200)]
+    stutter = [" ".join(w for w in own.sample(english, n) for _ in range(own.randint(5, 8))) for n in (6, 8, 10, 12)]
+    random_letters = [" ".join(letters() for _ in range(n)) for n in (120, 300, 1000)]
+    for texts, keep in ((prose_like + tables, True), (stutter + random_letters, False)):
+        for lang in ("en", "de") if keep else ("en", "de", "es"):
+            out = quality.measure(quality.pa.array(texts), [lang] * len(texts), v)
+            assert not out[5].any() and out[6].tolist() == [keep] * len(texts), (lang, out[6:])
+    assert not quality.measure(quality.pa.array(stutter), [None] * 4, v)[6].any()

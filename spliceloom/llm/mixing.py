@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
@@ -62,17 +62,21 @@ def targets(sources: DataFrame, weights: Sequence[float], growth: float, max_rep
     return s.withColumn("level", level).withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("w"))).drop("level", "cap", "w")
 
 
-def mix(
+def _size(text_col: str) -> Column:
+    """Words of a text."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _mixed(
     docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, growth: float = GROWTH, max_repeat: float = MAX_REPEAT, damping: float = DAMPING,
     seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document.
+    """(doc_id, source, size, source_size, target, taken) of every document.
 
     The texts are read once; their sizes are written to the shared folder and all later passes
     read those few bytes a document.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size")), "mix-sizes")
     damped = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(1.0 - damping)))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.coalesce(F.sum(damped), F.lit(0.0)).alias("damped"))
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -94,7 +98,7 @@ def mix(
     # every source gets a row, so the join below is the same inner one
     cut = plan.select("k").join(cut.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")), "left").drop("k2")
     placed = _attach(ranked, cut, n)
-    out = ["doc_id", "size", "source_size", "target"]
+    out = ["doc_id", "source", "size", "source_size", "target"]
     extra = (F.col("q").isNotNull() & (F.col("cut_step").isNull() | (F.col("step") < F.col("cut_step")))).cast("long")
     clear = placed.filter("q is null or cut_step is null or step <> cut_step").select(*out, (F.col("size") * (F.col("whole") + extra)).alias("taken"))
     run = F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
@@ -103,14 +107,27 @@ def mix(
     return clear.unionByName(close)
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **parameters) -> DataFrame:
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document; parameters as of ``_mixed``."""
+    return _mixed(docs, **parameters).drop("source")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies, none where it takes nothing.
 
-    Rows that share an id share the copies of one of them. Rows without an id or words are not taken.
+    Rows that share an id share the copies of one of them. Rows without an id get the copies of
+    rows of their source and size, one row's each. Rows without words are not taken.
     """
-    taken = mix(docs, id_col=id_col, **parameters).filter("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("n_copies"))
-    copies = taken.select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("nth_copy"))
-    return docs.join(copies, F.col(id_col) == F.col("taken_id")).select(*(docs[c] for c in docs.columns))
+    taken = written(_mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, **parameters).filter("taken > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("n_copies")), "mix-taken")
+    copies = taken.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_copies").alias("n_copies")).select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("nth_copy"))
+    named = docs.join(copies, F.col(id_col) == F.col("taken_id")).select(*(docs[c] for c in docs.columns))
+    if taken.filter("doc_id is null").isEmpty():
+        return named
+    place = F.row_number().over(Window.partitionBy("source", "size").orderBy(F.lit(1)))
+    free = taken.filter("doc_id is null").select(F.col("source").alias("k"), F.col("size").alias("k_size"), place.alias("k_place"), "n_copies")
+    rows = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), _size(text_col).alias("size")).withColumn("place", place)
+    found = rows.join(free, F.col("source").eqNullSafe(F.col("k")) & (F.col("size") == F.col("k_size")) & (F.col("place") == F.col("k_place")))
+    return named.unionByName(found.withColumn("nth_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("row.*"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -417,3 +417,14 @@ def test_bands_reject_stutter_and_random_letters():
             out = quality.measure(quality.pa.array(texts), [lang] * len(texts), v)
             assert not out[5].any() and out[6].tolist() == [keep] * len(texts), (lang, out[6:])
     assert not quality.measure(quality.pa.array(stutter), [None] * 4, v)[6].any()
+
+
+def test_mixed_documents_take_rows_without_an_id(spark):
+    own = random.Random(9)
+    rows = [(None if i % 2 else i, " ".join(["word"] * own.randint(0, 30)), own.choice(["s1", "s2", None])) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = sum(r.taken for r in mixing.mix(d).collect())
+    out = mixing.mixed_documents(d).collect()
+    assert sum(len((r.text or "").split()) for r in out) == taken
+    by = {(r.source, len(r.text.split()), r.doc_id): 0 for r in out}
+    assert {s for s, _, i in by if i is None} == {"s1", "s2", None} and mixing.mixed_documents(d).columns == d.columns

@@ -1,11 +1,14 @@
 """A run-length index of many short strings, and matching statistics streamed over it.
 
-The Burrows-Wheeler transform of the strings is kept as runs: first row, character, and where a
-run's first row goes under the last-to-first mapping. Text positions are sampled at both ends of
-every run. Matching statistics read patterns from right to left, all patterns at once: while the
-character before the current row is the one asked for, the match grows by one step of the mapping;
-otherwise it moves to the nearest run of that character above or below, whichever keeps the longer
-match, measured at the sampled run ends.
+The Burrows-Wheeler transform of the strings is kept as runs: first row, symbol, where a run's
+first row goes under the last-to-first mapping, and the places of the text sampled at both ends of
+the run. The suffix order itself is dropped once the runs are known. Strings have colours: symbols
+of different colours differ, so one index serves many sets of strings that must not meet.
+
+Matching statistics read patterns from right to left, all patterns at once: while the symbol
+before the current row is the one asked for, the match grows by one step of the mapping; otherwise
+it moves to the nearest run of that symbol above or below, whichever keeps the longer match, measured
+in the text from the sampled run ends.
 """
 
 from __future__ import annotations
@@ -16,91 +19,144 @@ import numpy as np
 END = 0xFF
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), then those of first[1], ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def joined(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the strings one after another, an END behind each; start of each)."""
+    n = length + 1
+    start = np.cumsum(n) - n
+    text = np.full(int(n.sum()) + 8, END, np.uint8)  # room for a word at the last place
+    text[ranges(start, length)] = data[ranges(first, length)]
+    return text, start
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place, as little-endian numbers; a view."""
+    return np.ndarray(len(text) - 7, "<u8", np.ascontiguousarray(text), strides=(1,))
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Rank of each key among the distinct keys."""
+    order = np.argsort(key)
+    ordered = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+    return out
+
+
+def suffix_order(text: np.ndarray, stop: np.ndarray, longest: int) -> np.ndarray:
+    """Dense ranks of the suffixes of ``text``, each up to its own end ``stop``, by prefix doubling."""
+    n = len(stop)
+    at = np.arange(n)
+    left = stop - at  # symbols before the end
+    key = np.where(left > 0, text[:n].astype(np.int64) + 1, 0)
+    for width, bits in ((1, 9), (2, 18)):
+        further = np.where(left >= width, key[np.minimum(at + width, n - 1)], 0)
+        key = (key << bits) | further
+    further = np.where(left >= 4, key[np.minimum(at + 4, n - 1)], 0)
+    rank, width = _dense((key << 27) | (further >> 9)), 7
+    while width <= longest:
+        further = np.where(left >= width, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        rank = _dense(rank * (n + 1) + further)
+        width *= 2
+    return rank
+
+
 class RunIndex:
-    """Index of the rows of ``strings`` (uint8, padded with END) of the given lengths."""
-
-    def __init__(self, strings: np.ndarray, lengths: np.ndarray):
-        m, width = strings.shape
-        self.strings = np.full((m, 2 * width + 1), END, np.uint8)
-        self.strings[:, :width] = strings
-        self.lengths, self.width = lengths.astype(np.int64), width
-        n = self.lengths + 1
-        self.total = int(n.sum())
-        owner = np.repeat(np.arange(m), n)
-        at = np.arange(self.total) - np.repeat(np.cumsum(n) - n, n)
-        windows = np.lib.stride_tricks.sliding_window_view(self.strings, width + 1, axis=1)[owner, at]
-        keys = np.ascontiguousarray(windows).view(f"V{width + 1}").ravel()
-        order = np.argsort(keys, kind="stable")  # equal suffixes in the order of their strings
-        self.owner, self.at = owner[order], at[order]
-        self.sorted_keys = windows[order]
-        bwt = np.where(self.at > 0, self.strings[self.owner, self.at - 1], END)
+    """Index of the strings data[first : first + length], each of a colour."""
+
+    def __init__(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, colour: np.ndarray):
+        self.text, start = joined(data, first, length)
+        n = int((length + 1).sum())
+        self.total = n
+        self.stop = np.repeat(start + length, length + 1)
+        tint = np.repeat(colour.astype(np.int64), length + 1)
+        ended = np.arange(n) == self.stop
+        rank = suffix_order(self.text, self.stop, int(length.max(initial=0)))
+        # ends first, then by colour; equal suffixes in the order of their strings
+        order = np.argsort(np.where(ended, 0, tint + 1) * (n + 1) + rank, kind="stable")
+        symbol = (tint << 8) + self.text[:n] + 1
+        before = np.zeros(n, np.int64)
+        before[1:] = symbol[:-1]
+        before[start] = 0
+        bwt = before[order]
+        self.symbols, run_symbol = np.unique(bwt, return_inverse=True)
         self.first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.last = np.concatenate([self.first[1:], [self.total]]) - 1
-        self.char = bwt[self.first].astype(np.int64)
-        # rows before the runs of a character in first-column order, then runs of the same character
-        run_order = np.lexsort((self.first, self.char))
-        sizes = (self.last - self.first + 1)[run_order]
+        self.last = np.concatenate([self.first[1:], [n]]) - 1
+        self.symbol = run_symbol[self.first]
+        # rows before the runs of a symbol in first-column order, then runs of the same symbol
+        self.by_symbol = np.lexsort((self.first, self.symbol))
+        sizes = (self.last - self.first + 1)[self.by_symbol]
         self.target = np.empty(len(self.first), np.int64)
-        self.target[run_order] = np.cumsum(sizes) - sizes
-        # runs by (character, place), to find the nearest one of a character
-        self.by_char = run_order
-        self.char_place = self.char[run_order] * (self.total + 1) + self.first[run_order]
-        # samples at both ends of each run: string and offset of the suffix there
-        self.first_sample = np.stack([self.owner[self.first], self.at[self.first]])
-        self.last_sample = np.stack([self.owner[self.last], self.at[self.last]])
-
-    def classes(self, k: int) -> np.ndarray:
-        """For each row a number that rows share when their suffixes agree in k characters; shorter ones are alone."""
-        enough = self.lengths[self.owner] - self.at >= k
-        same = enough[1:] & enough[:-1] & (self.sorted_keys[1:, :k] == self.sorted_keys[:-1, :k]).all(axis=1)
-        return np.concatenate([[0], np.cumsum(~same)])
-
-    def _common(self, who: np.ndarray, offset: np.ndarray, pattern: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Common prefix of suffix (who, offset) with pattern rows from ``at``, at most ``most``."""
-        span = np.arange(int(most.max(initial=0)))
-        if not len(span):
-            return np.zeros(len(who), np.int64)
-        a = self.strings[who[:, None], np.minimum(offset[:, None] + span, self.strings.shape[1] - 1)]
-        b = pattern[np.arange(len(at))[:, None], np.minimum(at[:, None] + span, pattern.shape[1] - 1)]
-        inside = (span < most[:, None]) & (offset[:, None] + span < self.lengths[who][:, None])
-        differs = ~((a == b) & inside)
-        return np.where(differs.any(axis=1), differs.argmax(axis=1), len(span))
-
-    def matching_statistics(self, patterns: np.ndarray, lengths: np.ndarray):
-        """Yield (pattern numbers, place, row, length) from the last place to the first.
-
-        ``length`` is that of the longest prefix of pattern[place:] in any string, ``row`` one row
-        of the index that begins with it.
+        self.target[self.by_symbol] = np.cumsum(sizes) - sizes
+        # runs by (symbol, place), to find the nearest one of a symbol
+        self.place_key = self.symbol[self.by_symbol] * (n + 1) + self.first[self.by_symbol]
+        self.edge = np.searchsorted(self.symbol[self.by_symbol], np.arange(len(self.symbols) + 1))
+        self.first_sample, self.last_sample = order[self.first], order[self.last]
+
+    def _common(self, sample: np.ndarray, words: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Common prefix of the text from ``sample`` with the pattern from ``at``, at most ``most``."""
+        most = np.minimum(most, self.stop[sample] - sample)
+        out = most.copy()
+        own, live, done = _words(self.text), np.flatnonzero(most > 0), 0
+        while len(live):
+            differ = own[sample[live] + done] ^ words[at[live] + done]
+            low = differ & (~differ + np.uint64(1))
+            hit = differ != 0
+            # the lowest differing bit tells the first differing byte
+            out[live[hit]] = np.minimum(out[live[hit]], done + (np.bitwise_count(low[hit] - np.uint64(1)) >> 3))
+            done += 8
+            live = live[~hit]
+            live = live[most[live] > done]
+        return out
+
+    def matching_statistics(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, colour: np.ndarray):
+        """Yield (pattern numbers, place, length) from the last place of the patterns to the first.
+
+        ``length`` is that of the longest prefix of the pattern from the place on in any string of its colour.
         """
-        lengths = lengths.astype(np.int64)
-        n = len(patterns)
-        row, matched = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for step in range(1, int(lengths.max(initial=0)) + 1):
-            live = np.flatnonzero(lengths >= step)
-            place = lengths[live] - step
-            c = patterns[live, place].astype(np.int64)
+        text, start = joined(data, first, length)
+        words = _words(text)
+        asked = (np.repeat(colour.astype(np.int64), length + 1) << 8) + text[: int((length + 1).sum())] + 1
+        known = np.minimum(np.searchsorted(self.symbols, asked), len(self.symbols) - 1)
+        asked = np.where(self.symbols[known] == asked, known, -1)
+        row, matched = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        by_length = np.argsort(-length, kind="stable")
+        enough = np.cumsum(np.bincount(length[by_length], minlength=int(length.max(initial=0)) + 1)[::-1])[::-1]
+        for step in range(1, int(length.max(initial=0)) + 1):
+            live = by_length[: enough[step]]
+            place = length[live] - step
+            c = asked[start[live] + place]
             r, got = row[live], matched[live]
             run = np.searchsorted(self.first, r, "right") - 1
-            off = np.flatnonzero(self.char[run] != c)
-            lost = np.zeros(len(live), bool)
+            off = np.flatnonzero(self.symbol[run] != c)
             if len(off):
-                key = c[off] * (self.total + 1)
-                below = np.searchsorted(self.char_place, key + r[off])  # first run of the character below the row
-                lo, hi = np.searchsorted(self.char_place, key), np.searchsorted(self.char_place, key + self.total + 1)
-                best = np.full(len(off), -1, np.int64)
-                new_row, new_run = r[off].copy(), run[off].copy()
-                for ok, idx, sample, edge in ((below > lo, below - 1, self.last_sample, self.last), (below < hi, below, self.first_sample, self.first)):
-                    some = np.flatnonzero(ok)
+                none = c[off] < 0
+                lost = off[none]
+                off = off[~none]
+                key = c[off] * (self.total + 1) + r[off]
+                below = np.searchsorted(self.place_key, key)  # first run of the symbol below the row
+                best = np.zeros(len(off), np.int64)
+                new_run = np.where(below < self.edge[c[off] + 1], below, below - 1)
+                use_last = below >= self.edge[c[off] + 1]
+                for ok, idx, sample, is_last in ((below > self.edge[c[off]], below - 1, self.last_sample, True), (below < self.edge[c[off] + 1], below, self.first_sample, False)):
+                    some = np.flatnonzero(ok & (got[off] > 0))
                     if len(some):
-                        k = self.by_char[idx[some]]
-                        common = self._common(sample[0][k], sample[1][k], patterns[live[off[some]]], place[off[some]] + 1, got[off[some]])
-                        take = common > best[some]
-                        t = some[take]
-                        best[t], new_run[t], new_row[t] = common[take], k[take], edge[k[take]]
-                r[off], run[off] = new_row, new_run
-                got[off] = np.maximum(best, 0)
-                lost[off] = best < 0
-            r = np.where(lost, r, self.target[run] + r - self.first[run])
-            got = np.where(lost, 0, got + 1)
+                        k = self.by_symbol[idx[some]]
+                        common = self._common(sample[k], words, start[live[off[some]]] + place[off[some]] + 1, got[off[some]])
+                        take = some[common > best[some]]
+                        best[take] = common[common > best[some]]
+                        new_run[take], use_last[take] = idx[take], is_last
+                k = self.by_symbol[new_run]
+                run[off], r[off], got[off] = k, np.where(use_last, self.last[k], self.first[k]), best
+                if len(lost):
+                    got[lost] = -1
+                    run[lost] = 0
+                    r[lost] = self.first[0]
+            r = self.target[run] + r - self.first[run]
+            got = got + 1
             row[live], matched[live] = r, got
-            yield live, place, r, got
+            yield live, place, got

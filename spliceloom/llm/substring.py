@@ -5,19 +5,22 @@ id. The work is dealt out by content, so that every index stays small and no tex
 
 1. Every ``span``-byte window has an anchor, the least-hashed ``GRAM`` bytes in it. Equal windows
    have equal anchors at equal places. The hashes of all documents' anchors meet in buckets; each
-   place hears back, as one bit, whether another document has its anchor.
+   stretch of rows hears back which of its hashes several documents have.
 2. Windows that share an anchor form a stretch. Stretches whose anchor several documents have go
    to the bucket of their anchor, equal ones of a slice once, with the places where they stand.
 3. A bucket keeps the distinct stretches, each with the smallest id that holds it: elsewhere the
-   whole stretch goes. Stretches that differ though they share an anchor are indexed: their
-   run-compressed Burrows-Wheeler transform is built, matching statistics of all of them are
-   streamed over it, and a window goes where a match of ``span`` bytes also belongs to a smaller id.
+   whole stretch goes. Stretches that differ though they share an anchor are halved by id, again
+   and again: the half of smaller ids becomes a run-length index (run-compressed
+   Burrows-Wheeler transform with samples at run ends), the other half is streamed through it, and
+   where the matching statistics reach ``span`` the window goes.
    An anchor that very many slices have would fill a task; its stretches are cut into single
    windows, which travel by a hash of their own bytes and meet only their equals.
 4. Each document gets its marks and removes the bytes.
 
-Steps 1, 2 and 4 read the same scan partitions, so a place is (partition, row, byte). Results of
-the buckets return as small tables in the shared folder, one directory a partition.
+Steps 1, 2 and 4 read the same files. A place is (file, row of the file, byte), so the passes may
+cut the files into other partitions, as they do when executors come or go. Answers and marks
+return as small tables in the shared folder, a directory for each block of rows of a file, in the
+order of the rows, and tasks read along as they go through theirs.
 
 Defined results: null texts are empty. Texts shorter than ``span`` are kept. Rows with equal ids
 never remove each other's bytes; a null id is larger than any other and removes nothing from
@@ -27,7 +30,6 @@ other null ids. Other columns are ignored. Every input row gives one row.
 from __future__ import annotations
 
 import hashlib
-import io
 import uuid
 from collections.abc import Iterator
 
@@ -37,25 +39,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceloom.llm.runindex import END, RunIndex
+from spliceloom.llm.runindex import END, RunIndex, ranges
 from spliceloom.llm.textio import documents
 from spliceloom.session import shared_dir, written
 
 SPAN = 50
 #: Bytes of an anchor.
 GRAM = 20
-#: Bytes of text that one step of array operations takes; at most 2**24.
-SLICE = 1 << 20
+#: Bytes of text whose anchors are found in one step, at most 2**23, and of a slice, which sends one message to a bucket.
+PIECE, SLICE = 1 << 18, 4 << 20
 #: Documents of one batch of results.
 ROWS = 500
 #: Suffixes of one run-length index, about.
-INDEX = 100_000
+INDEX = 250_000
 #: Bytes of text for each bucket of anchors, about.
 BUCKET_BYTES = 8 << 20
 #: Slices with an anchor beyond which its stretches are cut into windows.
 HOT = 4096
+#: Rows of a file whose messages share a directory, and rows whose marks travel together; the latter divides the former.
+BLOCK, MARKED = 1 << 16, 256
 NULL_ID = 2**63 - 1
 PLACE = np.uint64((1 << 24) - 1)
+MARK = np.dtype([("row", "<u2"), ("n", "<u2"), ("start", "<u4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -83,8 +88,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         length *= 2
 
 
-def anchors(data: np.ndarray, span: int) -> np.ndarray:
-    """For each window start: place of the leftmost least hash within the window."""
+def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(for each window start: place of the leftmost least hash within the window, all hashes)."""
     h = gram_hashes(data)
     key = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
     w, length, m = span - GRAM + 1, 1, key
@@ -120,56 +125,88 @@ def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int)
     return np.searchsorted(starts, first, "right") - 1, first, count, _mix(h[place[first]] * np.uint64(0x9E3779B97F4A7C15))
 
 
+def stretches_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int):
+    """``stretches`` in steps of about PIECE bytes; a longer document is cut, its pieces overlap by span - 1 bytes."""
+    out = [stretches(data[:0], starts[:0], ends[:0], span)]
+    d = 0
+    while d < len(starts):
+        a = int(starts[d])
+        z = max(d + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        if ends[d] - a > 2 * PIECE:
+            z, end = d + 1, int(ends[d])
+            for x in range(a, max(a + 1, end - span + 1), PIECE):
+                y = min(end, x + PIECE + span - 1)
+                _, first, count, h = stretches(data[x:y], np.array([0]), np.array([y - x]), span)
+                out.append((np.full(len(first), d), first + x, count, h))
+        else:
+            owner, first, count, h = stretches(data[a : ends[z - 1]], starts[d:z] - a, ends[d:z] - a, span)
+            out.append((owner + d, first + a, count, h))
+        d = z
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]):
-    """(number, ids, first row, bytes, starts, ends) of the slices of a partition, always the same."""
-    number = row = 0
+    """(file, rows, ids, bytes, starts, ends) of stretches of rows of one block of a file, SLICE bytes or one row each.
+
+    Columns: file, row, id, text.
+    """
     for b in batches:
-        ids = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
-        text = b.column(1).cast(pa.large_binary()).fill_null(b"")
+        files, rows = (b.column(i).to_numpy() for i in (0, 1))
+        ids = b.column(2).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        text = b.column(3).cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-        a = 0
-        while a < len(text):
-            z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
-            cut = offsets[a : z + 1] - offsets[a]
-            yield number, ids[a:z], row + a, data[offsets[a] : offsets[z]], cut[:-1], cut[1:]
-            number += 1
-            a = z
-        row += len(text)
-
-
-def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int):
-    """``stretches`` in parts that fit the 24-bit places; a longer document overlaps by span - 1 bytes."""
-    if len(data) <= SLICE * 2:
-        return stretches(data, starts, ends, span)
-    out = []
-    for d, (a, z) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        for x in range(a, max(a + 1, z - span + 1), SLICE):
-            y = min(z, x + SLICE + span - 1)
-            _, first, count, h = stretches(data[x:y], np.array([0]), np.array([y - x]), span)
-            out.append((np.full(len(first), d), first + x, count, h))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        fresh = np.flatnonzero((files[1:] != files[:-1]) | (rows[1:] // BLOCK != rows[:-1] // BLOCK) | (rows[1:] < rows[:-1])) + 1
+        for x, y in zip([0, *fresh.tolist()], [*fresh.tolist(), len(text)], strict=True):
+            a = x
+            while a < y:
+                z = min(y, max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1))
+                cut = offsets[a : z + 1] - offsets[a]
+                yield int(files[a]), rows[a:z], ids[a:z], data[offsets[a] : offsets[z]], cut[:-1], cut[1:]
+                a = z
+
+
+def _box(file: int, row: int) -> str:
+    """Directory of the messages to a block of rows."""
+    return f"{file}-{row // BLOCK}"
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(new: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of a sequence, by whether each element but the first begins one."""
+    cut = (np.flatnonzero(new) + 1).tolist()
+    return list(zip([0, *cut], [*cut, len(new) + 1], strict=True))
 
 
 def _shared_list(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashes, whether several documents have them)."""
-    order = np.lexsort((owner, h))
+    order = np.argsort(h)
     h, owner = h[order], owner[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    group = np.cumsum(new) - 1
-    several = np.zeros(int(group[-1]) + 1 if len(h) else 0, bool)
-    several[group[1:][~new[1:] & (owner[1:] != owner[:-1])]] = True
-    return h[new], several
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
+
+
+def _distinct(strings: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each distinct string, its number for each row); rows of equal strings have equal hints."""
+    width = strings.shape[1]
+    padded = np.zeros((len(strings), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = strings
+    own = hint.copy()
+    for word in padded.view("<u8").T:
+        own = _mix(own * np.uint64(0x9E3779B97F4A7C15) + word)
+    _, first, same = np.unique(own, return_index=True, return_inverse=True)
+    if not (strings[first[same]] == strings).all():  # two strings share a hash: compare the strings themselves
+        _, first, same = np.unique(np.ascontiguousarray(strings).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
+    return first, same
 
 
 def _with_windows(data, owner, first, count, h, is_hot, span: int):
     """The hot stretches as single windows, each with a hash of all its bytes, behind the others."""
     n = count[is_hot]
-    start = np.repeat(first[is_hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    start = ranges(first[is_hot], n)
     grams, own = gram_hashes(data), np.zeros(len(start), np.uint64)
     for at in [*range(0, span - GRAM, GRAM), span - GRAM]:
         own = _mix(own * np.uint64(0x9E3779B97F4A7C15) + grams[start + at])
@@ -177,96 +214,139 @@ def _with_windows(data, owner, first, count, h, is_hot, span: int):
     return np.concatenate([owner[cold], np.repeat(owner[is_hot], n)]), np.concatenate([first[cold], start]), np.concatenate([count[cold], np.ones(len(start), np.int64)]), np.concatenate([h[cold], own])
 
 
-def _dump(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def _load(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(data)) as z:
-        return {k: z[k] for k in z.files}
+class Letters:
+    """Messages to rows of files: (file, lo, hi, ...) tables in the shared folder, in the order of ``lo``."""
 
-
-class Mailbox:
-    """A small table in the shared folder, one directory a scan partition; tasks read their own."""
-
-    def __init__(self, df: DataFrame, part: str, columns: list[str]):
-        """``df``: rows for partition ``part``. Rows of one partition are few and small."""
+    def __init__(self, df: DataFrame, columns: list[str]):
+        """``df``: file, lo, hi and ``columns``; lo and hi, the first and last row meant, lie in one block."""
         spark = df.sparkSession
         self.uri = f"{shared_dir(spark)}/spliceloom/mail-{uuid.uuid4().hex}"
-        self.columns = columns
+        self.columns = ["lo", "hi", *columns]
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.select(F.col(part).alias("part"), *columns).repartition(n, "part").write.partitionBy("part").parquet(self.uri)
+        box = F.concat_ws("-", F.col("file").cast("string"), F.floor(F.col("lo") / BLOCK).cast("string"))
+        df.select(box.alias("box"), *self.columns).repartition(n, "box").sortWithinPartitions("box", "lo").write.partitionBy("box").parquet(self.uri)
 
-    def read(self, part: int) -> pa.Table:
+    def _letters(self, box: str) -> Iterator[tuple]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.uri)
-        found = store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
-        tables = [pq.ParquetFile(store.open_input_file(x.path)).read(columns=self.columns) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".parquet")]
-        return pa.concat_tables(tables) if tables else pa.table({c: [] for c in self.columns})
-
-
-def mark_stretches(strings: np.ndarray, lengths: np.ndarray, group: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window): windows of distinct strings that a string of a smaller ``least`` also holds.
-
-    Only strings of one ``group`` can share windows. Groups are indexed together while small.
+        found = store.get_file_info(fs.FileSelector(f"{root}/box={box}", allow_not_found=True))
+        for x in sorted((x.path for x in found if x.path.endswith(".parquet"))):
+            with store.open_input_file(x) as f:
+                for b in pq.ParquetFile(f).iter_batches(256, columns=self.columns):
+                    yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def reader(self):
+        """A function of (file, lo, hi) that gives the letters to any of those rows; quick while rows ascend."""
+        box, reached, stream, held, ahead = None, -1, iter(()), [], None
+
+        def read(file: int, lo: int, hi: int) -> list[tuple]:
+            nonlocal box, reached, stream, held, ahead
+            if (want := _box(file, lo)) != box or lo < reached:
+                box, stream, held, ahead = want, self._letters(want), [], None
+                ahead = next(stream, None)
+            reached = lo
+            held = [x for x in held if x[1] >= lo]
+            while ahead is not None and ahead[0] <= hi:
+                if ahead[1] >= lo:
+                    held.append(ahead)
+                ahead = next(stream, None)
+            return [x for x in held if x[0] <= hi]
+
+        return read
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = np.frombuffer(data, "<u4", len(kinds)).tolist(), 4 * len(kinds), []
+    for k, kind in zip(n, kinds, strict=True):
+        out.append(np.frombuffer(data, kind, k, at))
+        at += out[-1].nbytes
+    return out
+
+
+def mark_stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, group: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window): windows of the distinct strings data[first : first + length] that a string of their group with a smaller ``least`` holds.
+
+    The ids of a group are ranked. At level k, blocks of 2**(k + 1) ranks are halved: the lower half is
+    indexed, the upper half streamed. Any two ids part at one level, so every window meets all smaller
+    ids. A string of which nothing is left is out of all further levels.
     """
-    order = np.argsort(group, kind="stable")
-    _, at, n = np.unique(group[order], return_index=True, return_counts=True)
-    keep = n > 1
-    out_s, out_w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    held: list[np.ndarray] = []
-    size = 0
-    todo = [order[a : a + k] for a, k in zip(at[keep].tolist(), n[keep].tolist(), strict=True)]
-    for i, g in enumerate(todo):
-        held.append(g)
-        size += int(lengths[g].sum()) + len(g)
-        if size < INDEX and i + 1 < len(todo):
-            continue
-        who = np.concatenate(held)
-        held, size = [], 0
-        index = RunIndex(strings[who], lengths[who])
-        of_row = index.classes(span)
-        lowest = np.full(int(of_row[-1]) + 1, NULL_ID, np.int64)
-        np.minimum.at(lowest, of_row, least[who][index.owner])
-        for live, place, row, matched in index.matching_statistics(strings[who], lengths[who]):
-            hit = matched >= span
-            s = live[hit]
-            gone = lowest[of_row[row[hit]]] < least[who[s]]
-            out_s.append(who[s[gone]])
-            out_w.append(place[hit][gone])
-    return np.concatenate(out_s), np.concatenate(out_w)
-
-
-def _bucket_marks(rows: list[dict[str, np.ndarray]], parts: np.ndarray, span: int):
-    """Marks (partition, row, first window, windows) of a bucket's stretches."""
+    order = np.lexsort((least, group))
+    g, v = group[order], least[order]
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    steps = np.cumsum(new_group | np.concatenate([[True], v[1:] != v[:-1]]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = steps - steps[new_group][np.cumsum(new_group) - 1]
+    windows = length - span + 1
+    gone = np.zeros((len(length), int(windows.max(initial=1))), bool)
+    whole = np.zeros(len(length), bool)
+    _, group = np.unique(group, return_inverse=True)
+    top = np.zeros(int(group.max(initial=0)) + 1, np.int64)
+    np.maximum.at(top, group, rank)
+    live = np.flatnonzero(top[group] > 0)
+    level = 0
+    while len(live := live[(top[group[live]] >> level > 0) & ~whole[live]]):
+        upper = rank[live] >> level & 1 == 1
+        colour = group[live] * (int(top.max()) + 1) + (rank[live] >> (level + 1))
+        colour = np.searchsorted(np.unique(colour), colour)
+        sides = np.bincount(colour, minlength=int(colour.max()) + 1), np.bincount(colour[upper], minlength=int(colour.max()) + 1)
+        both = (sides[1] > 0) & (sides[0] > sides[1])
+        size = np.where(both, np.bincount(colour, length[live] + 1, len(both)), 0)
+        part = np.where(both, np.cumsum(size) // INDEX, -1)[colour]
+        for p in np.unique(part[part >= 0]).tolist():
+            here = part == p
+            low, high = live[here & ~upper], live[here & upper]
+            index = RunIndex(data, first[low], length[low], colour[here & ~upper])
+            for who, place, matched in index.matching_statistics(data, first[high], length[high], colour[here & upper]):
+                hit = matched >= span
+                gone[high[who[hit]], place[hit]] = True
+            whole[high] = gone[high].sum(axis=1) == windows[high]
+        level += 1
+    return np.nonzero(gone)
+
+
+#: Kinds of the arrays of a message of stretches: lengths, anchor hashes, bytes; string, document and start of each place; rows and ids of the documents.
+STRETCHES = ("<u2", "<u8", "u1", "<u4", "<u4", "<u4", "<i8", "<i8")
+
+
+def _bucket_marks(files: np.ndarray, messages: list[bytes], span: int):
+    """Marks (file, row, first window, windows) of a bucket's stretches."""
     width = 2 * span - GRAM
-    strings = np.concatenate([r["strings"] for r in rows])
-    lengths = np.concatenate([r["lengths"] for r in rows])
-    hashes = np.concatenate([r["hashes"] for r in rows])
-    base = np.cumsum([0, *[len(r["lengths"]) for r in rows]])
-    who = np.concatenate([r["who"] + b for r, b in zip(rows, base, strict=False)])
-    ids, row, start = (np.concatenate([r[k] for r in rows]) for k in ("ids", "row", "start"))
-    part = np.repeat(parts, [len(r["who"]) for r in rows])
-    _, first, same = np.unique(np.ascontiguousarray(strings).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
-    strings, lengths, hashes, who = strings[first], lengths[first], hashes[first], same[who]
-    least = np.full(len(first), NULL_ID, np.int64)
+    got = [unpacked(m, *STRETCHES) for m in messages]
+    length, hashes, data = (np.concatenate([r[i] for r in got]) for i in (0, 1, 2))
+    length = length.astype(np.int64)
+    base = np.cumsum([0, *[len(r[0]) for r in got]])
+    who = np.concatenate([r[3] + b for r, b in zip(got, base, strict=False)])
+    base = np.cumsum([0, *[len(r[6]) for r in got]])
+    doc = np.concatenate([r[4] + b for r, b in zip(got, base, strict=False)])
+    start, row, ids = (np.concatenate([r[i] for r in got]) for i in (5, 6, 7))
+    row, ids, file = row[doc], ids[doc], np.repeat(files, [len(r[6]) for r in got])[doc]
+    start = start.astype(np.int64)
+    first = np.cumsum(length) - length
+    strings = np.full((len(length), width), END, np.uint8)
+    strings[np.arange(width) < length[:, None]] = data
+    lead, same = _distinct(strings, hashes)
+    first, length, hashes, who = first[lead], length[lead], hashes[lead], same[who]
+    least = np.full(len(lead), NULL_ID, np.int64)
     np.minimum.at(least, who, ids)
-    _, group = np.unique(hashes, return_inverse=True)
-    s, w = mark_stretches(strings, lengths.astype(np.int64), group, least, span)
-    # whole stretches elsewhere, single windows at the smallest id, all windows where both hold
+    s, w = mark_stretches(data, first, length, hashes, least, span)
+    # whole stretches elsewhere, runs of windows at the smallest id
     late = ids > least[who]
-    out = [(part[late], row[late], start[late], lengths[who[late]].astype(np.int64) - span + 1)]
+    out = [(file[late], row[late], start[late], length[who[late]] - span + 1)]
     if len(s):
-        lead = np.flatnonzero(~late)
-        lead = lead[np.argsort(who[lead], kind="stable")]
-        lo, hi = np.searchsorted(who[lead], s, "left"), np.searchsorted(who[lead], s, "right")
-        n = hi - lo
-        o = lead[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        out.append((part[o], row[o], start[o] + np.repeat(w, n), np.ones(len(o), np.int64)))
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1] + 1)])
+        n = np.diff(np.concatenate([np.flatnonzero(new), [len(s)]]))
+        s, w = s[new], w[new]
+        own = np.flatnonzero(~late)
+        own = own[np.argsort(who[own], kind="stable")]
+        lo, hi = np.searchsorted(who[own], s, "left"), np.searchsorted(who[own], s, "right")
+        o = own[ranges(lo, hi - lo)]
+        out.append((file[o], row[o], start[o] + np.repeat(w, hi - lo), np.repeat(n, hi - lo)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -282,141 +362,144 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def removed_spans(docs: DataFrame, *, span: int = SPAN, scan_is_stable: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def removed_spans(docs: DataFrame, *, span: int = SPAN, is_scan: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document, see SCHEMA; with ``with_text`` also the remaining bytes as ``kept``.
 
-    ``docs`` is read three times by partition and row. Unless ``scan_is_stable`` says that it is
-    a plain file scan, ids and texts are first written to the shared folder.
+    ``docs`` is read three times by file and row. Unless ``is_scan`` says that it is a plain scan of
+    Parquet files, ids and texts are first written to the shared folder.
     """
     if span < GRAM + 1:
         raise ValueError(f"span must exceed {GRAM}")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    if not scan_is_stable:
-        docs = written(docs, "dedup-input")
+    if not is_scan or "_metadata" in docs.columns:
+        docs = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")), "dedup-input")
+        id_col, text_col = "id", "text"
+    docs = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     width = 2 * span - GRAM
 
-    def here() -> int:
-        from pyspark import TaskContext
-
-        return TaskContext.get().partitionId()
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, _, data, starts, ends in _slices(batches):
-            owner, _, _, h = _pieces(data, starts, ends, span)
+        for file, rows, _, data, starts, ends in _slices(batches):
+            owner, _, _, h = stretches_of(data, starts, ends, span)
             if not len(h):
                 continue
             h, several = _shared_list(owner, h)
-            to = _bucket_of(h, buckets).astype(np.int32)  # ascending, as the hashes are
-            cut = np.flatnonzero(np.diff(to)) + 1
+            to = _bucket_of(h, buckets)  # ascending, as the hashes are
+            runs = _runs(np.diff(to) != 0)
             low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to[np.concatenate([[0], cut])]), pa.array([here()] * (len(cut) + 1), pa.int32()), pa.array([number] * (len(cut) + 1), pa.int32()),
-                 pa.array([x.tobytes() for x in np.split(low, cut)]), pa.array([np.packbits(x).tobytes() for x in np.split(several, cut)])],
-                names=["bucket", "part", "slice", "hashes", "several"],
+                [pa.array([int(to[a]) for a, _ in runs]), *(pa.array([x] * len(runs), pa.int64()) for x in (file, int(rows[0]), int(rows[-1]))),
+                 pa.array([low[a:z].tobytes() for a, z in runs], pa.binary()), pa.array([np.packbits(several[a:z]).tobytes() for a, z in runs], pa.binary())],
+                names=["bucket", "file", "lo", "hi", "hashes", "several"],
             )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(x, np.uint32) for x in pdf["hashes"]]
         sizes = [len(x) for x in lists]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["several"], sizes, strict=True)])
-        _, same = np.unique(np.concatenate(lists), return_inverse=True)
-        n = np.bincount(same, 1 + several)
-        # two bits a hash: known elsewhere, and hot
-        told = np.split(np.stack([n > 1, n > hot], axis=1)[same], np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"part": pdf["part"], "slice": pdf["slice"], "bucket": pdf["bucket"], "bits": [np.packbits(x.ravel()).tobytes() for x in told]})
+        h = np.concatenate(lists)
+        _, same = np.unique(h, return_inverse=True)
+        n = np.bincount(same, 1 + several)[same]
+        cut = np.cumsum(sizes)[:-1]
+        told = [packed(x[k > 1], (k > hot)[k > 1]) for x, k in zip(np.split(h, cut), np.split(n, cut), strict=True)]
+        out = pd.DataFrame({"file": pdf["file"], "lo": pdf["lo"], "hi": pdf["hi"], "bucket": pdf["bucket"], "known": told})
+        return out[[bool((k > 1).any()) for k in np.split(n, cut)]]
 
-    asked = docs.mapInArrow(ask, "bucket int, part int, slice int, hashes binary, several binary")
-    answers = Mailbox(asked.groupBy("bucket").applyInPandas(answer, "part int, slice int, bucket int, bits binary"), "part", ["slice", "bucket", "bits"])
+    asked = docs.mapInArrow(ask, "bucket long, file long, lo long, hi long, hashes binary, several binary")
+    answers = Letters(asked.groupBy("bucket").applyInPandas(answer, "file long, lo long, hi long, bucket long, known binary"), ["bucket", "known"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = answers.read(here())
-        bits = dict(zip(zip(got["slice"].to_pylist(), got["bucket"].to_pylist(), strict=True), got["bits"].to_pylist(), strict=True))
-        for number, ids, row, data, starts, ends in _slices(batches):
-            owner, first, count, h = _pieces(data, starts, ends, span)
-            if not len(h):
+        read = answers.reader()
+        for file, rows, ids, data, starts, ends in _slices(batches):
+            letters = read(file, int(rows[0]), int(rows[-1]))
+            if not letters:
                 continue
-            uniq, at = np.unique(h, return_inverse=True)
-            to = _bucket_of(uniq, buckets).astype(np.int32)
-            told = np.zeros((len(uniq), 2), bool)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(uniq)]])
-            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                told[a:z] = np.unpackbits(np.frombuffer(bits[number, int(to[a])], np.uint8), count=2 * (z - a)).reshape(-1, 2).astype(bool)
-            k = np.flatnonzero(told[at, 0])
+            # which hashes several documents have is a fact about the hash: letters to other rows do no harm
+            known, is_hot = [], []
+            for _, _, bucket, told in letters:
+                low, warm = unpacked(told, "<u4", "?")
+                known.append((np.uint64(bucket) << np.uint64(32)) | low)
+                is_hot.append(warm)
+            known, at = np.unique(np.concatenate(known), return_index=True)
+            is_hot = np.concatenate(is_hot)[at]
+            owner, first, count, h = stretches_of(data, starts, ends, span)
+            key = (_bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            k = np.flatnonzero(known[at] == key)
             if not len(k):
                 continue
-            is_hot = told[at[k], 1]
+            is_hot = is_hot[at[k]]
             owner, first, count, h = owner[k], first[k], count[k], h[k]
             if is_hot.any():
                 owner, first, count, h = _with_windows(data, owner, first, count, h, is_hot, span)
-                k = first
             length = count + span - 1
-            padded = np.concatenate([data, np.full(width, END, np.uint8)])
-            for a in range(0, len(k), 1 << 17):
-                z = min(len(k), a + (1 << 17))
-                text = np.lib.stride_tricks.sliding_window_view(padded, width)[first[a:z]]
-                text[np.arange(width) >= length[a:z, None]] = END
-                _, lead, same = np.unique(np.ascontiguousarray(text).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
-                dest = _bucket_of(h[a:z], buckets).astype(np.int32)
-                order = np.argsort(dest, kind="stable")
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(dest[order])) + 1, [z - a]])
-                names, blobs = [], []
-                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    o = order[x:y]
-                    distinct, who = np.unique(same[o], return_inverse=True)
-                    d = lead[distinct]
-                    flat = text[d][np.arange(width) < length[a + d, None]]
-                    names.append(int(dest[o[0]]))
-                    blobs.append(_dump(flat=flat, lengths=length[a + d].astype(np.uint16), hashes=h[a + d], who=who.astype(np.uint32), ids=ids[owner[a + o]], row=(row + owner[a + o]).astype(np.int64), start=(first[a + o] - starts[owner[a + o]]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([here()] * len(names), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "part", "stretches"])
+            to = _bucket_of(h, buckets)
+            order = np.lexsort((h, to))
+            owner, first, length, h, to = owner[order], first[order], length[order], h[order], to[order]
+            # equal stretches once; a stretch whose anchor stands once in the slice has no equal
+            once = np.concatenate([[True], h[1:] != h[:-1]])
+            once &= np.concatenate([once[1:], [True]])
+            lead, again = np.flatnonzero(once), np.flatnonzero(~once)
+            same = np.empty(len(h), np.int64)
+            same[lead] = np.arange(len(lead))
+            if len(again):
+                window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.full(width, END, np.uint8)]), width)
+                text = window[first[again]]
+                text[np.arange(width) >= length[again, None]] = END
+                of, number = _distinct(text, h[again])
+                same[again] = len(lead) + number
+                lead = np.concatenate([lead, again[of]])
+            names, out = [], []
+            for a, z in _runs(np.diff(to) != 0):
+                distinct, who = np.unique(same[a:z], return_inverse=True)
+                d = lead[distinct]
+                docs_here, doc = np.unique(owner[a:z], return_inverse=True)
+                flat = data[ranges(first[d], length[d])]
+                names.append(int(to[a]))
+                out.append(packed(length[d].astype("<u2"), h[d], flat, who.astype("<u4"), doc.astype("<u4"), (first[a:z] - starts[owner[a:z]]).astype("<u4"), rows[docs_here], ids[docs_here]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([file] * len(names), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "file", "stretches"])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for x in pdf["stretches"]:
-            r = _load(x)
-            n = r["lengths"].astype(np.int64)
-            r["strings"] = np.full((len(n), width), END, np.uint8)
-            r["strings"][np.arange(width) < n[:, None]] = r.pop("flat")
-            rows.append(r)
-        part, row, start, n = _bucket_marks(rows, pdf["part"].to_numpy(), span)
-        order = np.lexsort((start, row, part))
-        part, row, start, n = part[order], row[order], start[order], n[order]
-        cut = np.flatnonzero(np.diff(part)) + 1
-        if not len(part):
-            return pd.DataFrame({"part": [], "marks": []}).astype({"part": "int32"})
-        marks = [_dump(row=a.astype(np.int64), start=b, end=b + c + span - 1) for a, b, c in zip(*(np.split(v, cut) for v in (row, start, n)), strict=True)]
-        return pd.DataFrame({"part": part[np.concatenate([[0], cut])].astype(np.int32), "marks": marks})
-
-    sent = docs.mapInArrow(send, "bucket int, part int, stretches binary")
-    marks = Mailbox(sent.groupBy("bucket").applyInPandas(mark, "part int, marks binary"), "part", ["marks"])
+        file, row, start, n = _bucket_marks(pdf["file"].to_numpy(), list(pdf["stretches"]), span)
+        order = np.lexsort((start, row, file))
+        file, row, start, n = file[order], row[order], start[order], n[order]
+        group = row // MARKED
+        marks = np.empty(len(row), MARK)
+        marks["row"], marks["n"], marks["start"] = row % MARKED, n, start
+        runs = _runs((np.diff(file) != 0) | (np.diff(group) != 0)) if len(row) else []
+        return pd.DataFrame({
+            "file": [file[a] for a, _ in runs], "lo": [group[a] * MARKED for a, _ in runs], "hi": [group[a] * MARKED + MARKED - 1 for a, _ in runs], "marks": [marks[a:z].tobytes() for a, z in runs],
+        }).astype({"file": "int64", "lo": "int64", "hi": "int64"})
+
+    sent = docs.mapInArrow(send, "bucket long, file long, stretches binary")
+    marks = Letters(sent.groupBy("bucket").applyInPandas(mark, "file long, lo long, hi long, marks binary"), ["marks"])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_load(x) for x in marks.read(here())["marks"].to_pylist()]
-        row, start, end = (np.concatenate([np.zeros(0, np.int64), *[g[k] for g in got]]) for k in ("row", "start", "end"))
-        order = np.argsort(row, kind="stable")
-        row, start, end = row[order], start[order], end[order]
+        read = marks.reader()
         fields = [*_ARROW, *([pa.field("kept", pa.binary())] if with_text else [])]
-        at = 0
-        for b in batches:
-            for first in range(0, len(b), ROWS):
-                part = b.slice(first, ROWS)
-                out, rows = [], np.searchsorted(row, np.arange(at, at + len(part) + 1))
-                for i, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
-                    buf = text.as_buffer()
-                    data = buf.to_pybytes() if buf is not None else b""
-                    lo, hi = rows[i], rows[i + 1]
-                    runs, kept = 0, data
+        for file, rows, ids, data, starts, ends in _slices(batches):
+            got = [(lo, np.frombuffer(m, MARK)) for lo, _, m in read(file, int(rows[0]), int(rows[-1]))]
+            row = np.concatenate([np.zeros(0, np.int64), *[m["row"] + lo for lo, m in got]])
+            start, n = (np.concatenate([np.zeros(0, np.int64), *[m[c].astype(np.int64) for _, m in got]]) for c in ("start", "n"))
+            order = np.argsort(row, kind="stable")
+            row, start, end = row[order], start[order], (start + n + span - 1)[order]
+            edge = np.searchsorted(row, np.concatenate([rows, rows[-1:] + 1]))
+            for x in range(0, len(rows), ROWS):
+                out = []
+                for i in range(x, min(len(rows), x + ROWS)):
+                    text = data[starts[i] : ends[i]].tobytes()
+                    lo, hi = edge[i], np.searchsorted(row, rows[i] + 1)
+                    runs, kept = 0, text
                     if lo < hi:
                         a, z = union(start[lo:hi], end[lo:hi])
-                        runs, kept = len(a), b"".join(data[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(data)], strict=True))
-                    out.append((doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-                at += len(part)
+                        runs, kept = len(a), b"".join(text[p:q] for p, q in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True))
+                    doc_id = None if ids[i] == NULL_ID else int(ids[i])
+                    out.append((doc_id, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
     return docs.mapInArrow(cut_out, SCHEMA + (", kept binary" if with_text else ""))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return removed_spans(documents(spark, sf_dir), scan_is_stable=True)
+    return removed_spans(documents(spark, sf_dir), is_scan=True)

@@ -55,10 +55,11 @@ def want(rows):
     return sorted(rows, key=str)
 
 
-def test_op1(docs, empty):
+def brute_removed(rows):
+    """Digests of (id, text) rows by the definition."""
     first = {}
     order = lambda i: substring.NULL_ID if i is None else i
-    data = [(r[0], (r[1] or "").encode()) for r in ROWS]
+    data = [(i, (t or "").encode()) for i, t in rows]
     for i, t in data:
         for p in range(len(t) - 49):
             first[t[p : p + 50]] = min(first.get(t[p : p + 50], 2**63), order(i))
@@ -68,29 +69,122 @@ def test_op1(docs, empty):
         for p in range(len(t) - 49):
             if first[t[p : p + 50]] < order(i):
                 gone[p : p + 50] = True
-        kept = bytes(b for b, g in zip(t, gone) if not g)
+        kept = np.frombuffer(t, np.uint8)[~gone[:-1]].tobytes()
         out.append((i, len(t), len(t) - len(kept), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
-    assert got(substring.removed_spans(docs)) == want(out)
-    assert got(substring.removed_spans(docs, hot=1)) == want(out)
+    return want(out)
+
+
+def test_op1(docs, empty):
+    out = brute_removed(r[:2] for r in ROWS)
+    assert got(substring.removed_spans(docs)) == out
+    assert got(substring.removed_spans(docs, hot=1)) == out
     assert got(substring.removed_spans(empty)) == []
 
 
-def test_run_index_statistics():
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 20))) for _ in range(12)]
-    patterns = [bytes(rng.choice(b"abz") for _ in range(rng.randint(1, 15))) for _ in range(12)]
+@pytest.fixture(scope="module")
+def edited(spark, tmp_path_factory):
+    """(rows, path): copies of passages with edits close together, over files of several row groups, and a very long text."""
+    own = random.Random(31)
+    letters = lambda n: "".join(own.choice("abcdefgh ") for _ in range(n))
+    base = [letters(own.randint(60, 200)) for _ in range(12)]
+    rows = []
+    for i in range(240):
+        t = list(letters(own.randint(0, 40)) + own.choice(base) + letters(own.randint(0, 40)) + own.choice(base))
+        for _ in range(own.randint(0, 3)):
+            t[own.randrange(len(t))] = own.choice("xyz")
+        rows.append((own.choice([i, i, i % 50, None]), "".join(t)))
+    long = letters(700_000)
+    rows += [(500, long), (501, long[300_000:]), (502, base[0] + long[262_100:262_200])]
+    path = str(tmp_path_factory.mktemp("edited") / "t.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("file", F.lit("z")).repartition(3).write.option("parquet.block.size", 4096).option("parquet.block.row.count.limit", 17).parquet(path)
+    return rows, path
+
+
+def test_op1_whatever_the_partitions_of_its_passes(spark, edited, monkeypatch):
+    rows, path = edited
+    out = brute_removed(rows)
+    layouts = [("128m", "1"), ("2k", "8"), ("700", "3"), ("9k", "1"), ("64k", "2")]
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism")
+    was = [spark.conf.get(k, None) for k in keys]
+    turn = iter(())
+
+    def relayout():
+        for k, v in zip(keys, next(turn), strict=True):
+            spark.conf.set(k, v)
+
+    init = substring.Letters.__init__
+    monkeypatch.setattr(substring.Letters, "__init__", lambda self, df, columns: (init(self, df, columns), relayout())[0])
+    try:
+        for x in range(len(layouts)):
+            turn = iter(layouts[x:] + layouts[:x])
+            relayout()
+            assert got(substring.removed_spans(spark.read.parquet(path), is_scan=True)) == out
+    finally:
+        for k, v in zip(keys, was, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _flat(strings):
+    n = np.array([len(s) for s in strings], np.int64)
+    return np.frombuffer(b"".join(strings), np.uint8), np.cumsum(n) - n, n
 
-    def packed(x):
-        a = np.full((len(x), 20), runindex.END, np.uint8)
-        for i, s in enumerate(x):
-            a[i, : len(s)] = list(s)
-        return a, np.array([len(s) for s in x])
 
-    index = runindex.RunIndex(*packed(strings))
+def test_run_index_statistics():
+    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 20))) for _ in range(30)]
+    patterns = [bytes(rng.choice(b"ab\0z") for _ in range(rng.randint(1, 15))) for _ in range(30)] + [s[3:] for s in strings if len(s) > 3]
+    of_string, of_pattern = (np.array([rng.randint(0, 3) for _ in x]) for x in (strings, patterns))
+    index = runindex.RunIndex(*_flat(strings), of_string)
     assert len(index.first) < index.total
-    for live, place, _, length in index.matching_statistics(*packed(patterns)):
+    seen = 0
+    for live, place, length in index.matching_statistics(*_flat(patterns), of_pattern):
         for i, p, n in zip(live, place, length):
-            q = patterns[i][p:]
-            assert n == max(k for k in range(len(q) + 1) if any(q[:k] in s for s in strings))
+            q, mine = patterns[i][p:], [s for s, c in zip(strings, of_string) if c == of_pattern[i]]
+            assert n == max(k for k in range(len(q) + 1) if k == 0 or any(q[:k] in s for s in mine))
+            seen += 1
+    assert seen == sum(map(len, patterns))
+
+
+def test_match_length_decides_which_windows_go(monkeypatch):
+    own = random.Random(8)
+    strings, group, least = [], [], []
+    for g in range(25):
+        base = bytes(own.choice(b"abcde") for _ in range(80))
+        for _ in range(own.randint(1, 12)):
+            x = bytearray(base[own.randint(0, 15) : 80 - own.randint(0, 15)])
+            for _ in range(own.randint(0, 2)):
+                x[own.randrange(len(x))] = own.choice(b"vwxyz")
+            if bytes(x) not in strings:
+                strings.append(bytes(x))
+                group.append(g)
+                least.append(own.randint(0, 6))
+    lengths = []
+    run = runindex.RunIndex.matching_statistics
+
+    def watched(self, *a):
+        for who, place, n in run(self, *a):
+            lengths.append(n)
+            yield who, place, n
+
+    monkeypatch.setattr(runindex.RunIndex, "matching_statistics", watched)
+    expected = {(i, p) for i, s in enumerate(strings) for p in range(len(s) - 49) if any(group[j] == group[i] and least[j] < least[i] and s[p : p + 50] in strings[j] for j in range(len(strings)))}
+    for size in (250_000, 300):
+        monkeypatch.setattr(substring, "INDEX", size)
+        s, w = substring.mark_stretches(*_flat(strings), np.array(group, np.uint64), np.array(least), 50)
+        assert set(zip(s.tolist(), w.tolist())) == expected
+    n = np.concatenate(lengths)
+    assert (n >= 50).any() and ((n > 20) & (n < 50)).any() and 0 < len(expected) < sum(len(s) - 49 for s in strings)
+
+
+def test_stretches_hold_every_window_once(monkeypatch):
+    own = random.Random(2)
+    texts = [bytes(own.choice(b"abc") for _ in range(n)) for n in (0, 49, 50, 51, 900, 10, 5000, 60)]
+    data, starts, n = _flat(texts)
+    for piece in (1 << 18, 400):
+        monkeypatch.setattr(substring, "PIECE", piece)
+        owner, first, count, _ = substring.stretches_of(data, starts, starts + n, 50)
+        assert (count <= 50 - substring.GRAM + 1).all()
+        places = sorted((o, p) for o, f, c in zip(owner.tolist(), first.tolist(), count.tolist()) for p in range(f, f + c))
+        assert places == [(i, int(starts[i]) + p) for i, t in enumerate(texts) for p in range(len(t) - 49)]
 
 
 def test_op2(docs, empty):

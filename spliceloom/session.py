@@ -31,10 +31,14 @@ def build(master: str | None = None, app: str = "spliceloom", **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, one machine), a local folder is set.
+    Where the session names none and runs in this process alone (tests, one machine), a local
+    folder is set; elsewhere executors would write to disks of their own, so that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"{master} needs spark.checkpoint.dir, a folder that driver and executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"spliceloom-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,18 +46,38 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This session's own folder inside the shared one."""
+    if not (name := spark.conf.get("spliceloom.session", None)):
+        name = uuid.uuid4().hex
+        spark.conf.set("spliceloom.session", name)
+    return f"{shared_dir(spark)}/spliceloom/{name}"
+
+
 def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spliceloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     w = df.write
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and no later plan reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
 
 
 def remove_written(spark: SparkSession) -> None:
-    """Delete every table that ``written`` left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spliceloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table that this session left in the shared folder."""
+    _delete(spark, work_dir(spark))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from collections.abc import Callable
+
 from spliceloom.llm import dac, licenses, mixing, packing, quality, secretscan, simhash, substring, topk, urlrep
 
 
-def queries():
+def queries(pipeline: Callable) -> dict[str, Callable]:
+    """The queries; ``pipeline`` is the run of all stages."""
     return {
         "op1_suffix_dedup": substring.op1_suffix_dedup,
         "op2_license_scans": licenses.op2_license_scans,
@@ -18,9 +20,11 @@ def queries():
         "op8_simhash": simhash.op8_simhash,
         "op9_token_files": dac.op9_token_files,
         "op10_secret_scans": secretscan.op10_secret_scans,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
-def oracle_sql():
-    return {"op3_mixing": mixing.OP3_SQL, "op5_top_k_search": topk.OP5_SQL, "op6_url_filters": urlrep.OP6_SQL}
+def oracle_sql(pipeline: str | None = None) -> dict[str, str]:
+    """SQL of the queries that SQL can express; ``pipeline`` is that of the run of all stages."""
+    out = {"op3_mixing": mixing.OP3_SQL, "op5_top_k_search": topk.OP5_SQL, "op6_url_filters": urlrep.OP6_SQL}
+    return out | ({"pipeline": pipeline} if pipeline else {})

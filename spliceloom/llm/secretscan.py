@@ -2,13 +2,21 @@
 
 Patterns: the three base kinds (assign, access, hex), leftmost and non-overlapping per kind.
 
-Lexing: source and configuration syntax is parsed into name-literal pairs: ``name = literal``,
-``name: literal``, ``name := literal``, ``name => literal``, ``"name": literal``, with quoted
-literals, bare configuration values and concatenations of quoted literals by ``+``. A name that
-was given a literal is a constant; where a later assignment's right side is such a name, the
-constant's literal is propagated to the new name. Literals are scored by the target names they
-reach (how sensitive their words are) and by their own form (length, alphabets mixed, character
-entropy); those that reach the threshold become spans of kind ``literal``.
+Lexing: lines with ``=`` or ``:`` are cut into tokens, and source and configuration syntax is parsed
+into name-literal pairs: ``name = literal``, ``name: literal``, ``:=``, ``=>``, ``"name": literal``,
+``cfg["name"] = literal``, ``name[] = literal``, with type annotations before or behind the name,
+attributes ``name="..." value="..."``, quoted, triple-quoted and bare literals, block scalars, a
+literal as the one argument of a call, and concatenations of literals and names. A name that was
+given a value is a constant; a name in a value stands for its latest assignment before, or else its
+first one after. Comments are scopes of their own: their literals count, but their names mean
+nothing to code. Quoted text that is no value is parsed in turn.
+
+A value's score is how sensitive the words of its target name are, times its own form (length,
+alphabets mixed, character entropy). Where it reaches the threshold, all literals that the value is
+made of, here or through constants, become spans of kind ``literal``.
+
+Work grows with the length of the text: every token is looked at once, values are kept as
+character counts, and reached constants are marked once.
 
 Defined results: null and empty texts have no spans. Offsets are code points, ends exclusive.
 Other columns are ignored; every input row gives one row, repeated ids included.
@@ -17,7 +25,9 @@ Other columns are ignored; every input row gives one row, repeated ids included.
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,11 +51,27 @@ SENSITIVE = {
 #: A literal's score is name weight times form weight.
 THRESHOLD = 0.5
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_NAME = re.compile(r"""["']?([A-Za-z_][A-Za-z0-9_.\-]*)(?:\[\s*["']([^"'\]\n]{1,80})["']\s*\])?["']?[\x20\t]*$""")
-_QUOTED = re.compile(r"""[\x20\t]*(?:[rbuf]{0,2})(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""", re.ASCII)
-_BARE = re.compile(r"[\x20\t]*([^\s\"'`,;(){}\[\]]+)")
-_PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*(?=[\"'`])")
-_OPERATOR = re.compile(r"=>|:=|[=:]")
+_SENSITIVE_WORD = re.compile("|".join(sorted(SENSITIVE)), re.IGNORECASE)
+#: Words that name the type of a variable, not the variable.
+TYPES = frozenset("any bool byte bytes bytestring char character const final let nvarchar object optional str string string_view text var val varchar".split())
+
+_STRING = r"""[rbufRBUFL@$]{0,2}(?:\"\"\"(?P<t1>(?:\\.|(?!\"\"\").)*)\"\"\"|\'\'\'(?P<t2>(?:\\.|(?!\'\'\').)*)\'\'\'|"(?P<q1>(?:\\.|[^"\\\n])*)"|'(?P<q2>(?:\\.|[^'\\\n])*)'|`(?P<q3>(?:\\.|[^`\\\n])*)`)"""
+_QUOTED = re.compile(_STRING, re.DOTALL)
+_TOKEN = re.compile(
+    rf"(?P<string>(?<![A-Za-z0-9_]){_STRING})|(?P<comment>(?:(?<=\s)|^)\#|(?<!:)//|/\*|<!--)|(?P<name>[A-Za-z_$][A-Za-z0-9_.$\-]*)|(?P<op>[=!]==?|<=|>=|=>|=~|:=|\?=|::|:/{{2}}|[=:])|(?P<mark>[\[\](){{}},;?*&])",
+    re.DOTALL | re.MULTILINE,
+)
+_ASSIGNS = ("=", ":", ":=", "=>", "?=")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+")
+_CALL = re.compile(r"[A-Za-z_$][\w.$]*\([\x20\t]*(?=[rbufRBUFL@$]{0,2}[\"'`])")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*")
+#: What joins a value to a further string, or to a further name.
+_NEXT_STRING = re.compile(r"[\x20\t]*(?:(?:\+|\.\.?)[\x20\t]*(?:\\?\r?\n[\x20\t]*)?|\\\r?\n[\x20\t]*)?(?=[rbufRBUFL@$]{0,2}[\"'`])")
+_NEXT_NAME = re.compile(r"[\x20\t]*\+[\x20\t]*(?:\\?\r?\n[\x20\t]*)?(?=[A-Za-z_$])")
+#: A type behind a colon, up to the sign that assigns.
+_ANNOTATION = re.compile(r"[\x20\t]*[A-Za-z_&*][\w.\[\],\x20|<>?*&:]*=(?![=>])")
+_BLOCK = re.compile(r"[\x20\t]*[|>][+\-]?[0-9]?[\x20\t]*(?:#[^\n]*)?\n")
+_INDENT = re.compile(r"[\x20\t]*(?:-[\x20\t]+)*")
 
 
 def name_weight(name: str) -> float:
@@ -55,54 +81,236 @@ def name_weight(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in parts) + sum(SENSITIVE.get(p, 0.0) for p in both if p == "apikey"))
 
 
-def form_weight(value: str) -> float:
-    """How much a literal looks like a key: 0 for words and short or spaced text, 1 for long mixed characters."""
-    n = len(value)
-    if n < 8 or any(c.isspace() for c in value):
+def form_weight(counts: Counter) -> float:
+    """How much a value of these characters looks like a key: 0 for words and short or spaced text, 1 for long mixed characters."""
+    n = sum(counts.values())
+    if n < 8 or any(c.isspace() for c in counts):
         return 0.0
-    kinds = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
+    kinds = any(c.islower() for c in counts) + any(c.isupper() for c in counts) + any(c.isdigit() for c in counts) + any(not c.isalnum() for c in counts)
     if kinds < 2:
         return 0.0
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    bits = -sum(k / n * math.log2(k / n) for k in counts.values())
     return min(1.0, n / 16) * min(1.0, bits / 3.0)
 
 
-def literals(text: str):
-    """(name, start, end, value) of the assigned literals, and (name, name) of assigned names, in text order."""
-    at = 0
-    while m := _OPERATOR.search(text, at):
-        op, at = m.start(), m.end()
-        if text[op - 1 : op] in ("=", "!", "<", ">", ":") or text[at : at + 1] == "=" or text[op : op + 3] == "://":
-            continue
-        name = _NAME.search(text[max(0, op - 120) : op].rpartition("\n")[2])
-        if not name:
-            continue
-        target = name[2] or name[1]
-        if q := _QUOTED.match(text, at):
-            parts = [(q.start(2), q.end(2), q[2])]
-            end = q.end()
-            while (p := _PLUS.match(text, end)) and (q := _QUOTED.match(text, p.end())):
-                parts.append((q.start(2), q.end(2), q[2]))
-                end = q.end()
-            yield target, parts[0][0], parts[-1][1], "".join(p[2] for p in parts), None
-            at = max(at, end)
-        elif b := _BARE.match(text, at):
-            yield target, b.start(1), b.end(1), b[1], b[1]
+@dataclass
+class Assignment:
+    """Target names and what they are given: literals (start, end, text) and names, in order; a bare word is both."""
+
+    scope: str
+    names: tuple[str, ...]
+    parts: list[tuple] = field(default_factory=list)
+
+
+def _content(m: re.Match) -> tuple[int, int, str]:
+    k = next(g for g in ("t1", "t2", "q1", "q2", "q3") if m[g] is not None)
+    return m.start(k), m.end(k), m[k]
+
+
+class Lexer:
+    """The assignments of a text, in order."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.found: list[Assignment] = []
+
+    def read(self, start: int, end: int, scope: str = "code") -> list[Assignment]:
+        text, at = self.text, start
+        sign = re.compile("[=:]")
+        while m := sign.search(text, at, end):
+            line = max(at, text.rfind("\n", start, m.start()) + 1)
+            at = self._line(line, end, scope)
+        return self.found
+
+    def _line(self, at: int, end: int, scope: str) -> int:
+        """Read the line from ``at``, and further ones that its literals reach; gives where the next begins."""
+        text, line = self.text, at
+        stop = text.find("\n", at, end)
+        stop = end if stop < 0 else stop
+        tokens: list[tuple] = []  # of the statement: (kind, text, match)
+        annotated, key, loose = None, None, []
+        while (m := _TOKEN.search(text, at, end)) and m.start() < stop:
+            kind, at = m.lastgroup if m.lastgroup in ("comment", "name", "op", "mark") else "string", m.end()
+            if at > stop:
+                stop = text.find("\n", at, end)
+                stop = end if stop < 0 else stop
+            if kind == "comment" and scope == "comment":
+                continue
+            if kind == "comment":
+                close = {"/*": "*/", "<!--": "-->"}.get(m[0])
+                until = stop if close is None else text.find(close, at, end)
+                until = end if until < 0 else until
+                self.read(at, until, "comment")
+                at = until
+                if at > stop:
+                    stop = text.find("\n", at, end)
+                    stop = end if stop < 0 else stop
+            elif kind == "mark" and m[0] in ",;({}":
+                tokens, annotated = [], None
+            elif kind == "op" and m[0] in _ASSIGNS:
+                names = tuple(dict.fromkeys(n for n in (annotated, self._target(tokens)) if n))
+                if m[0] == ":" and names and _ANNOTATION.match(text, at, stop):
+                    annotated = names[-1]
+                    tokens.append((kind, m[0], m))
+                    continue
+                if tokens and tokens[-1][0] == "string":
+                    loose = [x for x in loose if x is not tokens[-1][2]]
+                if names and (got := self._value(at, stop, end, line, m[0])):
+                    parts, at = got
+                    if names[-1] in ("name", "key", "id") and parts[0][0] == "literal":
+                        key = parts[0][3]
+                    elif names[-1] in ("value", "content") and key:
+                        names, key = (*names, key), None
+                    self.found.append(Assignment(scope, names, parts))
+                    if at > stop:
+                        stop = text.find("\n", at, end)
+                        stop = end if stop < 0 else stop
+                    tokens = []
+                annotated = None
+            else:
+                if kind == "string":
+                    loose.append(m)
+                tokens.append((kind, m[0], m))
+        for m in loose:
+            s, e, inner = _content(m)
+            if "=" in inner or ":" in inner:
+                self.read(s, e, scope)
+        return max(stop + 1, at)
+
+    @staticmethod
+    def _target(tokens: list[tuple]) -> str | None:
+        k = len(tokens) - 1
+        while k >= 0 and tokens[k][1] in ("?", "*", "&"):
+            k -= 1
+        if k >= 0 and tokens[k][1] == "]":
+            depth, j = 0, k
+            while j >= 0:
+                depth += {"]": 1, "[": -1}.get(tokens[j][1], 0)
+                if depth == 0:
+                    break
+                j -= 1
+            inside = tokens[j + 1 : k]
+            if len(inside) == 1 and inside[0][0] == "string":
+                return _content(inside[0][2])[2]
+            if len(inside) == 1 and inside[0][0] == "name" and inside[0][1].lower() not in TYPES:
+                return inside[0][1]
+            k = j - 1
+        if k < 0:
+            return None
+        kind, word, m = tokens[k]
+        if kind == "string":
+            return _content(m)[2]
+        if kind != "name":
+            return None
+        if word.lower() in TYPES and k and tokens[k - 1][0] == "name":
+            return tokens[k - 1][1]
+        return word
+
+    def _value(self, at: int, stop: int, end: int, line: int, op: str) -> tuple[list[tuple], int] | None:
+        text = self.text
+        if op == ":" and (m := _BLOCK.match(text, at, end)):
+            return self._block(m.end(), end, _INDENT.match(text, line).end() - line)
+        while at < stop and text[at] in "\x20\t":
+            at += 1
+        parts: list[tuple] = []
+
+        def literal(s: int, e: int, value: str) -> None:
+            if parts and parts[-1][0] == "literal":  # a run of literals is one span
+                s, value = parts[-1][1], parts.pop()[3] + value
+            parts.append(("literal", s, e, value))
+
+        while True:
+            if m := _QUOTED.match(text, at, end):
+                literal(*_content(m))
+                at = m.end()
+            elif (m := _CALL.match(text, at, end)) and (q := _QUOTED.match(text, m.end(), end)):
+                literal(*_content(q))
+                at = q.end()
+                while at < end and text[at] in "\x20\t)":
+                    at += 1
+            elif parts or ((m := _IDENTIFIER.match(text, at, stop)) and _NEXT_NAME.match(text, m.end(), end)) or (m and _NEXT_STRING.match(text, m.end(), end) and "+" in _NEXT_STRING.match(text, m.end(), end)[0]):
+                if not (m := _IDENTIFIER.match(text, at, end)):
+                    break
+                parts.append(("name", m.start(), m.end(), m[0]))
+                at = m.end()
+            elif m := _BARE.match(text, at, stop):
+                return [("bare", m.start(), m.end(), m[0])], m.end()
+            else:
+                break
+            if not (n := _NEXT_STRING.match(text, at, end) or _NEXT_NAME.match(text, at, end)):
+                break
+            at = n.end()
+        return (parts, at) if parts else None
+
+    def _block(self, at: int, end: int, indent: int) -> tuple[list[tuple], int] | None:
+        """The lines of a block scalar: those indented further than its key."""
+        text, first, last, lines = self.text, None, at, []
+        while at < end:
+            stop = text.find("\n", at, end)
+            stop = end if stop < 0 else stop
+            row = text[at:stop]
+            inner = row.strip()
+            if inner and len(row) - len(row.lstrip("\x20\t")) <= indent:
+                break
+            if inner:
+                begin = at + row.index(inner)
+                first, last = begin if first is None else first, begin + len(inner)
+                lines.append(inner)
+            at = stop + 1
+        return ([("literal", first, last, "".join(lines))], at - 1) if lines else None
 
 
 def lexed(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Spans of the literals whose best target name and form reach the threshold."""
-    if "=" not in text and ":" not in text:
+    """Spans of the literals whose values reach the threshold under a target name."""
+    if ("=" not in text and ":" not in text) or not _SENSITIVE_WORD.search(text):
         return []
-    constants: dict[str, tuple[int, int, str]] = {}
-    reached: dict[tuple[int, int, str], float] = {}
-    for name, start, end, value, bare in literals(text):
-        known = constants.get(bare) if bare else None
-        got = known or (start, end, value)
-        constants[name] = got
-        if (w := name_weight(name)) > reached.get(got, 0.0):
-            reached[got] = w
-    return sorted({(s, e) for (s, e, v), w in reached.items() if w * form_weight(v) >= threshold})
+    found = Lexer(text).read(0, len(text))
+    places: dict[tuple[str, str], list[int]] = {}
+    for i, x in enumerate(found):
+        for n in x.names:
+            places.setdefault((x.scope, n), []).append(i)
+
+    def meant(i: int, name: str) -> int | None:
+        at = places.get((found[i].scope, name), ())
+        k = bisect_left(at, i) - 1
+        return at[k] if k >= 0 else next(iter(at[bisect_right(at, i) :]), None)
+
+    refs = [[meant(i, p[3]) if p[0] != "literal" else None for p in x.parts] for i, x in enumerate(found)]
+    counts: list[Counter | None] = [None] * len(found)
+    open_now = set()
+    for root in range(len(found)):
+        todo = [root]
+        while todo:
+            i = todo[-1]
+            if counts[i] is not None:
+                todo.pop()
+                continue
+            need = [] if i in open_now else [r for r in refs[i] if r is not None and counts[r] is None and r not in open_now]
+            if need:
+                open_now.add(i)
+                todo += need
+                continue
+            total = Counter()
+            for p, r in zip(found[i].parts, refs[i], strict=True):
+                if r is not None:  # a value that waits for itself adds nothing
+                    total.update(counts[r] or {})
+                elif p[0] != "name":
+                    total.update(p[3])
+            counts[i] = total
+            open_now.discard(i)
+            todo.pop()
+    todo = [i for i, x in enumerate(found) if (w := max(map(name_weight, x.names))) > 0 and w * form_weight(counts[i]) >= threshold]
+    reached, out = set(todo), set()
+    while todo:
+        i = todo.pop()
+        for p, r in zip(found[i].parts, refs[i], strict=True):
+            if r is not None:
+                if r not in reached:
+                    reached.add(r)
+                    todo.append(r)
+            elif p[0] != "name":
+                out.add((p[1], p[2]))
+    return sorted(out)
 
 
 def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
 from spliceloom.llm.words import encoder, slices
-from spliceloom.session import shared_dir, written
+from spliceloom.session import work_dir, written
 
 #: Bits of the chunks of level 0, 1, ...; the last repeats as needed.
 WIDTHS = (8, 8)
@@ -44,7 +44,7 @@ NULL_ID = -(2**63)
 
 
 class Dac:
-    """A sequence of ids; build with ``Dac.of``, read with ``get``, ``all`` and ``slice``."""
+    """A sequence of ids; build with ``Dac.of``, read with ``get`` and ``all``."""
 
     def __init__(self, n: int, widths: list[int], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]):
         self.n, self.widths, self.levels = n, widths, levels
@@ -211,6 +211,9 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
     schema = "name string, nth int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
+    if manifest.isEmpty():  # no files, and perhaps no folder
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -238,6 +241,6 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
 def op9_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/spliceloom/tokens-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     manifest = write_token_files(documents(spark, sf_dir), folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, folder, manifest)

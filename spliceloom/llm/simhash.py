@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents, per_document
-from spliceloom.operators.components import connected_components
+from spliceloom.operators.components import connected_components, stars
 from spliceloom.session import written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -123,27 +123,6 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(who), np.concatenate(asks)
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star per component of the links (a, b): (node, smallest node)."""
-    if not len(a):
-        return a, b
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        for side in (x, y):
-            np.minimum.at(new, side, low)
-            np.minimum.at(new, label[side], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    away = label != np.arange(len(nodes))
-    return nodes[away], nodes[label[away]]
-
-
 def links(stored: np.ndarray, asking: np.ndarray, first: np.ndarray, count: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars of the verified links between asking[i] and stored[first[i] : first[i] + count[i]]."""
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]

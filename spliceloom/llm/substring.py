@@ -7,20 +7,24 @@ id. The work is dealt out by content, so that every index stays small and no tex
    have equal anchors at equal places. The hashes of all documents' anchors meet in buckets; each
    stretch of rows hears back which of its hashes several documents have.
 2. Windows that share an anchor form a stretch. Stretches whose anchor several documents have go
-   to the bucket of their anchor, equal ones of a slice once, with the places where they stand.
-3. A bucket keeps the distinct stretches, each with the smallest id that holds it: elsewhere the
-   whole stretch goes. Stretches that differ though they share an anchor are halved by id, again
-   and again: the half of smaller ids becomes a run-length index (run-compressed
-   Burrows-Wheeler transform with samples at run ends), the other half is streamed through it, and
-   where the matching statistics reach ``span`` the window goes.
+   to the bucket of their anchor: every distinct stretch of a slice once, with the smallest id there.
+3. A bucket keeps the distinct stretches, each with the smallest id that holds it. Stretches that
+   differ though they share an anchor are halved by id, again and again: the half of smaller ids
+   becomes a run-length index (run-compressed Burrows-Wheeler transform with samples at run ends),
+   the other half is streamed through it, and where the matching statistics reach ``span`` the
+   window is known to stand in a smaller id. Each slice hears back, for its stretches, the smallest
+   id that holds the whole and the windows that smaller ids hold.
    An anchor that very many slices have would fill a task; its stretches are cut into single
    windows, which travel by a hash of their own bytes and meet only their equals.
-4. Each document gets its marks and removes the bytes.
+4. Each document looks up its stretches and removes the bytes: whole stretches that a smaller id
+   holds, else their windows.
 
-Steps 1, 2 and 4 read the same files. A place is (file, row of the file, byte), so the passes may
-cut the files into other partitions, as they do when executors come or go. Answers and marks
-return as small tables in the shared folder, a directory for each block of rows of a file, in the
-order of the rows, and tasks read along as they go through theirs.
+Steps 1, 2 and 4 read the same files. What returns are facts about strings, addressed to rows of a
+file, so the passes may cut the files into other partitions, as they do when executors come or go.
+Messages return as small tables in the shared folder, a directory for each block of rows of a
+file, in the order of the rows, and tasks read along as they go through theirs. How often a
+stretch stands in a slice makes no message longer. Stretches are named by 128 bits: the hash of
+their anchor and that of all their bytes.
 
 Defined results: null texts are empty. Texts shorter than ``span`` are kept. Rows with equal ids
 never remove each other's bytes; a null id is larger than any other and removes nothing from
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 
 from spliceloom.llm.runindex import END, RunIndex, ranges
 from spliceloom.llm.textio import documents
-from spliceloom.session import shared_dir, written
+from spliceloom.session import work_dir, written
 
 SPAN = 50
 #: Bytes of an anchor.
@@ -56,11 +60,10 @@ INDEX = 250_000
 BUCKET_BYTES = 8 << 20
 #: Slices with an anchor beyond which its stretches are cut into windows.
 HOT = 4096
-#: Rows of a file whose messages share a directory, and rows whose marks travel together; the latter divides the former.
-BLOCK, MARKED = 1 << 16, 256
+#: Rows of a file whose messages share a directory.
+BLOCK = 1 << 16
 NULL_ID = 2**63 - 1
 PLACE = np.uint64((1 << 24) - 1)
-MARK = np.dtype([("row", "<u2"), ("n", "<u2"), ("start", "<u4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -189,18 +192,20 @@ def _shared_list(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
 
 
-def _distinct(strings: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each distinct string, its number for each row); rows of equal strings have equal hints."""
-    width = strings.shape[1]
-    padded = np.zeros((len(strings), -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = strings
-    own = hint.copy()
-    for word in padded.view("<u8").T:
+def _matrix(data: np.ndarray, first: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """The strings as rows of whole words, padded with END."""
+    width = -(-width // 8) * 8
+    text = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.full(width, END, np.uint8)]), width)[first]
+    text[np.arange(width) >= length[:, None]] = END
+    return text
+
+
+def _string_hashes(strings: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of each row, from the hash of its anchor on."""
+    own = h.copy()
+    for word in strings.view("<u8").T:
         own = _mix(own * np.uint64(0x9E3779B97F4A7C15) + word)
-    _, first, same = np.unique(own, return_index=True, return_inverse=True)
-    if not (strings[first[same]] == strings).all():  # two strings share a hash: compare the strings themselves
-        _, first, same = np.unique(np.ascontiguousarray(strings).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
-    return first, same
+    return own
 
 
 def _with_windows(data, owner, first, count, h, is_hot, span: int):
@@ -220,7 +225,7 @@ class Letters:
     def __init__(self, df: DataFrame, columns: list[str]):
         """``df``: file, lo, hi and ``columns``; lo and hi, the first and last row meant, lie in one block."""
         spark = df.sparkSession
-        self.uri = f"{shared_dir(spark)}/spliceloom/mail-{uuid.uuid4().hex}"
+        self.uri = f"{work_dir(spark)}/mail-{uuid.uuid4().hex}"
         self.columns = ["lo", "hi", *columns]
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         box = F.concat_ws("-", F.col("file").cast("string"), F.floor(F.col("lo") / BLOCK).cast("string"))
@@ -310,44 +315,36 @@ def mark_stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, grou
     return np.nonzero(gone)
 
 
-#: Kinds of the arrays of a message of stretches: lengths, anchor hashes, bytes; string, document and start of each place; rows and ids of the documents.
-STRETCHES = ("<u2", "<u8", "u1", "<u4", "<u4", "<u4", "<i8", "<i8")
+#: Kinds of the arrays of a message of stretches: lengths, anchor hashes, smallest ids, whether further ids hold them, bytes.
+STRETCHES = ("<u2", "<u8", "<i8", "?", "u1")
+#: Kinds of those of the answer: anchor hashes, hashes of all bytes, smallest ids, windows as bits.
+FACTS = ("<u8", "<u8", "<i8", "u1")
 
 
-def _bucket_marks(files: np.ndarray, messages: list[bytes], span: int):
-    """Marks (file, row, first window, windows) of a bucket's stretches."""
+def _bucket_facts(messages: list[bytes], span: int) -> Iterator[bytes | None]:
+    """The answer to each message of a bucket, None where nothing of its stretches goes."""
     width = 2 * span - GRAM
     got = [unpacked(m, *STRETCHES) for m in messages]
-    length, hashes, data = (np.concatenate([r[i] for r in got]) for i in (0, 1, 2))
+    length, hashes, ids, more, data = (np.concatenate([r[i] for r in got]) for i in range(5))
     length = length.astype(np.int64)
-    base = np.cumsum([0, *[len(r[0]) for r in got]])
-    who = np.concatenate([r[3] + b for r, b in zip(got, base, strict=False)])
-    base = np.cumsum([0, *[len(r[6]) for r in got]])
-    doc = np.concatenate([r[4] + b for r, b in zip(got, base, strict=False)])
-    start, row, ids = (np.concatenate([r[i] for r in got]) for i in (5, 6, 7))
-    row, ids, file = row[doc], ids[doc], np.repeat(files, [len(r[6]) for r in got])[doc]
-    start = start.astype(np.int64)
     first = np.cumsum(length) - length
-    strings = np.full((len(length), width), END, np.uint8)
-    strings[np.arange(width) < length[:, None]] = data
-    lead, same = _distinct(strings, hashes)
-    first, length, hashes, who = first[lead], length[lead], hashes[lead], same[who]
+    strings = _matrix(data, first, length, width)
+    own = _string_hashes(strings, hashes)
+    name, lead, same = np.unique(own, return_index=True, return_inverse=True)
+    if not (strings[lead[same]] == strings).all():
+        raise RuntimeError("two stretches share a name")
     least = np.full(len(lead), NULL_ID, np.int64)
-    np.minimum.at(least, who, ids)
-    s, w = mark_stretches(data, first, length, hashes, least, span)
-    # whole stretches elsewhere, runs of windows at the smallest id
-    late = ids > least[who]
-    out = [(file[late], row[late], start[late], length[who[late]] - span + 1)]
-    if len(s):
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1] + 1)])
-        n = np.diff(np.concatenate([np.flatnonzero(new), [len(s)]]))
-        s, w = s[new], w[new]
-        own = np.flatnonzero(~late)
-        own = own[np.argsort(who[own], kind="stable")]
-        lo, hi = np.searchsorted(who[own], s, "left"), np.searchsorted(who[own], s, "right")
-        o = own[ranges(lo, hi - lo)]
-        out.append((file[o], row[o], start[o] + np.repeat(w, hi - lo), np.repeat(n, hi - lo)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    np.minimum.at(least, same, ids)
+    s, w = mark_stretches(data, first[lead], length[lead], hashes[lead], least, span)
+    windows = np.zeros((len(lead), span - GRAM + 1), bool)
+    windows[s, w] = True
+    bits = np.packbits(windows, axis=1)
+    useful = more | (ids > least[same]) | windows.any(axis=1)[same]
+    at = 0
+    for r in got:
+        k = at + np.flatnonzero(useful[at : at + len(r[0])])
+        at += len(r[0])
+        yield packed(hashes[k], own[k], least[same[k]], bits[same[k]].ravel()) if len(k) else None
 
 
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,91 +406,101 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, is_scan: bool = False, h
     asked = docs.mapInArrow(ask, "bucket long, file long, lo long, hi long, hashes binary, several binary")
     answers = Letters(asked.groupBy("bucket").applyInPandas(answer, "file long, lo long, hi long, bucket long, known binary"), ["bucket", "known"])
 
+    def shared(letters: list[tuple], data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(document, first byte, length, hash) of the stretches of a slice whose anchors several documents have."""
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        if not letters:
+            return none
+        # which hashes several documents have is a fact about the hash: letters to other rows do no harm
+        known, is_hot = [], []
+        for _, _, bucket, told in letters:
+            low, warm = unpacked(told, "<u4", "?")
+            known.append((np.uint64(bucket) << np.uint64(32)) | low)
+            is_hot.append(warm)
+        known, at = np.unique(np.concatenate(known), return_index=True)
+        is_hot = np.concatenate(is_hot)[at]
+        owner, first, count, h = stretches_of(data, starts, ends, span)
+        key = (_bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        k = np.flatnonzero(known[at] == key)
+        if not len(k):
+            return none
+        is_hot = is_hot[at[k]]
+        owner, first, count, h = owner[k], first[k], count[k], h[k]
+        if is_hot.any():
+            owner, first, count, h = _with_windows(data, owner, first, count, h, is_hot, span)
+        return owner, first, count + span - 1, h
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = answers.reader()
         for file, rows, ids, data, starts, ends in _slices(batches):
-            letters = read(file, int(rows[0]), int(rows[-1]))
-            if not letters:
-                continue
-            # which hashes several documents have is a fact about the hash: letters to other rows do no harm
-            known, is_hot = [], []
-            for _, _, bucket, told in letters:
-                low, warm = unpacked(told, "<u4", "?")
-                known.append((np.uint64(bucket) << np.uint64(32)) | low)
-                is_hot.append(warm)
-            known, at = np.unique(np.concatenate(known), return_index=True)
-            is_hot = np.concatenate(is_hot)[at]
-            owner, first, count, h = stretches_of(data, starts, ends, span)
-            key = (_bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            k = np.flatnonzero(known[at] == key)
-            if not len(k):
+            owner, first, length, h = shared(read(file, int(rows[0]), int(rows[-1])), data, starts, ends)
+            if not len(h):
                 continue
-            is_hot = is_hot[at[k]]
-            owner, first, count, h = owner[k], first[k], count[k], h[k]
-            if is_hot.any():
-                owner, first, count, h = _with_windows(data, owner, first, count, h, is_hot, span)
-            length = count + span - 1
-            to = _bucket_of(h, buckets)
-            order = np.lexsort((h, to))
-            owner, first, length, h, to = owner[order], first[order], length[order], h[order], to[order]
-            # equal stretches once; a stretch whose anchor stands once in the slice has no equal
-            once = np.concatenate([[True], h[1:] != h[:-1]])
-            once &= np.concatenate([once[1:], [True]])
-            lead, again = np.flatnonzero(once), np.flatnonzero(~once)
-            same = np.empty(len(h), np.int64)
-            same[lead] = np.arange(len(lead))
-            if len(again):
-                window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.full(width, END, np.uint8)]), width)
-                text = window[first[again]]
-                text[np.arange(width) >= length[again, None]] = END
-                of, number = _distinct(text, h[again])
-                same[again] = len(lead) + number
-                lead = np.concatenate([lead, again[of]])
+            # equal stretches once, in the order of their buckets
+            _, lead, same = np.unique(_string_hashes(_matrix(data, first, length, width), h), return_index=True, return_inverse=True)
+            least, most = np.full(len(lead), NULL_ID, np.int64), np.full(len(lead), -NULL_ID - 1, np.int64)
+            np.minimum.at(least, same, ids[owner])
+            np.maximum.at(most, same, ids[owner])
+            to = _bucket_of(h[lead], buckets)
+            order = np.argsort(to, kind="stable")
+            to, lead, least, most = to[order], lead[order], least[order], most[order]
             names, out = [], []
             for a, z in _runs(np.diff(to) != 0):
-                distinct, who = np.unique(same[a:z], return_inverse=True)
-                d = lead[distinct]
-                docs_here, doc = np.unique(owner[a:z], return_inverse=True)
-                flat = data[ranges(first[d], length[d])]
+                d = lead[a:z]
                 names.append(int(to[a]))
-                out.append(packed(length[d].astype("<u2"), h[d], flat, who.astype("<u4"), doc.astype("<u4"), (first[a:z] - starts[owner[a:z]]).astype("<u4"), rows[docs_here], ids[docs_here]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([file] * len(names), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "file", "stretches"])
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        file, row, start, n = _bucket_marks(pdf["file"].to_numpy(), list(pdf["stretches"]), span)
-        order = np.lexsort((start, row, file))
-        file, row, start, n = file[order], row[order], start[order], n[order]
-        group = row // MARKED
-        marks = np.empty(len(row), MARK)
-        marks["row"], marks["n"], marks["start"] = row % MARKED, n, start
-        runs = _runs((np.diff(file) != 0) | (np.diff(group) != 0)) if len(row) else []
-        return pd.DataFrame({
-            "file": [file[a] for a, _ in runs], "lo": [group[a] * MARKED for a, _ in runs], "hi": [group[a] * MARKED + MARKED - 1 for a, _ in runs], "marks": [marks[a:z].tobytes() for a, z in runs],
-        }).astype({"file": "int64", "lo": "int64", "hi": "int64"})
-
-    sent = docs.mapInArrow(send, "bucket long, file long, stretches binary")
-    marks = Letters(sent.groupBy("bucket").applyInPandas(mark, "file long, lo long, hi long, marks binary"), ["marks"])
+                out.append(packed(length[d].astype("<u2"), h[d], least[a:z], most[a:z] > least[a:z], data[ranges(first[d], length[d])]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), *(pa.array([x] * len(names), pa.int64()) for x in (file, int(rows[0]), int(rows[-1]))), pa.array(out, pa.binary())], names=["bucket", "file", "lo", "hi", "stretches"]
+            )
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["file", "lo", "hi"]].assign(facts=list(_bucket_facts(list(pdf["stretches"]), span)))
+        return out[out["facts"].notna()]
+
+    sent = docs.mapInArrow(send, "bucket long, file long, lo long, hi long, stretches binary")
+    facts = Letters(sent.groupBy("bucket").applyInPandas(judge, "file long, lo long, hi long, facts binary"), ["facts"])
+
+    def spans(letters: list[tuple], owner, first, length, h, data, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first byte, end) of what goes."""
+        none = (np.zeros(0, np.int64),) * 3
+        if not letters or not len(h):
+            return none
+        anchor, own, least, bits = (np.concatenate(x) for x in zip(*(unpacked(m, *FACTS) for _, _, m in letters), strict=True))
+        bits = bits.reshape(len(own), -1)
+        order = np.argsort(own)
+        anchor, own, least, bits = anchor[order], own[order], least[order], bits[order]
+        k = np.flatnonzero(np.isin(h, anchor))
+        owner, first, length, h = owner[k], first[k], length[k], h[k]
+        if not len(k):
+            return none
+        name = _string_hashes(_matrix(data, first, length, width), h)
+        at = np.minimum(np.searchsorted(own, name), len(own) - 1)
+        k = np.flatnonzero((own[at] == name) & (anchor[at] == h))
+        at, owner, first, length = at[k], owner[k], first[k], length[k]
+        late = ids[owner] > least[at]
+        some = np.flatnonzero(~late & bits[at].any(axis=1))
+        o, w = np.nonzero(np.unpackbits(bits[at[some]], axis=1, count=span - GRAM + 1))
+        o = some[o]
+        return np.concatenate([owner[late], owner[o]]), np.concatenate([first[late], first[o] + w]), np.concatenate([(first + length)[late], first[o] + w + span])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = marks.reader()
+        read, judged = answers.reader(), facts.reader()
         fields = [*_ARROW, *([pa.field("kept", pa.binary())] if with_text else [])]
         for file, rows, ids, data, starts, ends in _slices(batches):
-            got = [(lo, np.frombuffer(m, MARK)) for lo, _, m in read(file, int(rows[0]), int(rows[-1]))]
-            row = np.concatenate([np.zeros(0, np.int64), *[m["row"] + lo for lo, m in got]])
-            start, n = (np.concatenate([np.zeros(0, np.int64), *[m[c].astype(np.int64) for _, m in got]]) for c in ("start", "n"))
-            order = np.argsort(row, kind="stable")
-            row, start, end = row[order], start[order], (start + n + span - 1)[order]
-            edge = np.searchsorted(row, np.concatenate([rows, rows[-1:] + 1]))
+            letters = judged(file, int(rows[0]), int(rows[-1]))
+            found = shared(read(file, int(rows[0]), int(rows[-1])) if letters else [], data, starts, ends)
+            owner, a, z = spans(letters, *found, data, ids)
+            order = np.argsort(owner, kind="stable")
+            a, z, edge = a[order], z[order], np.searchsorted(owner[order], np.arange(len(rows) + 1))
             for x in range(0, len(rows), ROWS):
                 out = []
                 for i in range(x, min(len(rows), x + ROWS)):
                     text = data[starts[i] : ends[i]].tobytes()
-                    lo, hi = edge[i], np.searchsorted(row, rows[i] + 1)
                     runs, kept = 0, text
-                    if lo < hi:
-                        a, z = union(start[lo:hi], end[lo:hi])
-                        runs, kept = len(a), b"".join(text[p:q] for p, q in zip([0, *z.tolist()], [*a.tolist(), len(text)], strict=True))
+                    if edge[i] < edge[i + 1]:
+                        p, q = union(a[edge[i] : edge[i + 1]] - starts[i], z[edge[i] : edge[i + 1]] - starts[i])
+                        runs, kept = len(p), b"".join(text[u:v] for u, v in zip([0, *q.tolist()], [*p.tolist(), len(text)], strict=True))
                     doc_id = None if ids[i] == NULL_ID else int(ids[i])
                     out.append((doc_id, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))

@@ -1,6 +1,7 @@
 """Every corpus operator on a small table of hard cases, against plain code."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spliceloom.llm import dac, licenses, mixing, packing, quality, runindex, secretscan, simhash, substring, topk, urlrep
-from spliceloom.session import shared_dir
+from spliceloom.session import work_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, host string, `rank` int"
 rng = random.Random(7)
@@ -211,7 +212,7 @@ def test_template_automaton():
     assert licenses.LicenseScanner().scan(plain.replace("without restriction", "with restriction"))[2] == []
 
 
-def test_op3(docs, empty):
+def test_op3(docs, empty, monkeypatch):
     res = mixing.mix(docs).collect()
     assert len(res) == len(ROWS)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -235,9 +236,54 @@ def test_op3(docs, empty):
     for s, rows in sizes.items():
         assert abs(sum(r.taken for r in rows) - target[s]) <= max(r.size for r in rows) / 2 + 1e-6
     assert got(mixing.mix(docs)) == want(tuple(r) for r in res)
+    for name, value in (("ORDERED", 0), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(mixing, name, value)
+        assert got(mixing.mix(docs)) == want(tuple(r) for r in res)
     assert got(mixing.mix(empty)) == []
 
 
+def test_mix_takes_the_start_of_the_ranking(spark, monkeypatch):
+    own = random.Random(3)
+    rows = [(own.choice([i, i, i % 40, None]), " ".join(["w"] * own.randint(0, 9)) + own.choice(["", " x", " y z"]), own.choice("abc")) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = lambda t: len(t.split())
+    expected = None
+    for step, ordered in ((256, 5000), (4, 3)):
+        monkeypatch.setattr(mixing, "STEPS", step)
+        monkeypatch.setattr(mixing, "ORDERED", ordered)
+        res = mixing.mix(d).collect()
+        assert expected in (None, want(tuple(r) for r in res))
+        expected = want(tuple(r) for r in res)
+    total = {s: sum(size(t) for _, t, x in rows if x == s) for s in "abc"}
+    target = {next(s for s in "abc" if total[s] == r.source_size): r.target for r in res}
+    out = []
+    for s in "abc":
+        mine = [(i, t) for i, t, x in rows if x == s]
+        whole = math.floor(target[s] / total[s])
+        rest, damped = target[s] - whole * total[s], sum(size(t) ** 0.75 for _, t in mine if size(t))
+        units = {}
+        for i, t in mine:
+            name = str(i) if i is not None else ":" + hashlib.md5(t.encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix-1:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = rest / damped * size(t) ** -0.25 if size(t) else 1
+            if size(t) and rest > 0:
+                units.setdefault((0.0 if p >= 1 else u / (1 - u) / (p / (1 - p)), i is not None, i, size(t)), []).append(size(t))
+        upto, taken = 0, set()
+        for key in sorted(units, key=lambda k: (k[0], k[1], k[2] or 0, k[3])):
+            upto += sum(units[key])
+            if upto - sum(units[key]) / 2 <= rest:
+                taken.add(key)
+        for i, t in mine:
+            k = [key for key in taken if key[2] == i and key[3] == size(t)]
+            name = str(i) if i is not None else ":" + hashlib.md5(t.encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix-1:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = rest / damped * size(t) ** -0.25 if size(t) else 1
+            extra = size(t) > 0 and any(abs(key[0] - (0.0 if p >= 1 else u / (1 - u) / (p / (1 - p)))) < 1e-12 for key in k)
+            out.append((i, size(t), total[s], size(t) * (whole + extra)))
+    assert want((r.doc_id, r.size, r.source_size, r.taken) for r in res) == want(out)
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(d).collect()) == sum(r.taken for r in res)
+
+
 def _word_ids(text):
     from tokenizers import Tokenizer
 
@@ -291,10 +337,35 @@ def test_op5(spark):
     for i in (0, 20, 40, 60):
         s = sorted(((-sum(a * b for a, b in zip(q[i], x)), j) for j, x in cand if j != i))[:20]
         out += [(i, k + 1, j, -n) for k, (n, j) in enumerate(s)]
-    assert got(topk.top_k(v, F.col("vec_id") % 20 == 0, query_block=2, shard=16)) == want(out)
+    for shape in (dict(query_block=2, shard_bytes=512, fan=2), {}):
+        assert got(topk.top_k(v.repartition(5), F.col("vec_id") % 20 == 0, **shape)) == want(out)
     assert got(topk.top_k(v.limit(0), F.col("vec_id") % 20 == 0)) == []
 
 
+def test_op5_beyond_floats_and_repeated_queries(spark):
+    own = random.Random(4)
+    big = [2.0**30, 2.0**31 + 1, -(2.0**29), 2.0**30 + 1, 3e5]
+    rows = [(i, [own.choice(big) for _ in range(3)]) for i in range(30)] + [(0, [1e300, 0.0, 1.0]), (10, [2.0**30 + 1] * 3), (11, [1e308] * 3), (12, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    x = [(i, [math.floor(64 * a) if abs(a) < 2**50 else int(64 * a) for a in e]) for i, e in rows if i != 11 or e[0] < 1e308]
+    out = []
+    for i in (0, 10, 20):
+        s = sorted((-sum(a * b for a, b in zip(q, e)), j) for n, q in x if n == i for j, e in x if j != i and len(e) == len(q))[:20]
+        out += [(i, k + 1, j, max(min(-n, 2**63 - 1), -(2**63))) for k, (n, j) in enumerate(s)]
+    for shape in (dict(query_block=1, shard_bytes=240, fan=2), {}):
+        assert got(topk.top_k(v, F.col("vec_id") % 10 == 0, **shape)) == want(out)
+
+
+def test_tiles_take_ties_from_smaller_ids(monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 7)
+    r = np.random.default_rng(3)
+    q, s = r.integers(-1, 2, (9, 3)).astype(float), r.integers(-1, 2, (60, 3)).astype(float)
+    ids, own = r.permutation(60), np.arange(9)
+    query, vec, score = topk.tile_top(q, own, s, ids, 5)
+    expected = [(i, -n, j) for i in range(9) for n, j in sorted((-int(q[i] @ s[c]), int(ids[c])) for c in range(60) if ids[c] != i)[:5]]
+    assert list(zip(query.tolist(), score.tolist(), vec.tolist())) == expected
+
+
 def test_op6(spark):
     urls = ["http://A.Example.com/en/7?x", "https://example.net/de/8#a", "https://x.net/de/1", "ftp://org/es/", "http://com", "noscheme", None, "http://good.test/a", "http://bad.test/b", "http://evilexample.com/en/1", "http://h.org?q=://z/"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(100 + i, "http://bad.test/b", None, None) for i in range(40)], "page_id long, url string, host string, verdict string")
@@ -383,7 +454,7 @@ def test_op9(docs, empty, spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    folder = f"{shared_dir(spark)}/t9"
+    folder = f"{work_dir(spark)}/t9"
     unique = [r for r in ROWS if r[0] not in (3, 5)]
     table = spark.createDataFrame(unique, SCHEMA).repartition(3)
     manifest = dac.write_token_files(table, folder, path, file_tokens=3000)
@@ -395,7 +466,7 @@ def test_op9(docs, empty, spark):
         at += len(ids)
     assert got(dac.read_token_files(spark, folder, manifest)) == want(out)
     none = dac.write_token_files(empty, f"{folder}-empty", path)
-    assert none.count() == 0
+    assert none.count() == 0 and dac.read_token_files(spark, f"{folder}-empty", none).collect() == []
 
 
 @pytest.mark.parametrize("widths", [(8, 8), (5, 3), (12, 4), (1,)])
@@ -420,6 +491,84 @@ def test_op10(docs, empty):
     assert secretscan.redact(TEXTS[17]) == 'KEY = "[secret]"\nclient_secret = KEY' and secretscan.redact(None) is None
 
 
+V, W = "Zx81kQpL09vBn3Mw", "q7Wn2Rt5Yb8Kd3Lf"
+LITERALS = {
+    f'password: str = "{V}"': [V], f'const apiToken: string = "{V}";': [V], f'var token string = "{V}"': [V], f'char secret[] = "{V}";': [V], f'password: Optional[str] = "{V}"': [V],
+    f'secret = """{V}"""': [V], f'cfg["{"a" * 90}_password"] = "{V}"': [V], f'password{" " * 300}= "{V}"': [V], f"'password' => '{V}',": [V], f'{{"client_secret": "{V}", "a": "{W}"}}': [V],
+    f'private_key: |\n  {V}\n  {W}\nnext: {W}1': [f"{V}\n  {W}"], f'<add key="DbPassword" value="{V}"/><add key="x" value="{W}"/>': [V], f'password = SecretStr("{V}")': [V], f'connect(user="{W}", password="{V}")': [V],
+    f"DB_PASSWORD={V}\nDB_HOST={W}": [V], f'A = "{V[:8]}"\nB = 1\nsecret_key = A + "{W}"': [V[:8], W], f'client_secret = KEY\nKEY = "{V}"': [V], f'a = "{V}"\nb = a\nc = b\npassword = c\na = "{W}"': [V],
+    f'KEY = "{V}" # client_secret = KEY': [], f'# password = "{V}"\npassword = X': [V], f'secret = "{V[:8]}" + \\\n  "{V[8:]}"': [f'{V[:8]}" + \\\n  "{V[8:]}'], f'if password == "{V}": pass': [],
+    f"echo 'cfg: secret = \"{V}\"'": [V], "a = b\nb = a\nsecret = a + b": [], f"don't say: the key's value is '{V}'": [], f"name = '{V}'": [], "secret = 'two words here for you'": [],
+}
+
+
+@pytest.mark.parametrize("text", LITERALS)
+def test_assigned_literals(text):
+    assert [text[s:e] for s, e in secretscan.lexed(text)] == LITERALS[text]
+
+
+def test_constants_by_plain_code():
+    own = random.Random(12)
+    for _ in range(150):
+        names = own.sample(["a", "b", "c", "d", "password", "api_key", "label"], 5)
+        lines, spans = [], []
+        for n in own.choices(names, k=own.randint(2, 9)):
+            parts = [own.choice([own.choice(names), '"' + "".join(own.choice("aZ9x") for _ in range(own.randint(0, 9))) + '"']) for _ in range(own.randint(1, 3))]
+            lines.append((n, parts))
+        text, at = "", []
+        for n, parts in lines:
+            text += f"{n} = "
+            row = []
+            for k, p in enumerate(parts):
+                text += " + " if k else ""
+                quote = int(p[0] == '"')
+                row.append((p.strip('"') if not quote else None, len(text) + quote, len(text) + len(p) - quote))
+                text += p
+            text += "\n"
+            at.append((n, row))
+
+        def meant(i, name):
+            before = [j for j in range(i) if at[j][0] == name]
+            after = [j for j in range(i + 1, len(at)) if at[j][0] == name]
+            return before[-1] if before else after[0] if after else None
+
+        def parts(i):
+            """(assignment meant, literal) of each part; a name alone that means nothing is a literal."""
+            for name, s, e in at[i][1]:
+                m = None if name is None else meant(i, name)
+                yield m, (s, e) if name is None or (m is None and len(at[i][1]) == 1) else None
+
+        def cyclic(i, seen=()):
+            return i in seen or any(cyclic(m, (*seen, i)) for m, _ in parts(i) if m is not None)
+
+        def value(i):
+            return "".join(value(m) if m is not None else text[slice(*lit)] if lit else "" for m, lit in parts(i))
+
+        def mark(i):
+            run = None
+            for m, lit in parts(i):
+                if m is not None:
+                    mark(m)
+                if lit and run:
+                    spans.remove(run)
+                    lit = (run[0], lit[1])
+                run = lit
+                if lit:
+                    spans.append(lit)
+
+        if any(cyclic(i) for i in range(len(at))):
+            continue
+        for i, (n, _) in enumerate(at):
+            if secretscan.name_weight(n) * secretscan.form_weight(secretscan.Counter(value(i))) >= secretscan.THRESHOLD:
+                mark(i)
+        assert secretscan.lexed(text) == sorted(set(spans)), text
+
+
+def test_lexing_is_linear():
+    for t in ("=", "a=", '"', ": ", "# ", "[", "]", "secret = a + ", '"\\"', "/*", 'x = "a'):
+        secretscan.lexed(t * 60_000 + "= secret")
+
+
 def test_pipeline(docs, spark):
     stages = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "secret scans", "mixing sources to target weights", "best-fit packing"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,12 @@ UNITS = 600_000
 SLICE_BYTES = 6 << 20
 #: New units that are encoded in one text, and what stands between them where spaces are dropped.
 JOINED, MARK = 500, "\x01"
+#: Words of Latin letters, which no step before the model cuts or composes.
+PLAIN = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from U+0100.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+SPACE = BYTES[0x20]
 
 
 class UnitStore:
@@ -65,23 +72,22 @@ class UnitStore:
         if len(self.index) > self.limit:
             self.clear()
         index = self.index
-        out = np.array([index.get(u, -1) for u in units], np.int64)
+        out = np.fromiter(map(index.get, units, itertools.repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(out < 0)
         if len(new):
-            missing = list(dict.fromkeys([units[i] for i in new]))
+            missing = list(dict.fromkeys(itertools.compress(units, (out < 0).tolist())))
             # a last comma or stop behind a letter is a piece of its own
-            tailed = [u for u in missing if u[-1:] in (",", ".") and u[-2:-1].isalpha() and (u[-2].isascii() or unicodedata.normalize("NFC", u[-2]).lower()[-1:].isalpha())]
+            tailed = [u for u in missing if u.endswith((",", ".")) and u[-2:-1].isalpha() and (u[-2].isascii() or unicodedata.normalize("NFC", u[-2]).lower()[-1:].isalpha())]
             apart = set(tailed)
-            need = dict.fromkeys(u for u in missing if u not in apart)
-            need |= dict.fromkeys(u[:-1] for u in tailed)
-            need |= dict.fromkeys(u[-1] for u in tailed)
+            need = dict.fromkeys([u for u in missing if u not in apart] if apart else missing)
+            need |= dict.fromkeys([u[:-1] for u in tailed]) | dict.fromkeys([u[-1] for u in tailed])
             need = [u for u in need if u not in index]
             self._add(need, *self.encode(need))
             if tailed:
                 pairs = np.array([(index[u[:-1]], index[u[-1]]) for u in tailed], np.int64).ravel()
                 ids, n = self.gather(pairs)
                 self._add(tailed, ids, n[::2] + n[1::2])
-            out[new] = [index[units[i]] for i in new]
+            out[new] = [index[units[i]] for i in new.tolist()]
         return out
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +137,11 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_spaces = keeps_spaces
+        self.model = self.tokenizer.model
         if keeps_spaces:
             vocabulary = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how a space is written
+            self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         else:
             self.mark = self._one_by_one([MARK])[0]
         self.store = UnitStore(self._units)
@@ -142,7 +149,31 @@ class TextEncoder:
     def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_lists([e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)])
 
+    def _words(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain letters, with or without a space before: one piece each, so the model alone is asked."""
+        tokens = self.model.tokenize
+        written = [u.replace(" ", SPACE) if u.isascii() else u.encode().decode("latin-1").translate(BYTES) for u in units]
+        return flat_lists([[t.id for t in tokens(w)] for w in written])
+
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units: words of plain letters by the model, others with their surroundings."""
+        whole = PLAIN.fullmatch
+        if self.keeps_spaces:
+            plain = [whole(u) is not None for u in units]
+        else:  # the vocabulary lower-cases
+            plain = [whole(u) is not None and u[0] != " " and u == u.lower() for u in units]
+        words, others = [list(itertools.compress(units, x)) for x in (plain, [not p for p in plain])]
+        if not others:
+            return self._words(words)
+        if not words:
+            return self._joined(others)
+        ids, n = (np.concatenate(x) for x in zip(self._words(words), self._joined(others), strict=True))
+        plain, place = np.array(plain), np.empty(len(units), np.int64)
+        place[plain], place[~plain] = np.arange(len(words)), np.arange(len(words), len(units))
+        begin, size = (np.cumsum(n) - n)[place], n[place]
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, many in one text where the text shows again where units begin."""
         if self.keeps_spaces:
             # " word" with no other white space: its first token, and no other, opens with the space

@@ -1,7 +1,7 @@
 """The commands: index, merge, classify, chop, valtable. Files in, files out.
 
-Indexed inputs are Parquet tables beside the input, with a manifest; a manifest that no longer
-fits the input's size, time or this format's version is rebuilt.
+Indexed inputs are Parquet tables beside the input, with a manifest; an index whose manifest no
+longer fits the digests of its inputs or this format's version is rebuilt.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from spliceloom.operators import assemble, classify, context, merge
 from spliceloom.sources import bed, fasta, files, gtf
 from spliceloom.tools import attributes as X
 
-PROGRAM, VERSION, INDEX_VERSION, SCHEMA_VERSION = "spliceloom", "0.1", 1, "1"
+PROGRAM, VERSION, INDEX_VERSION, SCHEMA_VERSION = "spliceloom", "0.1", 2, "1"
 #: Columns of the outputs, in order (fixed formats).
 TRACK = (
     "merged_tx_id", "merged_gene_id", "merged_start", "merged_end", "merged_strand", "merged_exon_num", "junction_policy", "tss_policy", "tes_policy", "src_tx_count_in_merged_group",
@@ -48,10 +48,9 @@ def _version_line() -> str:
 def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | None = None, skip_missing: bool = False) -> tuple[DataFrame, DataFrame]:
     """(transcripts, transcript lines) of a GTF, built or read back; statistics go to ``<out>.info.json``."""
     out = out or f"{gtf_path}.index"
-    mark = {"version": INDEX_VERSION, "gtf": files.status(spark, gtf_path), "fasta": files.status(spark, fasta_path), "skip_missing": skip_missing}
-    mark = json.loads(json.dumps(mark))
-    if mark["gtf"] is None:
+    if files.status(spark, gtf_path) is None:
         raise FileNotFoundError(gtf_path)
+    mark = {"version": INDEX_VERSION, "gtf": files.digest(spark, gtf_path), "fasta": files.digest(spark, fasta_path), "skip_missing": skip_missing}
     known = files.read_text(spark, f"{out}/manifest.json")
     if known is None or json.loads(known) != mark:
         rows = gtf.scan(spark, [gtf_path])
@@ -63,6 +62,8 @@ def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | Non
         if gone and not skip_missing:
             raise ValueError(f"chromosomes absent from the sequences: {[r.chrom for r in gone]}")
         tx = tx.join(seqs, "chrom", "left_semi")
+        if odd := tx.filter(~T.junctions_valid(F.col("junctions"))).limit(5).collect():
+            raise ValueError(f"exons that overlap: {[r.tx_id for r in odd]}")
         tx = assemble.with_sites(tx, fasta.intron_sites(tx, fasta.chunks(spark, fasta_path)))
         tx.repartition("chrom").sortWithinPartitions("chrom", "start", "end", "strand", "tx_id").write.mode("overwrite").partitionBy("chrom").parquet(f"{out}/transcripts")
         gtf.transcript_lines(rows).write.mode("overwrite").parquet(f"{out}/lines")
@@ -185,7 +186,7 @@ def _header(spark, path: str) -> list[str]:
 
 
 def chop(spark: SparkSession, path: str, prefix: str, *, keep: Sequence[str] = (), everything: bool = False, check_case: bool = False) -> None:
-    rows = files.lines(spark, [path])
+    rows = files.lines(spark, [path], ends=True)
     files.write_lines(rows.select("line_no", X.chop_lines(F.col("value"), keep=keep, everything=everything, check_case=check_case).alias("line")), ["line_no"], f"{prefix}.chopped.gtf.gz")
 
 

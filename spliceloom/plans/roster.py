@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from spliceloom.functions import transcript as T
 from spliceloom.operators import assemble, islands, merge
 from spliceloom.plans import adapter as A
+from spliceloom.plans import merge_sql as M
 from spliceloom.plans import roster_classify, roster_tools
 
 O = merge.MergeOptions()
@@ -255,36 +257,55 @@ def nc_absorption(spark, d):
     return merge.absorption(tx.filter("tx_type in ('PRT_CA', 'NOT_CA')"), groups, O).select("tx_id", "gkey")
 
 
-def _default(spark, d, **guides):
-    g, m = merge.merge(A.transcripts(spark, d), O, **guides)
+def _merged(spark, d, options=O, **guides):
+    g, m = merge.merge(A.transcripts(spark, d), options, **guides)
     return merge.with_ids(g, m), m
 
 
-@query("merge_default")
+def _shown(groups: DataFrame) -> DataFrame:
+    return groups.select("merged_tx_id", "merged_gene_id", "chrom", "strand", "n_exons", "repr_start", "repr_end", _chain("repr_junctions").alias("repr_chain"), "junction_policy", "tss_policy", "tes_policy", "tx_count")
+
+
+def _guide_cte(*sides: str) -> str:
+    """hit_<side>: guide intervals within 10 bases of each transcript end."""
+    one = "hit_{s} as (select t.chrom, t.strand, t.pos, count(*) as hits from (select distinct chrom, strand, {s} as pos from tx) t join guides on guides.chrom = t.chrom and guides.strand = t.strand and greatest(t.pos - 10, 0) <= ge and gs <= t.pos + 10 group by t.chrom, t.strand, t.pos)"
+    return f", {A.GUIDE_CTE}, " + ", ".join(one.replace("{s}", s) for s in sides)
+
+
+@query("merge_default", M.merge_cte() + M.GROUPS)
 def merge_default(spark, d):
-    g, _ = _default(spark, d)
-    return g.select("merged_tx_id", "merged_gene_id", "chrom", "strand", "n_exons", "repr_start", "repr_end", _chain("repr_junctions").alias("repr_chain"), "junction_policy", "tss_policy", "tes_policy", "tx_count")
+    return _shown(_merged(spark, d)[0])
 
 
-@query("merge_guided")
+@query("merge_guided", _guide_cte("tss") + M.merge_cte(guided=("tss",)) + M.STATS)
 def merge_guided(spark, d):
-    g, m = _default(spark, d, guide_tss=A.guides(spark, d))
-    return merge.merge_stats(g, m)
+    return merge.merge_stats(*_merged(spark, d, guide_tss=A.guides(spark, d)))
+
+
+@query("merge_guided_both", _guide_cte("tss", "tes") + M.merge_cte(guided=("tss", "tes")) + M.GROUPS)
+def merge_guided_both(spark, d):
+    g = A.guides(spark, d)
+    return _shown(_merged(spark, d, guide_tss=g, guide_tes=g)[0])
+
+
+@query("merge_unsplit", M.merge_cte("none") + M.GROUPS)
+def merge_unsplit(spark, d):
+    return _shown(_merged(spark, d, replace(O, terminal_refine="none", terminal_refine_nc="none"))[0])
 
 
-@query("merge_track")
+@query("merge_track", M.merge_cte() + M.TRACK)
 def merge_track(spark, d):
-    return merge.track(*_default(spark, d))
+    return merge.track(*_merged(spark, d))
 
 
-@query("present_absent")
+@query("present_absent", M.merge_cte() + M.PRESENT)
 def present_absent(spark, d):
-    return merge.present_absent(merge.track(*_default(spark, d)), [0, 1, 2, 3])
+    return merge.present_absent(merge.track(*_merged(spark, d)), [0, 1, 2, 3])
 
 
-@query("merge_size_histogram")
+@query("merge_size_histogram", M.merge_cte() + M.HISTOGRAM)
 def merge_size_histogram(spark, d):
-    return merge.group_size_histogram(_default(spark, d)[0])
+    return merge.group_size_histogram(_merged(spark, d)[0])
 
 
 _DIFFS = """, gr as (select chrom, island, strand, n_exons, first(jl order by source_file_id, tx_id) as gj from isl where n_exons > 1 group by all)

@@ -22,7 +22,7 @@ def chop_attrs(spark, d):
 
 def attribute_bag(spark, d):
     b = F.transform(gtf.bag(F.col("attrs")), lambda x: F.concat_ws("=", x["key"], x["value"]))
-    return _rows(spark, d).select("tx_id", F.array_join(b, "|").alias("bag"), gtf.attribute(F.col("attrs"), "TPM").alias("tpm"), gtf.prefixed(F.col("attrs"), "gene", True).alias("gene"))
+    return _rows(spark, d).select("tx_id", F.array_join(b, "|").alias("bag"), gtf.attribute(F.col("attrs"), "TPM").alias("tpm"), gtf.ids(F.col("attrs"))["gene_id"].alias("gene"))
 
 
 def _values(spark, d):

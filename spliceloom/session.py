@@ -67,6 +67,12 @@ def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     return out
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a plain scan of files, of which ``_metadata`` tells file and row."""
+    plan = getattr(df, "_jdf", None)
+    return plan is not None and "_metadata" not in df.columns and plan.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

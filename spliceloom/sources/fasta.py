@@ -58,10 +58,12 @@ def windows(wanted: DataFrame, table: DataFrame, chunk: int = CHUNK) -> DataFram
 
 
 def intron_sites(tx: DataFrame, table: DataFrame) -> DataFrame:
-    """(chrom, l, r, left2, right2): the two bases inside either end of each distinct intron."""
+    """(chrom, l, r, left2, right2): the two bases inside either end of each distinct intron; one that leaves its sequence is an error."""
     j = tx.select("chrom", F.explode("junctions").alias("j")).select("chrom", "j.l", "j.r").distinct()
     need = j.select("chrom", F.col("l").alias("win_lo"), (F.col("l") + 2).alias("win_hi")).unionByName(j.select("chrom", (F.col("r") - 3).alias("win_lo"), (F.col("r") - 1).alias("win_hi")))
     got = windows(need, table).select("chrom", F.col("win_lo").alias("at"), "seq")
     left = got.withColumnRenamed("seq", "left2").withColumnRenamed("at", "l")
     right = got.select("chrom", (F.col("at") + 3).alias("r"), F.col("seq").alias("right2"))
-    return j.join(left, ["chrom", "l"], "left").join(right, ["chrom", "r"], "left").select("chrom", "l", "r", "left2", "right2")
+    outside = F.raise_error(F.concat(F.lit("outside of the sequence: "), F.concat_ws(" ", "chrom", F.col("l").cast("string"), F.col("r").cast("string")))).cast("string")
+    found = j.join(left, ["chrom", "l"], "left").join(right, ["chrom", "r"], "left")
+    return found.select("chrom", "l", "r", F.coalesce("left2", outside).alias("left2"), F.coalesce("right2", outside).alias("right2"))

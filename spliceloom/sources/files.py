@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import io
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,20 +56,62 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
-def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, computed as a stream."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def _misnamed(spark: SparkSession, paths: list[tuple[str, int]]) -> DataFrame:
+    """(source_file_id, line_no, value) of files whose names don't tell whether they are compressed; one task a file, as for any gzip file."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for uri, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as raw:
+                    zipped = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    n = 0
+                    with gzip.open(raw) if zipped else io.BufferedReader(raw) as f:
+                        while held := f.readlines(1 << 22):
+                            text = [x.removesuffix(b"\n").decode() for x in held]
+                            no = pa.StructArray.from_arrays([pa.array([0] * len(held), pa.int64()), pa.array(range(n, n + len(held)), pa.int64())], names=["block", "n"])
+                            n += len(held)
+                            yield pa.RecordBatch.from_arrays([pa.array([i] * len(held), pa.int32()), no, pa.array(text)], names=["source_file_id", "line_no", "value"])
+
+    todo = spark.createDataFrame([(qualified(spark, p), i) for p, i in paths], "path string, i int").repartition(len(paths), "i")
+    return todo.mapInArrow(read, "source_file_id int, line_no struct<block:bigint,n:bigint>, value string")
+
+
+def lines(spark: SparkSession, paths: list[str], *, ends: bool = False) -> DataFrame:
     """(source_file_id, line_no, value): file ids in the order of ``paths``; line_no orders the lines of a file.
 
-    Gzip members are read by Spark where the name ends in .gz; compressed content under another
-    name would come out as garbage and is refused.
+    Lines end with a newline; a carriage return before it goes unless ``ends`` keeps it. Whether a
+    file is gzip follows from its content, whatever its name.
     """
-    for p in paths:
-        if head(spark, p, 2) == b"\x1f\x8b" and not p.endswith((".gz", ".bgz")):
-            raise ValueError(f"{p} is compressed: its name must end in .gz")
-    ids = spark.createDataFrame([(qualified(spark, p), i) for i, p in enumerate(paths)], "_path string, source_file_id int")
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_p"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line_no"))
-    plain = lambda c: F.regexp_replace(F.url_decode(c), "^([a-z0-9]+):/+", "$1:/")
-    # one row a file: bounded by the arguments of the call
-    return raw.join(F.broadcast(ids), plain(F.col("_p")) == plain(F.col("_path"))).select("source_file_id", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
+    by_name, odd = [], []
+    for i, p in enumerate(paths):
+        zipped = head(spark, p, 2) == b"\x1f\x8b"
+        (by_name if zipped == p.endswith(".gz") else odd).append((p, i))
+    out = None
+    if by_name:
+        ids = spark.createDataFrame([(qualified(spark, p), i) for p, i in by_name], "_path string, source_file_id int")
+        number = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line_no")
+        raw = spark.read.option("lineSep", "\n").text([p for p, _ in by_name]).select("value", F.col("_metadata.file_path").alias("_p"), number)
+        plain = lambda c: F.regexp_replace(F.url_decode(c), "^([a-z0-9]+):/+", "$1:/")
+        # one row a file: bounded by the arguments of the call
+        out = raw.join(F.broadcast(ids), plain(F.col("_p")) == plain(F.col("_path"))).select("source_file_id", "line_no", "value")
+    if odd:
+        rest = _misnamed(spark, odd)
+        out = rest if out is None else out.unionByName(rest)
+    return out if ends else out.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
 def write_lines(rows: DataFrame, order: list, path: str, header: list[str] = ()) -> None:

@@ -27,7 +27,7 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def parts(attrs: Column) -> Column:
     """The non-empty, trimmed attributes."""
-    return F.filter(F.transform(F.split(attrs, ";"), lambda a: F.trim(a)), lambda a: a != "")
+    return F.filter(F.transform(F.split(attrs, ";"), lambda a: F.regexp_replace(a, r"^\s+|\s+$", "")), lambda a: a != "")
 
 
 def attribute(attrs: Column, key: str) -> Column:
@@ -35,11 +35,21 @@ def attribute(attrs: Column, key: str) -> Column:
     return F.coalesce(F.regexp_extract(attrs, rf'(?:^|;)\s*{key}\s+"?([^";]*)"?', 1), F.lit(""))
 
 
-def prefixed(attrs: Column, key: str, last: bool) -> Column:
-    """Value of the last, or first, attribute whose key begins with ``key``."""
-    hits = F.filter(parts(attrs), lambda a: a.startswith(key))
-    value = F.trim(F.translate(F.regexp_replace(F.element_at(hits, -1 if last else 1), r"^\S+\s*", ""), '"', ""))
-    return F.when(F.size(hits) > 0, value).otherwise("")
+def ids(attrs: Column) -> Column:
+    """(tx_id, gene_id): attributes are read in order until both are known; of keys that begin with a name the latest so far stands.
+
+    A value is what the first pair of quotes holds, else the second word.
+    """
+    quoted = '"([^"]*)"'
+    value = lambda a: F.when(a.rlike(quoted), F.regexp_extract(a, quoted, 1)).otherwise(F.regexp_extract(a, r"^\S+\s+(\S+)", 1))
+
+    def step(acc: Column, a: Column) -> Column:
+        known = (acc["tx_id"] != "") & (acc["gene_id"] != "")
+        tx = ~known & a.startswith("transcript_id")
+        gene = ~known & ~tx & a.startswith("gene_id")
+        return F.struct(F.when(tx, value(a)).otherwise(acc["tx_id"]).alias("tx_id"), F.when(gene, value(a)).otherwise(acc["gene_id"]).alias("gene_id"))
+
+    return F.aggregate(parts(attrs), F.struct(F.lit("").alias("tx_id"), F.lit("").alias("gene_id")), step)
 
 
 def bag(attrs: Column) -> Column:
@@ -49,8 +59,8 @@ def bag(attrs: Column) -> Column:
 
 def exon_rows(gtf: DataFrame) -> DataFrame:
     """Exon lines in the shape that ``assemble.transcripts`` reads."""
-    e = gtf.filter("feature = 'exon'")
-    return e.select("source_file_id", "chrom", "strand", prefixed(F.col("attrs"), "transcript_id", False).alias("tx_id"), prefixed(F.col("attrs"), "gene_id", False).alias("gene_id"), F.col("start").alias("exon_start"), F.col("end").alias("exon_end"), "line_no")
+    e = gtf.filter("feature = 'exon'").withColumn("ids", ids(F.col("attrs")))
+    return e.select("source_file_id", "chrom", "strand", "ids.tx_id", "ids.gene_id", F.col("start").alias("exon_start"), F.col("end").alias("exon_end"), "line_no")
 
 
 def transcript_lines(gtf: DataFrame) -> DataFrame:

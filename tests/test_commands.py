@@ -2,11 +2,14 @@
 
 import gzip
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from spliceloom.plans import commands
 from spliceloom.operators.classify import ClassifyOptions
+from spliceloom.plans import commands
+from spliceloom.sources import bed, fasta, files, gtf
 
 #: GT at the left and AG at the right of an intron, on the plus strand; CT and AC for the minus strand.
 PLUS, MINUS = ("GT", "AG"), ("CT", "AC")
@@ -95,12 +98,90 @@ def test_tools(spark, merged):
     assert stats["merged_tx_count"] == 4 and stats["per_file"]["s1.gtf"]["extracted"] == 3
 
 
-def test_index_is_reused_and_bad_lines_fail(spark, toy):
-    (toy / "bad.gtf").write_text("chrT\tt\tgene\tx\t5\t.\t+\t.\ta\n")
-    with pytest.raises(Exception, match="bad GTF line"):
-        commands.index(spark, str(toy / "bad.gtf"), str(toy / "g.fa"))
-    a = commands.index(spark, str(toy / "ref.gtf"), str(toy / "g.fa"))[0]
+def test_index_is_reused_until_an_input_changes(spark, toy, monkeypatch):
+    path = toy / "own.gtf"
+    path.write_text((toy / "ref.gtf").read_text())
+    a = commands.index(spark, str(path), str(toy / "g.fa"))[0]
     assert {r.tx_id: r.tx_type for r in a.collect()} == {"R1": "ALL_CA", "R2": "ALL_CA", "R3": "MONO"}
-    (toy / "zip.gtf").write_bytes(gzip.compress(b"x"))
-    with pytest.raises(ValueError, match="compressed"):
-        commands.index(spark, str(toy / "zip.gtf"), str(toy / "g.fa"))
+    info = json.loads((toy / "own.gtf.index.info.json").read_text())
+    assert info["tx_cnt"] == 3 and info["gene_cnt"] == 3 and info["junction_cnt"] == 3 and info["missing_seqids"] == []
+    built = []
+    real = commands.assemble.transcripts
+    monkeypatch.setattr(commands.assemble, "transcripts", lambda *x, **k: built.append(1) or real(*x, **k))
+    assert commands.index(spark, str(path), str(toy / "g.fa"))[0].count() == 3 and not built
+    was = os.stat(path)
+    path.write_text(path.read_text().replace("R3", "R9"))  # as many bytes, at the same time
+    os.utime(path, ns=(was.st_atime_ns, was.st_mtime_ns))
+    assert {r.tx_id for r in commands.index(spark, str(path), str(toy / "g.fa"))[0].collect()} == {"R1", "R2", "R9"} and built
+
+
+@pytest.mark.parametrize("text,error", [
+    ("chrT\tt\tgene\tx\t5\t.\t+\t.\ta\n", "bad GTF line"), (tx("o", "g", "+", (100, 200), (150, 300)), "exons that overlap"),
+    (tx("o", "g", "+", (900, 950), (1200, 1300)), "outside of the sequence"), ("chrT\tt\tgene\t1\t5\t.\t+\t.\ta\n", "no transcript line"),
+])
+def test_bad_inputs_fail(spark, toy, text, error):
+    (toy / "bad.gtf").write_text(text)
+    with pytest.raises(Exception, match=error):
+        commands.index(spark, str(toy / "bad.gtf"), str(toy / "g.fa"))[0].collect()
+
+
+def test_compression_follows_content(spark, toy):
+    plain = (toy / "ref.gtf").read_bytes()
+    for name, data in (("zip.gtf", gzip.compress(plain[:100]) + gzip.compress(plain[100:])), ("plain.gtf.gz", plain), ("both.gtf.bgz", gzip.compress(plain))):
+        (toy / name).write_bytes(data)
+    paths = [str(toy / n) for n in ("zip.gtf", "ref.gtf", "plain.gtf.gz", "both.gtf.bgz")]
+    rows = files.lines(spark, paths).orderBy("source_file_id", "line_no").collect()
+    assert [[r.value for r in rows if r.source_file_id == i] for i in range(4)] == [plain.decode().splitlines()] * 4
+
+
+def test_chop_keeps_line_ends(spark, toy):
+    t = (toy / "ref.gtf").read_text().replace('gene_name "Alpha";', 'gene_name "Alpha"; ISOM_X "1";').replace("\n", "\r\n")
+    (toy / "dos.gtf").write_bytes(t.encode())
+    commands.chop(spark, str(toy / "dos.gtf"), str(toy / "dos"))
+    with gzip.open(toy / "dos.chopped.gtf.gz") as f:
+        out = f.read().decode()
+    assert out == t.replace(' ISOM_X "1";', "")
+
+
+def test_ids_of_attributes(spark):
+    cases = {
+        'gene_id "A"; transcript_id "T"; gene_id "B"': ("T", "A"), 'gene_id "A"; gene_id_x "B"; transcript_id "T"': ("T", "B"), "transcript_id T ; gene_id A": ("T", "A"),
+        'gene_id A"q; transcript_id "T"': ("T", 'A"q'), 'gene_id ""; transcript_id "T"; gene_id "C"': ("T", "C"), "transcript_id; x": ("", ""), "": ("", ""), 'note "a"; transcript_id\t"T"; gene_id\tA': ("T", "A"),
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "attrs string")
+    assert {r.attrs: (r.i.tx_id, r.i.gene_id) for r in d.select("attrs", gtf.ids(F.col("attrs")).alias("i")).collect()} == cases
+
+
+def test_sequence_end_is_an_end(spark, toy):
+    w = spark.createDataFrame([("chrT", 0, 10), ("chrT", 990, 1000), ("chrT", 995, 1005), ("chrT", 5, 5)], "chrom string, win_lo int, win_hi int")
+    got = {(r.win_lo, r.win_hi): len(r.seq) for r in fasta.windows(w, fasta.chunks(spark, str(toy / "g.fa"), 64), 64).collect()}
+    assert got == {(0, 10): 10, (990, 1000): 10}
+
+
+def test_aliases_and_guides_of_files(spark, toy):
+    (toy / "map.tsv").write_text("primary\tsecondary\nchrT\tT\n\nchrU\tU\n")
+    assert sorted(tuple(r) for r in bed.aliases(spark, str(toy / "map.tsv")).collect()) == [("chrT", "T"), ("chrU", "U")]
+    (toy / "twice.tsv").write_text("primary\tsecondary\nchrT\tT\nchrT\tU\n")
+    with pytest.raises(ValueError, match="repeated chromosome"):
+        bed.aliases(spark, str(toy / "twice.tsv"))
+    (toy / "tss.bed").write_text("chrT\t0\t1\tfirst\t0\t+\nT\t98\t112\tx\t1\t+\n")  # the first line is a header, whatever it holds
+    assert [tuple(r)[:4] for r in bed.guide(spark, str(toy / "tss.bed")).collect()] == [("T", "+", 99, 112)]
+    stats = commands.merge_files(spark, [str(toy / "s1.gtf"), str(toy / "s2.gtf.gz")], str(toy / "g.fa"), str(toy / "guided"), guide_tss=str(toy / "tss.bed"), alias=str(toy / "map.tsv"))
+    assert stats["tss_guide_cnt"] == 1 and stats["tes_guide_cnt"] == 0
+    assert 'ISOM_REPR_POLICY "major:guide_' in "\n".join(read(toy / "guided.merged.gtf.gz"))
+
+
+def test_unstranded_transcripts_and_two_chromosomes(spark, toy):
+    """Splice sites of unknown strand are taken as those of the strand that fits; chromosomes come in order of file, then name."""
+    d = toy / "two"
+    d.mkdir()
+    text = "".join((toy / "g.fa").read_text().splitlines()[1:])
+    (d / "g.fa").write_text(f">chrB\n{text}\n>chrA\n{text}\n")
+    (d / "g.fa.fai").write_text("chrB\t1000\t6\t1000\t1001\nchrA\t1000\t1013\t1000\t1001\n")
+    on = lambda c, s: s.replace("chrT", c)
+    (d / "a.gtf").write_text(on("chrB", tx("u1", "g", ".", (500, 550), (601, 700)) + tx("u2", "g", "+", (100, 150), (201, 250))))
+    (d / "b.gtf").write_text(on("chrA", tx("v1", "g", "+", (100, 150), (201, 250))) + on("chrB", tx("v2", "g", ".", (500, 552), (601, 700))))
+    stats = commands.merge_files(spark, [str(d / "a.gtf"), str(d / "b.gtf")], str(d / "g.fa"), str(d / "m"))
+    assert stats["total_tx_cnt"] == 4 and stats["merged_tx_cnt"] == 3
+    t = [x.split("\t") for x in read(d / "m.merged.gtf.gz") if "\ttranscript\t" in x]
+    assert [(x[0], x[6]) for x in t] == [("chrB", "+"), ("chrB", "."), ("chrA", "+")] and "S1:u1:500:700:ALL_CA" in t[1][8]

@@ -233,15 +233,6 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int = M
     return marked.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those whose group has a smaller id. ``groups``: (doc_id, component_id).
-
-    Rows of one id stay or go together; rows without an id stay.
-    """
-    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     g = simhash_groups(documents(spark, sf_dir))
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -14,8 +14,8 @@ id. The work is dealt out by content, so that every index stays small and no tex
    the other half is streamed through it, and where the matching statistics reach ``span`` the
    window is known to stand in a smaller id. Each slice hears back, for its stretches, the smallest
    id that holds the whole and the windows that smaller ids hold.
-   An anchor that very many slices have would fill a task; its stretches are cut into single
-   windows, which travel by a hash of their own bytes and meet only their equals.
+   An anchor that very many stretches have would fill a task; its windows are anchored anew, by
+   the least-hashed bytes in them that differ from it, and travel by both hashes.
 4. Each document looks up its stretches and removes the bytes: whole stretches that a smaller id
    holds, else their windows.
 
@@ -34,7 +34,6 @@ other null ids. Other columns are ignored. Every input row gives one row.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceloom.llm.letters import Letters, as_scan, breaks, packed, unpacked
 from spliceloom.llm.runindex import END, RunIndex, ranges
 from spliceloom.llm.textio import documents
-from spliceloom.session import work_dir, written
 
 SPAN = 50
 #: Bytes of an anchor.
@@ -58,10 +57,10 @@ ROWS = 500
 INDEX = 250_000
 #: Bytes of text for each bucket of anchors, about.
 BUCKET_BYTES = 8 << 20
-#: Slices with an anchor beyond which its stretches are cut into windows.
-HOT = 4096
-#: Rows of a file whose messages share a directory.
-BLOCK = 1 << 16
+#: Stretches of an anchor, about, beyond which its windows are anchored anew.
+HOT = 20_000
+#: Windows that are anchored anew in one step.
+STEP = 1 << 16
 NULL_ID = 2**63 - 1
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -91,6 +90,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         length *= 2
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes mixed again: the least ones of windows are small numbers, which would fill few buckets."""
+    return _mix(h * np.uint64(0x9E3779B97F4A7C15))
+
+
 def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(for each window start: place of the leftmost least hash within the window, all hashes)."""
     h = gram_hashes(data)
@@ -124,8 +128,7 @@ def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int)
     new = np.concatenate([[True], (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)])
     first = at[new]
     count = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
-    # the least hashes of windows are small numbers; mixed again they spread evenly over buckets
-    return np.searchsorted(starts, first, "right") - 1, first, count, _mix(h[place[first]] * np.uint64(0x9E3779B97F4A7C15))
+    return np.searchsorted(starts, first, "right") - 1, first, count, _spread(h[place[first]])
 
 
 def stretches_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int):
@@ -159,7 +162,7 @@ def _slices(batches: Iterator[pa.RecordBatch]):
         text = b.column(3).cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-        fresh = np.flatnonzero((files[1:] != files[:-1]) | (rows[1:] // BLOCK != rows[:-1] // BLOCK) | (rows[1:] < rows[:-1])) + 1
+        fresh = breaks(files, rows)
         for x, y in zip([0, *fresh.tolist()], [*fresh.tolist(), len(text)], strict=True):
             a = x
             while a < y:
@@ -169,11 +172,6 @@ def _slices(batches: Iterator[pa.RecordBatch]):
                 a = z
 
 
-def _box(file: int, row: int) -> str:
-    """Directory of the messages to a block of rows."""
-    return f"{file}-{row // BLOCK}"
-
-
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -185,11 +183,12 @@ def _runs(new: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _shared_list(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes, whether several documents have them)."""
+    """(distinct hashes, a byte each: 128 if several documents have it, and the bits of the number of its stretches)."""
     order = np.argsort(h)
     h, owner = h[order], owner[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
+    bits = np.ceil(np.log2(np.diff(np.concatenate([at, [len(h)]])) + 1)).astype(np.uint8)
+    return h[at], bits | (128 * (np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at))).astype(np.uint8)
 
 
 def _matrix(data: np.ndarray, first: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
@@ -208,70 +207,24 @@ def _string_hashes(strings: np.ndarray, h: np.ndarray) -> np.ndarray:
     return own
 
 
-def _with_windows(data, owner, first, count, h, is_hot, span: int):
-    """The hot stretches as single windows, each with a hash of all its bytes, behind the others."""
+def _anchored_anew(data, owner, first, count, h, is_hot, span: int):
+    """The stretches, those that are hot cut by the second anchors of their windows, with a hash of both anchors."""
     n = count[is_hot]
-    start = ranges(first[is_hot], n)
-    grams, own = gram_hashes(data), np.zeros(len(start), np.uint64)
-    for at in [*range(0, span - GRAM, GRAM), span - GRAM]:
-        own = _mix(own * np.uint64(0x9E3779B97F4A7C15) + grams[start + at])
+    start, old, of = ranges(first[is_hot], n), np.repeat(h[is_hot], n), np.repeat(np.arange(len(n)), n)
+    grams = gram_hashes(data)
+    place, key = np.empty(len(start), np.int64), np.empty(len(start), np.uint64)
+    for a in range(0, len(start), STEP):
+        at = start[a : a + STEP, None] + np.arange(span - GRAM + 1)
+        raw = grams[at]
+        raw[_spread(raw) == old[a : a + STEP, None]] = np.uint64(2**64 - 1)  # a window that holds nothing else is one byte repeated
+        k = raw.argmin(axis=1)
+        place[a : a + STEP] = start[a : a + STEP] + k
+        key[a : a + STEP] = _mix(_spread(raw[np.arange(len(k)), k]) * np.uint64(0x9E3779B97F4A7C15) + old[a : a + STEP])
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])]))
     cold = ~is_hot
-    return np.concatenate([owner[cold], np.repeat(owner[is_hot], n)]), np.concatenate([first[cold], start]), np.concatenate([count[cold], np.ones(len(start), np.int64)]), np.concatenate([h[cold], own])
-
-
-class Letters:
-    """Messages to rows of files: (file, lo, hi, ...) tables in the shared folder, in the order of ``lo``."""
-
-    def __init__(self, df: DataFrame, columns: list[str]):
-        """``df``: file, lo, hi and ``columns``; lo and hi, the first and last row meant, lie in one block."""
-        spark = df.sparkSession
-        self.uri = f"{work_dir(spark)}/mail-{uuid.uuid4().hex}"
-        self.columns = ["lo", "hi", *columns]
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        box = F.concat_ws("-", F.col("file").cast("string"), F.floor(F.col("lo") / BLOCK).cast("string"))
-        df.select(box.alias("box"), *self.columns).repartition(n, "box").sortWithinPartitions("box", "lo").write.partitionBy("box").parquet(self.uri)
-
-    def _letters(self, box: str) -> Iterator[tuple]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.uri)
-        found = store.get_file_info(fs.FileSelector(f"{root}/box={box}", allow_not_found=True))
-        for x in sorted((x.path for x in found if x.path.endswith(".parquet"))):
-            with store.open_input_file(x) as f:
-                for b in pq.ParquetFile(f).iter_batches(256, columns=self.columns):
-                    yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-    def reader(self):
-        """A function of (file, lo, hi) that gives the letters to any of those rows; quick while rows ascend."""
-        box, reached, stream, held, ahead = None, -1, iter(()), [], None
-
-        def read(file: int, lo: int, hi: int) -> list[tuple]:
-            nonlocal box, reached, stream, held, ahead
-            if (want := _box(file, lo)) != box or lo < reached:
-                box, stream, held, ahead = want, self._letters(want), [], None
-                ahead = next(stream, None)
-            reached = lo
-            held = [x for x in held if x[1] >= lo]
-            while ahead is not None and ahead[0] <= hi:
-                if ahead[1] >= lo:
-                    held.append(ahead)
-                ahead = next(stream, None)
-            return [x for x in held if x[0] <= hi]
-
-        return read
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
-
-
-def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, at, out = np.frombuffer(data, "<u4", len(kinds)).tolist(), 4 * len(kinds), []
-    for k, kind in zip(n, kinds, strict=True):
-        out.append(np.frombuffer(data, kind, k, at))
-        at += out[-1].nbytes
-    return out
+    return (
+        np.concatenate([owner[cold], owner[is_hot][of[new]]]), np.concatenate([first[cold], start[new]]), np.concatenate([count[cold], np.diff(np.concatenate([new, [len(start)]]))]), np.concatenate([h[cold], key[new]]),
+    )
 
 
 def mark_stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, group: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -359,18 +312,15 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def removed_spans(docs: DataFrame, *, span: int = SPAN, is_scan: bool = False, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def removed_spans(docs: DataFrame, *, span: int = SPAN, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document, see SCHEMA; with ``with_text`` also the remaining bytes as ``kept``.
 
-    ``docs`` is read three times by file and row. Unless ``is_scan`` says that it is a plain scan of
-    Parquet files, ids and texts are first written to the shared folder.
+    ``docs`` is read three times by file and row; where it is no plain scan of files, ids and texts
+    are first written to the shared folder.
     """
     if span < GRAM + 1:
         raise ValueError(f"span must exceed {GRAM}")
-    if not is_scan or "_metadata" in docs.columns:
-        docs = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")), "dedup-input")
-        id_col, text_col = "id", "text"
-    docs = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    docs = as_scan(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("binary"))
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
@@ -381,29 +331,30 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, is_scan: bool = False, h
             owner, _, _, h = stretches_of(data, starts, ends, span)
             if not len(h):
                 continue
-            h, several = _shared_list(owner, h)
+            h, seen = _shared_list(owner, h)
             to = _bucket_of(h, buckets)  # ascending, as the hashes are
             runs = _runs(np.diff(to) != 0)
             low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(to[a]) for a, _ in runs]), *(pa.array([x] * len(runs), pa.int64()) for x in (file, int(rows[0]), int(rows[-1]))),
-                 pa.array([low[a:z].tobytes() for a, z in runs], pa.binary()), pa.array([np.packbits(several[a:z]).tobytes() for a, z in runs], pa.binary())],
-                names=["bucket", "file", "lo", "hi", "hashes", "several"],
+                 pa.array([low[a:z].tobytes() for a, z in runs], pa.binary()), pa.array([seen[a:z].tobytes() for a, z in runs], pa.binary())],
+                names=["bucket", "file", "lo", "hi", "hashes", "seen"],
             )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(x, np.uint32) for x in pdf["hashes"]]
         sizes = [len(x) for x in lists]
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["several"], sizes, strict=True)])
+        seen = np.frombuffer(b"".join(pdf["seen"]), np.uint8)
         h = np.concatenate(lists)
         _, same = np.unique(h, return_inverse=True)
-        n = np.bincount(same, 1 + several)[same]
+        shared = (np.bincount(same, 1 + (seen >> 7)) > 1)[same]
+        is_hot = (np.bincount(same, 2.0 ** (seen & 127) - 1) > hot)[same]
         cut = np.cumsum(sizes)[:-1]
-        told = [packed(x[k > 1], (k > hot)[k > 1]) for x, k in zip(np.split(h, cut), np.split(n, cut), strict=True)]
-        out = pd.DataFrame({"file": pdf["file"], "lo": pdf["lo"], "hi": pdf["hi"], "bucket": pdf["bucket"], "known": told})
-        return out[[bool((k > 1).any()) for k in np.split(n, cut)]]
+        parts = list(zip(np.split(h, cut), np.split(shared, cut), np.split(is_hot, cut), strict=True))
+        out = pd.DataFrame({"file": pdf["file"], "lo": pdf["lo"], "hi": pdf["hi"], "bucket": pdf["bucket"], "known": [packed(x[k], w[k]) for x, k, w in parts]})
+        return out[[bool(k.any()) for _, k, _ in parts]]
 
-    asked = docs.mapInArrow(ask, "bucket long, file long, lo long, hi long, hashes binary, several binary")
+    asked = docs.mapInArrow(ask, "bucket long, file long, lo long, hi long, hashes binary, seen binary")
     answers = Letters(asked.groupBy("bucket").applyInPandas(answer, "file long, lo long, hi long, bucket long, known binary"), ["bucket", "known"])
 
     def shared(letters: list[tuple], data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -428,7 +379,7 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, is_scan: bool = False, h
         is_hot = is_hot[at[k]]
         owner, first, count, h = owner[k], first[k], count[k], h[k]
         if is_hot.any():
-            owner, first, count, h = _with_windows(data, owner, first, count, h, is_hot, span)
+            owner, first, count, h = _anchored_anew(data, owner, first, count, h, is_hot, span)
         return owner, first, count + span - 1, h
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,4 +460,4 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, is_scan: bool = False, h
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return removed_spans(documents(spark, sf_dir), is_scan=True)
+    return removed_spans(documents(spark, sf_dir))

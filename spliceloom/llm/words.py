@@ -49,6 +49,12 @@ class UnitStore:
             UnitStore._last.clear()
         UnitStore._last = self
 
+    @classmethod
+    def release(cls) -> None:
+        """Empty the store that is in use."""
+        if cls._last is not None:
+            cls._last.clear()
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)

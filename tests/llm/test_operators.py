@@ -119,7 +119,7 @@ def test_op1_whatever_the_partitions_of_its_passes(spark, edited, monkeypatch):
         for x in range(len(layouts)):
             turn = iter(layouts[x:] + layouts[:x])
             relayout()
-            assert got(substring.removed_spans(spark.read.parquet(path), is_scan=True)) == out
+            assert got(substring.removed_spans(spark.read.parquet(path))) == out
     finally:
         for k, v in zip(keys, was, strict=True):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -606,11 +606,9 @@ def test_near_duplicate_groups(spark, empty, monkeypatch):
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     part[a] = part[b] = min(part[a], part[b])
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1000, 3):
-        monkeypatch.setattr(neardup, "BLOCK", block)
-        res = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d).collect()}
-        assert res.keys() == part.keys() and all(part[i] == part[c] for i, c in res.items())
-        assert sum(res[i] == part[i] for i in part) >= 0.97 * len(part)
+    for hot, side in ((32, 2000), (2, 3)):
+        monkeypatch.setattr(neardup, "SIDE", side)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d, hot=hot).collect()} == part
     assert got(neardup.near_duplicate_groups(empty)) == []
 
 
@@ -639,10 +637,37 @@ def test_near_duplicates_by_appended_cut_and_replaced_text(spark, monkeypatch):
         expected |= part
     assert sum(i != c for i, c in expected.items()) > 150
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot, counted in ((100, 20_000), (2, 0)):
-        monkeypatch.setattr(neardup, "HOT", hot, raising=False)
-        monkeypatch.setattr(neardup, "COUNT_ALL", counted, raising=False)
-        assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d).collect()} == expected
+    for hot, counted, split in ((32, 20_000, 20_000), (2, 0, 20_000), (1, 20_000, 1)):
+        monkeypatch.setattr(neardup, "COUNT_ALL", counted)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d, hot=hot, split=split).collect()} == expected
+    kept = neardup.without_near_duplicates(d.withColumn("c0", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "c0"] and {r.doc_id for r in kept.collect()} == {i for i, c in expected.items() if i == c}
+
+
+def test_hot_shingles_link_all_groups(spark, monkeypatch):
+    """Texts around one template in several families, of which no two neighbours by size need be similar."""
+    from spliceloom.llm import neardup
+
+    own = random.Random(44)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        w, f = list(base), own.randrange(4)
+        w[:6] = [f"f{f}x{j}" for j in range(6)] if f else w[:6]
+        for _ in range(own.randint(0, 2)):
+            w[own.randrange(60)] = f"n{own.randint(0, 10**6)}"
+        rows.append((i, " ".join(w[: 60 - own.randint(0, 8)])))
+    sets = {i: set(neardup.shingles(t).tolist()) for i, t in rows}
+    part = {i: i for i in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    part[a] = part[b] = min(part[a], part[b])
+    monkeypatch.setattr(neardup, "SIDE", 20)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot, split in ((1, 20_000), (1, 3), (32, 20_000)):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d, hot=hot, split=split).collect()} == part
 
 
 def test_bands_reject_stutter_and_random_letters():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spliceloom.functions import transcript as T
 from spliceloom.operators import assemble
 
-#: Loci of the queries; benchmarks take more, so that pairs grow with the input.
+#: Loci of the queries and benchmarks, whatever the scale: pairs of transcripts at a locus grow with the square of the input.
 LOCI = 200
 
 EXONS = """

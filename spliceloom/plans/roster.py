@@ -49,7 +49,8 @@ def junction_explode(spark, d):
     return A.transcripts(spark, d).select("tx_id", F.posexplode("junctions").alias("pos", "j")).select("tx_id", "pos", "j.l", "j.r")
 
 
-@query("exon_roundtrip", "select tx_id, string_agg(exon_start || '-' || exon_end, ',' order by exon_start) as exon_text, true as valid from exons group by tx_id")
+@query("exon_roundtrip", """, ok as (select tx_id, bool_and(l < r and coalesce(r <= nxt, true)) as valid from (select *, lead(l) over (partition by tx_id order by pos) as nxt from jn) group by tx_id)
+ select tx_id, string_agg(exon_start || '-' || exon_end, ',' order by exon_start) as exon_text, coalesce(any_value(valid), true) as valid from exons left join ok using (tx_id) group by tx_id""")
 def exon_roundtrip(spark, d):
     back = T.exons_of(F.col("start"), F.col("end"), F.col("junctions"))
     text = F.array_join(F.transform(back, lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ",")

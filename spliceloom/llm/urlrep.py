@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spliceloom.session import written
+
 #: (host and path as one string, verdict); the path starts at the first slash.
 RULES: tuple[tuple[str, str], ...] = (
     ("com/en/", "block"),
@@ -121,6 +123,7 @@ def url_filter(
     counts = base.select("page_id", "host").join(seen, F.col("page_id") == F.col("o_id"), "left").groupBy("host").agg(
         F.coalesce(F.sum("o_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("o_bad"), F.lit(0)).alias("bad")
     )
+    counts = written(counts, "host-counts")  # one row a host, read by every level
     bound = host_reputation(counts).select("host", lower_bound(F.col("a"), F.col("b"), z).alias("host_bad_bound"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     return base.join(bound, "host", "left").select(

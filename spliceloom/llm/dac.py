@@ -203,8 +203,9 @@ def write_token_files(
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "name", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    return written(ordered.mapInArrow(run, schema), "token-manifest")
+    # by the texts too: rows without an id, or of one id, may be many
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h")
+    return written(ordered.select("id", "text").mapInArrow(run, schema), "token-manifest")
 
 
 def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, bucket: int = BUCKET) -> D
         return cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     table = segments(plan(counts), capacity)
     buckets = max(16, -(-sum(counts) // bucket))
-    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(buckets)).cast("int"))
+    dealt = cut.withColumn("deal", F.pmod(F.xxhash64(*cut.columns), F.lit(buckets)).cast("int"))
     first = dealt.groupBy("length", "deal").agg(F.count("*").alias("n"))
     first = first.select(F.col("length").alias("l"), F.col("deal").alias("d"), (F.sum("n").over(Window.partitionBy("length").orderBy("deal")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "deal").orderBy("doc_id", "piece", *[c for c in cut.columns if c not in ("doc_id", "piece", "length")])

@@ -185,3 +185,26 @@ def test_unstranded_transcripts_and_two_chromosomes(spark, toy):
     assert stats["total_tx_cnt"] == 4 and stats["merged_tx_cnt"] == 3
     t = [x.split("\t") for x in read(d / "m.merged.gtf.gz") if "\ttranscript\t" in x]
     assert [(x[0], x[6]) for x in t] == [("chrB", "+"), ("chrB", "."), ("chrA", "+")] and "S1:u1:500:700:ALL_CA" in t[1][8]
+
+
+def test_documented_counts(spark, tmp_path):
+    """Thirteen transcripts of three samples make ten, in six categories of a reference of three genes."""
+    seq = ["A"] * 1000
+    for l, r, (x, y) in ((150, 201, PLUS), (250, 301, PLUS), (150, 221, PLUS), (550, 601, MINUS), (650, 701, MINUS)):
+        seq[l : l + 2], seq[r - 3 : r - 1] = x, y
+    (tmp_path / "g.fa").write_text(">chrT\n" + "".join(seq) + "\n")
+    (tmp_path / "g.fa.fai").write_text("chrT\t1000\t6\t1000\t1001\n")
+    a = ((101, 150), (201, 250), (301, 400))
+    (tmp_path / "ref.gtf").write_text(tx("A1", "GeneA", "+", *a) + tx("B1", "GeneB", "-", (501, 550), (601, 650), (701, 800)) + tx("C1", "GeneC", "+", (851, 950)))
+    samples = {
+        "s1.gtf": tx("exact", "x", "+", *a) + tx("subset", "x", "+", *a[1:]) + tx("mono", "x", "+", (851, 950)) + tx("antisense", "x", "+", (501, 540)),
+        "s2.gtf": tx("shifted", "x", "+", (111, 150), a[1], (301, 390)) + tx("known_sites", "x", "+", a[0], a[2]) + tx("novel_site", "x", "+", a[0], (221, 250), a[2]) + tx("in_exon", "x", "+", (311, 380)),
+        "s3.gtf": tx("off_by_one", "x", "+", (201, 251), a[2]) + tx("far_tss", "x", "+", (21, 150), *a[1:]) + tx("mono_overlap", "x", "+", (853, 950)) + tx("retained", "x", "+", (131, 220)) + tx("between", "x", "+", (961, 990)),
+    }
+    for name, text in samples.items():
+        (tmp_path / name).write_text(text)
+    stats = commands.merge_files(spark, [str(tmp_path / n) for n in samples], str(tmp_path / "g.fa"), str(tmp_path / "m"))
+    assert stats["total_tx_cnt"] == 13 and stats["merged_tx_cnt"] == 10 and stats["source_tx_cnt_per_merged_tx"] == {"1": 7, "2": 3}
+    assert stats["merged_multi_exons_tx_cnt"] == 5 and stats["merged_mono_exon_tx_cnt"] == 5
+    stats = commands.classify_files(spark, str(tmp_path / "m.merged.gtf.gz"), str(tmp_path / "ref.gtf"), str(tmp_path / "g.fa"), str(tmp_path / "c"))
+    assert stats["categories"] == {"antisense": 1, "full-splice_match": 3, "incomplete-splice_match": 2, "intergenic": 1, "novel_in_catalog": 2, "novel_not_in_catalog": 1}

@@ -22,6 +22,15 @@ POLYA_MOTIFS = (
 )
 
 
+def with_chr(chrom: Column) -> Column:
+    """A chromosome name that begins with chr."""
+    return F.when(chrom.startswith("chr"), chrom).otherwise(F.concat(F.lit("chr"), chrom))
+
+
+def without_chr(chrom: Column) -> Column:
+    return F.when(chrom.startswith("chr"), F.substring(chrom, F.lit(4), F.length(chrom))).otherwise(chrom)
+
+
 def strand_rank(strand: Column) -> Column:
     return F.when(strand == "+", 0).when(strand == "-", 1).otherwise(2)
 

@@ -128,6 +128,12 @@ def repr_junctions(members: DataFrame, policy: str = "major", group: str = "gkey
     )
 
 
+def junction_ranges(members: DataFrame, group: str = "gkey") -> DataFrame:
+    """(group, pos, l_min, l_max, r_min, r_max): how far the junctions of a group's members spread."""
+    j = members.select(group, F.posexplode("junctions").alias("pos", "j"))
+    return j.groupBy(group, "pos").agg(F.min("j.l").alias("l_min"), F.max("j.l").alias("l_max"), F.min("j.r").alias("r_min"), F.max("j.r").alias("r_max"))
+
+
 def guide_key(points: DataFrame, guide: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     """(chrom, strand, guide_chrom): the alias stands in only where the guide lacks the pair of chromosome and strand."""
     have = guide.select(F.col("chrom").alias("gc"), F.col("strand").alias("gs")).distinct()

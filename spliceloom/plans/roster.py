@@ -187,6 +187,17 @@ def _repr_j(policy):
 for _p, _l, _r, _f in (("major", "case when ties = 1 then ml else in_l end", "case when ties = 1 then mr else in_r end", "ties > 1"), ("longer", "in_l", "in_r", "false"), ("shorter", "out_l", "out_r", "false")):
     query(f"repr_junction_{_p}", _RJ.replace("{l}", _l).replace("{r}", _r).replace("{fell}", _f).replace("{policy}", _p))(_repr_j(_p))
 
+@query("junction_ranges", _CLUSTERS + " select gkey, cast(pos as int) as pos, min(l) as l_min, max(l) as l_max, min(r) as r_min, max(r) as r_max from g join (select tx_id, pos, l, r from jn) using (tx_id) group by gkey, pos")
+def junction_ranges(spark, d):
+    return merge.junction_ranges(_clusters(spark, d))
+
+
+@query("chrom_names", "select tx_id, replace(chrom, 'chr', '') as bare, chrom as padded from tx")
+def chrom_names(spark, d):
+    bare = T.without_chr(F.col("chrom"))
+    return A.transcripts(spark, d).select("tx_id", bare.alias("bare"), T.with_chr(bare).alias("padded"))
+
+
 _RT = _CLUSTERS + """, q as (select gkey, strand, {side} as pos, count(*) as n{hit} from g {join} group by gkey, strand, {side}{hit2}),
  b as (select gkey, max(hits) as best from q group by gkey), k as (select q.* , best from q join b using (gkey) where best = 0 or hits = best),
  f as (select gkey, any_value(strand) as strand, any_value(best) as best, count(*) as kinds, min(pos) as lo, max(pos) as hi, max(n) as top from k group by gkey),

@@ -146,6 +146,14 @@ def antisense_genes(spark, d):
     return C.antisense_genes(_pairs(spark, d)).select("tx_id", F.array_join("antisense", ",").alias("genes"))
 
 
+@query("gene_endpoint_diffs", _PAIRS + """, gg as (select distinct tx_id, chrom, strand, s, e, gene from pr where strand = r_strand),
+ gd as (select gg.tx_id, gg.strand, min({'far': abs(r.s - gg.s), 'd': r.s - gg.s}).d as ds, min({'far': abs(gg.e - r.e), 'd': gg.e - r.e}).d as de
+   from gg join rf r on r.gene_id = gg.gene and r.chrom = gg.chrom and r.strand = gg.strand group by gg.tx_id, gg.strand)
+ select tx_id, case when strand = '-' then de else ds end as diff_to_gene_tss, case when strand = '-' then ds else de end as diff_to_gene_tes from gd""")
+def gene_endpoint_diffs(spark, d):
+    return C.gene_endpoint_diffs(_pairs(spark, d), C.reference_of(_sides(spark, d)[1])).select("tx_id", "diff_to_gene_tss", "diff_to_gene_tes")
+
+
 def _classified(spark, d):
     return C.classify(*_sides(spark, d))
 

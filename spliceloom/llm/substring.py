@@ -58,7 +58,7 @@ INDEX = 250_000
 #: Bytes of text for each bucket of anchors, about.
 BUCKET_BYTES = 8 << 20
 #: Stretches of an anchor, about, beyond which its windows are anchored anew.
-HOT = 20_000
+HOT = 50_000
 #: Windows that are anchored anew in one step.
 STEP = 1 << 16
 NULL_ID = 2**63 - 1
@@ -210,8 +210,10 @@ def _string_hashes(strings: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _anchored_anew(data, owner, first, count, h, is_hot, span: int):
     """The stretches, those that are hot cut by the second anchors of their windows, with a hash of both anchors."""
     n = count[is_hot]
-    start, old, of = ranges(first[is_hot], n), np.repeat(h[is_hot], n), np.repeat(np.arange(len(n)), n)
-    grams = gram_hashes(data)
+    length = n + span - 1
+    base = np.cumsum(length) - length
+    grams = gram_hashes(data[ranges(first[is_hot], length)])  # of these stretches alone
+    start, old, of = ranges(base, n), np.repeat(h[is_hot], n), np.repeat(np.arange(len(n)), n)
     place, key = np.empty(len(start), np.int64), np.empty(len(start), np.uint64)
     for a in range(0, len(start), STEP):
         at = start[a : a + STEP, None] + np.arange(span - GRAM + 1)
@@ -223,7 +225,7 @@ def _anchored_anew(data, owner, first, count, h, is_hot, span: int):
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])]))
     cold = ~is_hot
     return (
-        np.concatenate([owner[cold], owner[is_hot][of[new]]]), np.concatenate([first[cold], start[new]]), np.concatenate([count[cold], np.diff(np.concatenate([new, [len(start)]]))]), np.concatenate([h[cold], key[new]]),
+        np.concatenate([owner[cold], owner[is_hot][of[new]]]), np.concatenate([first[cold], (start - base[of] + first[is_hot][of])[new]]), np.concatenate([count[cold], np.diff(np.concatenate([new, [len(start)]]))]), np.concatenate([h[cold], key[new]]),
     )
 
 

@@ -12,7 +12,7 @@ from spliceloom.plans import roster
 DATA = "/root/testdata/sf0.001"
 NAMES = [
     "tx_from_exons", "super_clusters", "merge_exact_chain", "wobble_components", "mono_components", "terminal_anchor_split_both", "repr_junction_major", "repr_tes_major", "repr_tss_guided",
-    "nc_absorption", "junction_and_exon_diffs", "merge_default", "merge_guided_both", "merge_unsplit", "merge_track", "preclass", "associated_hits", "classify_full", "nearest_cage", "nearest_polya", "downstream_a", "polya_motif", "chop_attrs", "valtable",
+    "nc_absorption", "junction_and_exon_diffs", "merge_guided_both", "merge_track", "preclass", "associated_hits", "classify_full", "nearest_cage", "nearest_polya", "downstream_a", "polya_motif", "chop_attrs", "valtable",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
-from spliceloom.llm.words import encoder, slices
+from spliceloom.llm.words import FEW_BYTES, encoder, slices
 from spliceloom.session import written
 
 CAPACITY = 4096
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
         e = encoder(tokenizer, keeps_spaces)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, texts in slices(b.column(1)):
+            for first, texts in slices(b.column(1), FEW_BYTES):
                 ids, n = e.encode(texts)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
-from spliceloom.llm.words import UnitStore, _sum_by, flat_lists, slices, split_spaces
+from spliceloom.llm.words import FEW_BYTES, FEW_UNITS, UnitStore, _sum_by, flat_lists, slices, split_spaces
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ class Vocabulary:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.store = UnitStore(lambda words: flat_lists(self.model.encode(words, num_threads=1)))
+        self.store = UnitStore(lambda words: flat_lists(self.model.encode(words, num_threads=1)), FEW_UNITS)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
 
 
@@ -205,7 +205,7 @@ def quality_rules(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_i
         v = vocabulary(vocabulary_path)
         for b in batches:
             ids, langs = b.column(0), b.column(2).to_pylist()
-            for first, texts in slices(b.column(1)):
+            for first, texts in slices(b.column(1), FEW_BYTES):
                 out = measure(texts, langs[first : first + len(texts)], v)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), *(pa.array(x) for x in out)], names=list(COLUMNS))
 
@@ -221,7 +221,7 @@ def quality_filter(docs: DataFrame, vocabulary_path: str, *, text_col: str = "te
         v = vocabulary(vocabulary_path)
         for b in batches:
             langs = b.column(lang_at).to_pylist()
-            for first, texts in slices(b.column(text_at)):
+            for first, texts in slices(b.column(text_at), FEW_BYTES):
                 kept = measure(texts, langs[first : first + len(texts)], v)[6]
                 yield b.slice(first, len(texts)).filter(pa.array(kept))
 

@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units that a store holds at most before it starts anew.
-UNITS = 600_000
-#: Bytes of text that one step of array operations takes.
-SLICE_BYTES = 6 << 20
+#: Units that a store holds at most before it starts anew, and fewer where memory counts for more than time.
+UNITS, FEW_UNITS = 600_000, 250_000
+#: Bytes of text that one step of array operations takes, and fewer likewise.
+SLICE_BYTES, FEW_BYTES = 6 << 20, 3 << 20
 #: New units that are encoded in one text, and what stands between them where spaces are dropped.
 JOINED, MARK = 500, "\x01"
 #: Words of Latin letters, which no step before the model cuts or composes.
@@ -150,7 +150,7 @@ class TextEncoder:
             self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         else:
             self.mark = self._one_by_one([MARK])[0]
-        self.store = UnitStore(self._units)
+        self.store = UnitStore(self._units, UNITS if keeps_spaces else FEW_UNITS)
 
     def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_lists([e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)])

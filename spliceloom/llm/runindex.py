@@ -86,6 +86,7 @@ class RunIndex:
         self.symbols, run_symbol = np.unique(bwt, return_inverse=True)
         self.first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.last = np.concatenate([self.first[1:], [n]]) - 1
+        self.run_of = np.repeat(np.arange(len(self.first), dtype=np.int32), self.last - self.first + 1)
         self.symbol = run_symbol[self.first]
         # rows before the runs of a symbol in first-column order, then runs of the same symbol
         self.by_symbol = np.lexsort((self.first, self.symbol))
@@ -113,10 +114,13 @@ class RunIndex:
             live = live[most[live] > done]
         return out
 
-    def matching_statistics(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, colour: np.ndarray):
+    def matching_statistics(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, colour: np.ndarray, span: int = 0):
         """Yield (pattern numbers, place, length) from the last place of the patterns to the first.
 
         ``length`` is that of the longest prefix of the pattern from the place on in any string of its colour.
+        With a ``span``, patterns leave as soon as no further place can reach a length of ``span``: a match of
+        that length from some place in front of ``place`` < ``span`` ends at ``span`` or behind, so the one from
+        ``place`` does too.
         """
         text, start = joined(data, first, length)
         words = _words(text)
@@ -126,12 +130,15 @@ class RunIndex:
         row, matched = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         by_length = np.argsort(-length, kind="stable")
         enough = np.cumsum(np.bincount(length[by_length], minlength=int(length.max(initial=0)) + 1)[::-1])[::-1]
+        out = np.zeros(len(first), bool)
         for step in range(1, int(length.max(initial=0)) + 1):
             live = by_length[: enough[step]]
+            if span and not len(live := live[~out[live]]):
+                continue
             place = length[live] - step
             c = asked[start[live] + place]
             r, got = row[live], matched[live]
-            run = np.searchsorted(self.first, r, "right") - 1
+            run = self.run_of[r].astype(np.int64)
             off = np.flatnonzero(self.symbol[run] != c)
             if len(off):
                 none = c[off] < 0
@@ -159,4 +166,6 @@ class RunIndex:
             r = self.target[run] + r - self.first[run]
             got = got + 1
             row[live], matched[live] = r, got
+            if span:
+                out[live[(place < span) & (place + got < span)]] = True
             yield live, place, got

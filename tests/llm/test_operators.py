@@ -177,6 +177,34 @@ def test_match_length_decides_which_windows_go(monkeypatch):
     assert (n >= 50).any() and ((n > 20) & (n < 50)).any() and 0 < len(expected) < sum(len(s) - 49 for s in strings)
 
 
+def test_only_what_may_share_a_window_is_indexed_and_streamed():
+    own = random.Random(51)
+    words = ["".join(own.choice("abcdefgh") for _ in range(own.randint(3, 9))) for _ in range(12)]
+    texts = [" ".join(own.choice(words) for _ in range(own.randint(5, 60))) for _ in range(400)] + ["a" * 300, "b" + "a" * 200, "ab" * 90, "c" + "ab" * 80]
+    data, starts, n = _flat([t.encode() for t in texts])
+    owner, first, count, h = substring.stretches_of(data, starts, starts + n, 50)
+    strings = substring._matrix(data, first, count + 49, 80)
+    _, lead, same = np.unique(substring._string_hashes(strings, h), return_index=True, return_inverse=True)
+    least = np.full(len(lead), 10**6)
+    np.minimum.at(least, same, owner)
+    strings, first, length, h = strings[lead], first[lead], count[lead] + 49, h[lead]
+    held = {}
+    for k in range(len(lead)):
+        for p in range(length[k] - 49):
+            held.setdefault((h[k], data[first[k] + p : first[k] + p + 50].tobytes()), []).append((least[k], k, p))
+    several = [x for x in held.values() if len({v for v, _, _ in x}) > 1]
+    some = substring.may_share(strings, length, h, least, 50)
+    assert {k for x in several for _, k, _ in x} <= set(some.tolist())
+    anchored = substring._two_ids(h, least)
+    assert set(some.tolist()) <= set(np.flatnonzero(anchored).tolist()) and len(some) < 0.7 * anchored.sum()
+    s, w = substring.mark_stretches(data, first[some], length[some], h[some], least[some], 50)
+    assert set(zip(some[s].tolist(), w.tolist())) == {(k, p) for x in several for v, k, p in x if v > min(x)[0]}
+    index = runindex.RunIndex(data, first[:300], length[:300], np.zeros(300))
+    asked = [runindex.RunIndex.matching_statistics(index, data, first[300:600], length[300:600], np.zeros(300), *span) for span in ((), (50,))]
+    whole, early = ({(i, p): m for who, place, matched in x for i, p, m in zip(who.tolist(), place.tolist(), matched.tolist())} for x in asked)
+    assert early.items() <= whole.items() and len(early) < len(whole) and {x for x, m in early.items() if m >= 50} == {x for x, m in whole.items() if m >= 50}
+
+
 def test_stretches_hold_every_window_once(monkeypatch):
     own = random.Random(2)
     texts = [bytes(own.choice(b"abc") for _ in range(n)) for n in (0, 49, 50, 51, 900, 10, 5000, 60)]

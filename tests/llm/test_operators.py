@@ -789,6 +789,38 @@ def test_hot_shingles_link_all_groups(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d, hot=hot, split=split).collect()} == part
 
 
+def test_near_dedup_starts_from_simhash_links(spark, monkeypatch):
+    from spliceloom.llm import neardup
+
+    own = random.Random(61)
+    rows = []
+    for k in range(30):
+        w = [own.choice(WORDS) for _ in range(400)]
+        for c in range(4):
+            x = list(w)
+            for _ in range(c):
+                x[own.randrange(400)] = f"n{own.randint(0, 9999)}"
+            rows.append((10 * k + c, " ".join(x)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    node = {r.node: r.doc_id for r in d.select("doc_id", neardup._hash(F.col("text")).alias("node")).collect()}
+    fp = {i: simhash.fingerprint(t) for i, t in rows}
+
+    def closed(pairs):
+        part = {i: i for i in fp}
+        for _ in fp:
+            for a, b in pairs:
+                part[a] = part[b] = min(part[a], part[b])
+        return part
+
+    near = closed([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert closed([(node[r.a], node[r.b]) for r in neardup._fingerprint_pairs(d).collect()]) == near
+    assert 30 < sum(i != x for i, x in near.items()) < 90
+    asked, links = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a, **b: (asked.append(a), links(*a, **b))[1])
+    groups = {r.doc_id: r.component_id for r in neardup.near_duplicate_groups(d).collect()}
+    assert len(asked) == 1 and groups == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_bands_reject_stutter_and_random_letters():
     own = random.Random(5)
     v = quality.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))

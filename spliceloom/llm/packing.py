@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
 from spliceloom.llm.words import FEW_BYTES, encoder, slices
-from spliceloom.session import written
+from spliceloom.session import small_batches, written
 
 CAPACITY = 4096
 #: Pieces of a bucket, about, when ranks are dealt out.
@@ -214,7 +214,9 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, bucket: int = BUCKET) -> D
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int | None = 1, keeps_spaces: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces; texts are encoded once."""
-    return pack(written(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, keeps_spaces=keeps_spaces, id_col=id_col, text_col=text_col), "pieces"), capacity=capacity)
+    with small_batches(docs.sparkSession, FEW_BYTES):
+        cut = written(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, keeps_spaces=keeps_spaces, id_col=id_col, text_col=text_col), "pieces")
+    return pack(cut, capacity=capacity)
 
 
 def op4_best_fit_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

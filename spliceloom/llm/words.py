@@ -9,6 +9,7 @@ tokenizer over the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import re
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 #: Units that a store holds at most before it starts anew, and fewer where memory counts for more than time.
 UNITS, FEW_UNITS = 600_000, 250_000
 #: Bytes of text that one step of array operations takes, and fewer likewise.
-SLICE_BYTES, FEW_BYTES = 6 << 20, 3 << 20
+SLICE_BYTES, FEW_BYTES = 6 << 20, 3 << 19
 #: New units that are encoded in one text, and what stands between them where spaces are dropped.
 JOINED, MARK = 500, "\x01"
 #: Words of Latin letters, which no step before the model cuts or composes.
@@ -33,6 +34,13 @@ BYTES = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_S
 SPACE = BYTES[0x20]
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class UnitStore:
     """Distinct units and their ids in one flat array."""
 
@@ -47,6 +55,7 @@ class UnitStore:
         """Empty the store that was used before this one: a process holds one full store at a time."""
         if UnitStore._last is not None and UnitStore._last is not self:
             UnitStore._last.clear()
+            give_back()
         UnitStore._last = self
 
     @classmethod
@@ -54,6 +63,8 @@ class UnitStore:
         """Empty the store that is in use."""
         if cls._last is not None:
             cls._last.clear()
+            cls._last = None
+            give_back()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}

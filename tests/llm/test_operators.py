@@ -821,6 +821,38 @@ def test_near_dedup_starts_from_simhash_links(spark, monkeypatch):
     assert len(asked) == 1 and groups == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_tiles_hand_on_only_what_common_shingles_allow(monkeypatch):
+    from spliceloom.llm import neardup
+
+    own = random.Random(71)
+    keys = [set(own.sample(range(40), own.randint(3, 14))) for _ in range(120)]
+    size = [own.randint(60, 75) for _ in keys]
+    group = [own.randint(0, 8) for _ in keys]
+    rare = [own.randint(0, 4) for _ in keys]
+    enough = lambda i, j, n: n + min(rare[i], rare[j]) + math.ceil(0.8 * max(size[i], size[j])) - 1 >= 0.8 / 1.8 * (size[i] + size[j]) - 1e-9
+    expected = {(i, j): len(keys[i] & keys[j]) for j in range(120) for i in range(j) if group[i] != group[j] and keys[i] & keys[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and enough(i, j, len(keys[i] & keys[j]))}
+    met = sum(len(keys[i] & keys[j]) for j in range(120) for i in range(j) if group[i] != group[j])
+    assert 20 < len(expected) < met / 5
+    for listed, strip, codes in ((256, 250, 1024), (256, 7, 3), (4, 50, 5)):
+        monkeypatch.setattr(neardup, "STRIP", strip)
+        monkeypatch.setattr(neardup, "CODES", codes)
+        found = []
+        for key in range(40):
+            at = np.array([i for i in range(120) if key in keys[i]])
+            lists = np.empty(len(at), object)
+            lists[:] = [np.array(sorted(keys[i])[:listed]) for i in at]
+            side = {"node": at, "size": np.array(size)[at], "c": np.array(group)[at], "rare": np.array(rare)[at], "total": np.array([len(keys[i]) for i in at]), "keys": lists, "is_main": np.zeros(len(at), bool)}
+            i, j, n = neardup.tile_candidates(side, side, key, 0.8)
+            found += zip(at[i].tolist(), at[j].tolist(), n.tolist())
+        if listed == 256:
+            assert len(found) == len(expected) and {(i, j): n for i, j, n in found} == expected
+        else:
+            least = {}
+            for i, j, n in found:
+                least[i, j] = min(n, least.get((i, j), n))
+            assert expected.keys() <= least.keys() and all(least[x] >= n for x, n in expected.items())
+
+
 def test_bands_reject_stutter_and_random_letters():
     own = random.Random(5)
     v = quality.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -154,14 +155,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int | None = 1, keeps_spaces: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, most: int = FEW_BYTES, capacity: int = CAPACITY, end_id: int | None = 1, keeps_spaces: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of at most ``capacity`` tokens of each document, with a checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, keeps_spaces)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, texts in slices(b.column(1), FEW_BYTES):
+            for first, texts in slices(b.column(1), most):
                 ids, n = e.encode(texts)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
@@ -212,10 +213,10 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, bucket: int = BUCKET) -> D
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int | None = 1, keeps_spaces: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces; texts are encoded once."""
-    with small_batches(docs.sparkSession, FEW_BYTES):
-        cut = written(pieces(docs, tokenizer, capacity=capacity, end_id=end_id, keeps_spaces=keeps_spaces, id_col=id_col, text_col=text_col), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, *, batch_bytes: int | None = None, capacity: int = CAPACITY, end_id: int | None = 1, keeps_spaces: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces; texts are encoded once, where memory is short in batches of ``batch_bytes``."""
+    with small_batches(docs.sparkSession, batch_bytes) if batch_bytes else nullcontext():
+        cut = written(pieces(docs, tokenizer, most=batch_bytes or FEW_BYTES, capacity=capacity, end_id=end_id, keeps_spaces=keeps_spaces, id_col=id_col, text_col=text_col), "pieces")
     return pack(cut, capacity=capacity)
 
 

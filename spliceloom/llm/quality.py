@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceloom.llm.textio import documents
-from spliceloom.llm.words import FEW_BYTES, FEW_UNITS, UnitStore, _sum_by, flat_lists, slices, split_spaces
+from spliceloom.llm.words import FEW_BYTES, FEW_UNITS, FEWEST_BYTES, UnitStore, _sum_by, flat_lists, slices, split_spaces
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -221,7 +221,7 @@ def quality_filter(docs: DataFrame, vocabulary_path: str, *, text_col: str = "te
         v = vocabulary(vocabulary_path)
         for b in batches:
             langs = b.column(lang_at).to_pylist()
-            for first, texts in slices(b.column(text_at), FEW_BYTES):
+            for first, texts in slices(b.column(text_at), FEWEST_BYTES):
                 kept = measure(texts, langs[first : first + len(texts)], v)[6]
                 yield b.slice(first, len(texts)).filter(pa.array(kept))
 

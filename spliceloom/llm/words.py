@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 
 #: Units that a store holds at most before it starts anew, and fewer where memory counts for more than time.
 UNITS, FEW_UNITS = 600_000, 250_000
-#: Bytes of text that one step of array operations takes, and fewer likewise.
-SLICE_BYTES, FEW_BYTES = 6 << 20, 3 << 19
+#: Bytes of text that one step of array operations takes, fewer likewise, and fewest, where other stages have filled memory before.
+SLICE_BYTES, FEW_BYTES, FEWEST_BYTES = 6 << 20, 3 << 20, 3 << 19
 #: New units that are encoded in one text, and what stands between them where spaces are dropped.
 JOINED, MARK = 500, "\x01"
 #: Words of Latin letters, which no step before the model cuts or composes.

@@ -38,8 +38,8 @@ CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of texts whose chains a reading task holds at a time; longer texts are read word by word.
 WINDOW_BYTES, LONG_BYTES = 16 << 20, 1 << 22
-#: Partitions of the routed texts for each partition of the scan, so that chains fit in memory.
-SPREAD = 4
+#: Bytes of texts that a routed partition's chains hold, about.
+ROUTED_BYTES = 24 << 20
 
 
 def text_mask(text: bytes, code_points: int) -> int:
@@ -140,7 +140,7 @@ def failures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(part_col).cast("string"), F.lit("")), text.cast("binary"), F.length(text)).rdd
-    parts = max(SPREAD * read.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // ROUTED_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = read.mapPartitions(_read).partitionBy(parts, lambda key: key).mapPartitions(_routed)
     return spark.createDataFrame(routed, "doc_id long, part string, mask int, n long", verifySchema=False)
 

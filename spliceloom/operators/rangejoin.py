@@ -18,12 +18,11 @@ def _binned(df: DataFrame, lo: Column, hi: Column, size: int, tag: str) -> DataF
     return df.withColumn(f"_{tag}0", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, F.floor(hi / size)))))
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_span: tuple[str, str], right_span: tuple[str, str], condition: Column, *, bin_size: int = BIN, semi: list[str] | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_span: tuple[str, str], right_span: tuple[str, str], condition: Column, *, bin_size: int = BIN) -> DataFrame:
     """Rows whose closed spans share a point and that fulfil ``condition``.
 
-    ``keys``: pairs of equal columns. Column names of the two sides must differ. With ``semi``, the
-    distinct values of these columns of the left side instead. ``condition`` may assume nothing but
-    must imply that the closed spans meet.
+    ``keys``: pairs of equal columns. Column names of the two sides must differ. ``condition`` may
+    assume nothing but must imply that the closed spans meet.
     """
     (a, b), (c, d) = left_span, right_span
 
@@ -40,11 +39,8 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], l
     def joined(lefts: DataFrame, rights: DataFrame, size: int) -> DataFrame:
         x = _binned(lefts, F.col(a), F.col(b), size, "l").withColumnRenamed("_bin", "_bin_l")
         y = _binned(rights, F.col(c), F.col(d), size, "r").withColumnRenamed("_bin", "_bin_r")
-        if semi:
-            return x.join(y, (F.col("_bin_l") == F.col("_bin_r")) & on, "left_semi").select(semi)
         return x.join(y, (F.col("_bin_l") == F.col("_bin_r")) & once & on).drop("_bin_l", "_bin_r", "_l0", "_r0")
 
     short = joined(level(left, a, b, False), level(right, c, d, False), bin_size)
     coarse = bin_size * COARSE
-    out = short.unionByName(joined(level(left, a, b, True), right, coarse)).unionByName(joined(level(left, a, b, False), level(right, c, d, True), coarse))
-    return out.distinct() if semi else out
+    return short.unionByName(joined(level(left, a, b, True), right, coarse)).unionByName(joined(level(left, a, b, False), level(right, c, d, True), coarse))

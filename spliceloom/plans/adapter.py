@@ -23,6 +23,12 @@ select concat('T', l_orderkey) as tx_id, concat('chr', l_orderkey % 5 + 1) as ch
   cast((l_orderkey % {loci}) * 4000 + 1000 + l_linenumber * 200 + 100 + case when min(l_suppkey) % 19 = 0 then 3 else 0 end as int) as exon_end
 from {lineitem} group by l_orderkey, l_linenumber"""
 
+#: Every seventh order keeps the introns inside pairs of neighbouring slots, as one long exon.
+RETAINED = """
+select tx_id, chrom, strand, source_file_id, locus, cast(min(slot) as int) as slot, min(exon_start) as exon_start, max(exon_end) as exon_end
+from (select *, case when cast(substr(tx_id, 2) as bigint) % 7 = 0 then floor((slot + 1) / 2) else slot + 100 end as part from ({exons}) x) y
+group by tx_id, chrom, strand, source_file_id, locus, part"""
+
 GENE = "concat('G', min(locus), case when max(slot) <= 3 then 'A' when min(slot) >= 5 then 'B' else 'C' end)"
 
 GUIDES = """
@@ -40,9 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def exons(spark: SparkSession, sf_dir: str, loci: int = LOCI) -> DataFrame:
-    """Exon rows in the shape that a GTF scan gives."""
-    rows = spark.sql(EXONS.replace("{loci}", str(loci)), lineitem=table(spark, sf_dir, "lineitem"))
+def exons(spark: SparkSession, sf_dir: str, loci: int = LOCI, retained: bool = False) -> DataFrame:
+    """Exon rows in the shape that a GTF scan gives; ``retained``: some orders keep introns inside exons."""
+    sql = RETAINED.replace("{exons}", EXONS) if retained else EXONS
+    rows = spark.sql(sql.replace("{loci}", str(loci)), lineitem=table(spark, sf_dir, "lineitem"))
     genes = rows.groupBy("tx_id").agg(F.expr(GENE).alias("gene_id"))
     return rows.join(genes, "tx_id").withColumn("line_no", F.col("slot").cast("long"))
 
@@ -52,8 +59,8 @@ def motif(l, r):
     return F.when((l + r) % 11 == 0, "CT-CC").when((l + r) % 13 == 0, "GC-AG").otherwise("GT-AG")
 
 
-def transcripts(spark: SparkSession, sf_dir: str, loci: int = LOCI) -> DataFrame:
-    tx = assemble.transcripts(exons(spark, sf_dir, loci))
+def transcripts(spark: SparkSession, sf_dir: str, loci: int = LOCI, retained: bool = False) -> DataFrame:
+    tx = assemble.transcripts(exons(spark, sf_dir, loci, retained))
     return assemble.with_types(tx, F.transform("junctions", lambda j: motif(j["l"], j["r"]).isin(*T.CANONICAL)))
 
 
@@ -68,8 +75,9 @@ def genome(lo, hi):
 
 
 #: The same for DuckDB: CTEs exons, genes, tx (with lists), junctions.
+_EXONS = EXONS.replace("{loci}", str(LOCI)).replace("{lineitem}", "lineitem")
 CTE = f"""
-exons as ({EXONS.replace("{loci}", str(LOCI)).replace("{lineitem}", "lineitem")}),
+exons as ({_EXONS}),
 genes as (select tx_id, {GENE} as gene_id from exons group by tx_id),
 ex as (select e.*, lead(exon_start) over (partition by tx_id order by exon_start) as nxt from exons e),
 jn as (select tx_id, chrom, strand, source_file_id, exon_end as l, nxt as r, row_number() over (partition by tx_id order by exon_start) - 1 as pos,
@@ -83,4 +91,6 @@ tx as (select t0.*, gene_id, coalesce(chain, '') as chain, jl, case when n_exons
 w1 as (select *, max(e) over (partition by chrom order by s, e, source_file_id, tx_id rows between unbounded preceding and 1 preceding) as reach from tx),
 isl as (select * exclude (reach), max(case when reach is null or s > reach then s end) over (partition by chrom order by s, e, source_file_id, tx_id rows unbounded preceding) as island from w1)
 """
+#: The same over exons with retained introns.
+RETAINED_CTE = CTE.replace(_EXONS, RETAINED.replace("{exons}", _EXONS))
 GUIDE_CTE = f"guides as (select chrom, strand, start0, start0 + 1 as gs, end1 as ge from ({GUIDES.replace('{customer}', 'customer')}))"

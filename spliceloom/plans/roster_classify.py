@@ -72,18 +72,18 @@ _FULL = _HITS + _KNOWN + _INTRON + _IR + _ANTI + """, gj as (select distinct gen
    tx_type in ('MONO', 'ALL_CA') as all_canonical from a2)"""
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, cte: str = A.CTE):
     def keep(f):
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = f"with recursive {A.CTE} {sql}"
+            _SQL[name] = f"with recursive {cte} {sql}"
         return f
 
     return keep
 
 
-def _sides(spark, d):
-    tx = A.transcripts(spark, d)
+def _sides(spark, d, retained=False):
+    tx = A.transcripts(spark, d, retained=retained)
     return tx.filter("source_file_id > 0"), tx.filter("source_file_id = 0")
 
 
@@ -132,15 +132,21 @@ def known_junctions(spark, d):
 @query("intron_containment", _KNOWN + _INTRON + " select tx_id from ci")
 def intron_containment(spark, d):
     q, r = _sides(spark, d)
-    return C.in_known_intron(q, C.reference_of(r)).select("tx_id").distinct()
+    return C.in_known_intron(q, C.reference_of(r)).select("tx_id")
 
 
-@query("intron_retention", _KNOWN + _IR + " select tx_id from ir")
+@query("intron_retention", _KNOWN + _IR + " select tx_id from ir", A.RETAINED_CTE)
 def intron_retention(spark, d):
-    q, r = _sides(spark, d)
+    q, r = _sides(spark, d, retained=True)
     return C.retains_known_intron(q, C.reference_of(r)).select("tx_id")
 
 
+@query("classify_retained", _FULL + " select structural_category, subcategory, count(*) as tx_cnt from fin group by all", A.RETAINED_CTE)
+def classify_retained(spark, d):
+    done = C.classify(*_sides(spark, d, retained=True))
+    return done.groupBy("structural_category", "subcategory").agg(F.count("*").alias("tx_cnt"))
+
+
 @query("antisense_genes", _PAIRS + _ANTI + " select tx_id, genes from an")
 def antisense_genes(spark, d):
     return C.antisense_genes(_pairs(spark, d)).select("tx_id", F.array_join("antisense", ",").alias("genes"))

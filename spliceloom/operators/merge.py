@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.functions import transcript as T
+from spliceloom.operators.anchors import anchors
 from spliceloom.operators.components import connected_components
 from spliceloom.operators.islands import with_islands
 from spliceloom.operators.rangejoin import range_join
@@ -94,16 +95,7 @@ def anchor_split(members: DataFrame, keys: list[str], mode: str, tss_wob: int, t
     with_ends = members.withColumn("tss", T.tss(F.col("strand"), F.col("start"), F.col("end"))).withColumn("tes", T.tes(F.col("strand"), F.col("start"), F.col("end")))
     if mode == "none":
         return with_ends.withColumn("a_tss", F.lit(0)).withColumn("a_tes", F.lit(0))
-    ends = with_ends.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("tss", "tes"))).alias("ends"))
-    start = F.struct(F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.array().cast("array<struct<tss:int,tes:int,a_tss:int,a_tes:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        stays = F.coalesce(T.terminal_match(mode, x["tss"] - acc["s"], x["tes"] - acc["e"], tss_wob, tes_wob), F.lit(False)) & acc["s"].isNotNull()
-        s, e = F.when(stays, acc["s"]).otherwise(x["tss"]), F.when(stays, acc["e"]).otherwise(x["tes"])
-        row = F.struct(x["tss"].alias("tss"), x["tes"].alias("tes"), s.alias("a_tss"), e.alias("a_tes"))
-        return F.struct(s.alias("s"), e.alias("e"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    walked = ends.select(*keys, F.explode(F.aggregate("ends", start, step, lambda acc: acc["out"])).alias("w")).select(*keys, "w.*")
+    walked = anchors(with_ends.select(*keys, "tss", "tes").distinct(), keys, mode, tss_wob, tes_wob)
     return with_ends.join(walked, [*keys, "tss", "tes"])
 
 

@@ -55,12 +55,12 @@ _SENSITIVE_WORD = re.compile("|".join(sorted(SENSITIVE)), re.IGNORECASE)
 #: Words that name the type of a variable, not the variable.
 TYPES = frozenset("any bool byte bytes bytestring char character const final let nvarchar object optional str string string_view text var val varchar".split())
 
-_STRING = r"""[rbufRBUFL@$]{0,2}(?:\"\"\"(?P<t1>(?:\\.|(?!\"\"\").)*)\"\"\"|\'\'\'(?P<t2>(?:\\.|(?!\'\'\').)*)\'\'\'|"(?P<q1>(?:\\.|[^"\\\n])*)"|'(?P<q2>(?:\\.|[^'\\\n])*)'|`(?P<q3>(?:\\.|[^`\\\n])*)`)"""
-_QUOTED = re.compile(_STRING, re.DOTALL)
-_TOKEN = re.compile(
-    rf"(?P<string>(?<![A-Za-z0-9_]){_STRING})|(?P<comment>(?:(?<=\s)|^)\#|(?<!:)//|/\*|<!--)|(?P<name>[A-Za-z_$][A-Za-z0-9_.$\-]*)|(?P<op>[=!]==?|<=|>=|=>|=~|:=|\?=|::|:/{{2}}|[=:])|(?P<mark>[\[\](){{}},;?*&])",
-    re.DOTALL | re.MULTILINE,
-)
+_OPEN = re.compile(r"[rbufRBUFL@$]{0,2}(?=[\"'`])")
+_OTHER = r"(?P<comment>(?:(?<=\s)|^)\#|(?<!:)//|/\*|<!--)|(?P<name>[A-Za-z_$][A-Za-z0-9_.$\-]*)|(?P<op>[=!]==?|<=|>=|=>|=~|:=|\?=|::|:/{2}|[=:])|(?P<mark>[\[\](){},;?*&])"
+_TOKEN = re.compile(rf"(?P<string>(?<![A-Za-z0-9_]){_OPEN.pattern})|{_OTHER}", re.MULTILINE)
+_NO_STRING = re.compile(_OTHER, re.MULTILINE)
+#: What a string holds, up to its closing quote; escapes are pairs.
+_BODY = {q: re.compile(rf"(?:\\.|[^{q}\\\n])*", re.DOTALL) for q in "\"'`"} | {q: re.compile(rf"(?:\\.|(?!{q})[^\\])*", re.DOTALL) for q in ('"""', "'''")}
 _ASSIGNS = ("=", ":", ":=", "=>", "?=")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+")
 _CALL = re.compile(r"[A-Za-z_$][\w.$]*\([\x20\t]*(?=[rbufRBUFL@$]{0,2}[\"'`])")
@@ -68,8 +68,9 @@ _IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*")
 #: What joins a value to a further string, or to a further name.
 _NEXT_STRING = re.compile(r"[\x20\t]*(?:(?:\+|\.\.?)[\x20\t]*(?:\\?\r?\n[\x20\t]*)?|\\\r?\n[\x20\t]*)?(?=[rbufRBUFL@$]{0,2}[\"'`])")
 _NEXT_NAME = re.compile(r"[\x20\t]*\+[\x20\t]*(?:\\?\r?\n[\x20\t]*)?(?=[A-Za-z_$])")
-#: A type behind a colon, up to the sign that assigns.
-_ANNOTATION = re.compile(r"[\x20\t]*[A-Za-z_&*][\w.\[\],\x20|<>?*&:]*=(?![=>])")
+#: A type behind a colon: blanks, then letters and marks of types up to the sign that assigns.
+_BLANKS = re.compile(r"[\x20\t]*")
+_TYPE = re.compile(r"(?=[A-Za-z_&*])[\w.\[\],\x20|<>?*&:]+")
 _BLOCK = re.compile(r"[\x20\t]*[|>][+\-]?[0-9]?[\x20\t]*(?:#[^\n]*)?\n")
 _INDENT = re.compile(r"[\x20\t]*(?:-[\x20\t]+)*")
 
@@ -102,9 +103,49 @@ class Assignment:
     parts: list[tuple] = field(default_factory=list)
 
 
-def _content(m: re.Match) -> tuple[int, int, str]:
-    k = next(g for g in ("t1", "t2", "q1", "q2", "q3") if m[g] is not None)
-    return m.start(k), m.end(k), m[k]
+class Tokens:
+    """The tokens of a statement so far. Each knows its partner, if it closes a bracket, and the last token that is no pointer mark."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, str, tuple | None, int, int]] = []
+        self.open: list[int] = []
+
+    def add(self, kind: str, word: str, string: tuple | None = None) -> None:
+        here, partner = len(self.rows), -1
+        if word == "[":
+            self.open.append(here)
+        elif word == "]" and self.open:
+            partner = self.open.pop()
+        base = here if word not in ("?", "*", "&") else self.rows[-1][4] if self.rows else -1
+        self.rows.append((kind, word, string, partner, base))
+
+    def last(self) -> tuple | None:
+        """Content of the last token, if that is a string."""
+        return self.rows[-1][2] if self.rows else None
+
+    def target(self) -> str | None:
+        """What a sign behind these tokens assigns to: a name, or what stands in brackets."""
+        rows = self.rows
+        k = rows[-1][4] if rows else -1
+        if k >= 0 and rows[k][1] == "]":
+            j = rows[k][3]
+            if k - j == 2:
+                kind, word, string = rows[j + 1][:3]
+                if kind == "string":
+                    return string[2]
+                if kind == "name" and word.lower() not in TYPES:
+                    return word
+            k = j - 1
+        if k < 0:
+            return None
+        kind, word, string = rows[k][:3]
+        if kind == "string":
+            return string[2]
+        if kind != "name":
+            return None
+        if word.lower() in TYPES and k and rows[k - 1][0] == "name":
+            return rows[k - 1][1]
+        return word
 
 
 class Lexer:
@@ -113,12 +154,14 @@ class Lexer:
     def __init__(self, text: str):
         self.text = text
         self.found: list[Assignment] = []
+        self.unclosed: dict[tuple[str, int], tuple[int, int]] = {}  # (quote, end): where strings do not close
+        self.typed = (0, 0, 0)  # a stretch of characters that types are written in, and the line's end when it was read
 
     def read(self, start: int, end: int, scope: str = "code") -> list[Assignment]:
         text, at = self.text, start
         sign = re.compile("[=:]")
         while m := sign.search(text, at, end):
-            line = max(at, text.rfind("\n", start, m.start()) + 1)
+            line = max(at, text.rfind("\n", at, m.start()) + 1)
             at = self._line(line, end, scope)
         return self.found
 
@@ -127,17 +170,17 @@ class Lexer:
         text, line = self.text, at
         stop = text.find("\n", at, end)
         stop = end if stop < 0 else stop
-        tokens: list[tuple] = []  # of the statement: (kind, text, match)
+        tokens = Tokens()
         annotated, key, loose = None, None, []
-        while (m := _TOKEN.search(text, at, end)) and m.start() < stop:
-            kind, at = m.lastgroup if m.lastgroup in ("comment", "name", "op", "mark") else "string", m.end()
+        while (m := self._token(at, end)) and m[1] < stop:
+            kind, start, at, word, string = m
             if at > stop:
                 stop = text.find("\n", at, end)
                 stop = end if stop < 0 else stop
             if kind == "comment" and scope == "comment":
                 continue
             if kind == "comment":
-                close = {"/*": "*/", "<!--": "-->"}.get(m[0])
+                close = {"/*": "*/", "<!--": "-->"}.get(word)
                 until = stop if close is None else text.find(close, at, end)
                 until = end if until < 0 else until
                 self.read(at, until, "comment")
@@ -145,17 +188,17 @@ class Lexer:
                 if at > stop:
                     stop = text.find("\n", at, end)
                     stop = end if stop < 0 else stop
-            elif kind == "mark" and m[0] in ",;({}":
-                tokens, annotated = [], None
-            elif kind == "op" and m[0] in _ASSIGNS:
-                names = tuple(dict.fromkeys(n for n in (annotated, self._target(tokens)) if n))
-                if m[0] == ":" and names and _ANNOTATION.match(text, at, stop):
+            elif kind == "mark" and word in ",;({}":
+                tokens, annotated = Tokens(), None
+            elif kind == "op" and word in _ASSIGNS:
+                names = tuple(dict.fromkeys(n for n in (annotated, tokens.target()) if n))
+                if word == ":" and names and self._annotates(at, stop):
                     annotated = names[-1]
-                    tokens.append((kind, m[0], m))
+                    tokens.add(kind, word)
                     continue
-                if tokens and tokens[-1][0] == "string":
-                    loose = [x for x in loose if x is not tokens[-1][2]]
-                if names and (got := self._value(at, stop, end, line, m[0])):
+                if loose and tokens.last() is loose[-1]:  # it is a name, no text by itself
+                    loose.pop()
+                if names and (got := self._value(at, stop, end, line, word)):
                     parts, at = got
                     if names[-1] in ("name", "key", "id") and parts[0][0] == "literal":
                         key = parts[0][3]
@@ -165,46 +208,62 @@ class Lexer:
                     if at > stop:
                         stop = text.find("\n", at, end)
                         stop = end if stop < 0 else stop
-                    tokens = []
+                    tokens = Tokens()
                 annotated = None
             else:
                 if kind == "string":
-                    loose.append(m)
-                tokens.append((kind, m[0], m))
-        for m in loose:
-            s, e, inner = _content(m)
+                    loose.append(string)
+                tokens.add(kind, word, string)
+        for s, e, inner in loose:
             if "=" in inner or ":" in inner:
                 self.read(s, e, scope)
         return max(stop + 1, at)
 
-    @staticmethod
-    def _target(tokens: list[tuple]) -> str | None:
-        k = len(tokens) - 1
-        while k >= 0 and tokens[k][1] in ("?", "*", "&"):
-            k -= 1
-        if k >= 0 and tokens[k][1] == "]":
-            depth, j = 0, k
-            while j >= 0:
-                depth += {"]": 1, "[": -1}.get(tokens[j][1], 0)
-                if depth == 0:
-                    break
-                j -= 1
-            inside = tokens[j + 1 : k]
-            if len(inside) == 1 and inside[0][0] == "string":
-                return _content(inside[0][2])[2]
-            if len(inside) == 1 and inside[0][0] == "name" and inside[0][1].lower() not in TYPES:
-                return inside[0][1]
-            k = j - 1
-        if k < 0:
-            return None
-        kind, word, m = tokens[k]
-        if kind == "string":
-            return _content(m)[2]
-        if kind != "name":
-            return None
-        if word.lower() in TYPES and k and tokens[k - 1][0] == "name":
-            return tokens[k - 1][1]
-        return word
+    def _token(self, at: int, end: int) -> tuple[str, int, int, str, tuple | None] | None:
+        """(kind, start, end, text, content of a string) of the next token."""
+        while m := _TOKEN.search(self.text, at, end):
+            if m.lastgroup != "string":
+                return m.lastgroup, m.start(), m.end(), m[0], None
+            if got := self._string(m.end(), end):
+                *string, after = got
+                return "string", m.start(), after, "", tuple(string)
+            if other := _NO_STRING.match(self.text, m.start(), end):
+                return other.lastgroup, other.start(), other.end(), other[0], None
+            at = m.start() + 1
+        return None
+
+    def _string(self, at: int, end: int) -> tuple[int, int, str, int] | None:
+        """(content's start and end, content, end) of the string whose opening quote is at ``at``.
+
+        Where a string does not close, quotes of its kind up to the place where it broke off are
+        escaped ones; strings that open there break off at the same place and are not read again.
+        """
+        text, q = self.text, self.text[at]
+        for quote in (3 * q, q) if q != "`" and text.startswith(3 * q, at, end) else (q,):
+            first, last = self.unclosed.get((quote, end), (0, 0))
+            if first <= at < last:
+                continue
+            a = at + len(quote)
+            z = _BODY[quote].match(text, a, end).end()
+            if text.startswith(quote, z, end):
+                return a, z, text[a:z], z + len(quote)
+            self.unclosed[quote, end] = (at, z)
+        return None
+
+    def _quoted(self, at: int, end: int) -> tuple[int, int, str, int] | None:
+        m = _OPEN.match(self.text, at, end)
+        return self._string(m.end(), end) if m else None
+
+    def _annotates(self, at: int, stop: int) -> bool:
+        """Whether a type stands behind a colon, and a sign that assigns behind it. No character of types is such a sign, so a stretch of them is read once."""
+        text, p = self.text, _BLANKS.match(self.text, at, stop).end()
+        first, last, until = self.typed
+        if not (until == stop and first <= p < last and (text[p] in "_&*" or (text[p].isascii() and text[p].isalpha()))):
+            if not (m := _TYPE.match(text, p, stop)):
+                return False
+            first, last = m.span()
+            self.typed = (first, last, stop)
+        return last < stop and text[last] == "=" and not (last + 1 < stop and text[last + 1] in "=>")
 
     def _value(self, at: int, stop: int, end: int, line: int, op: str) -> tuple[list[tuple], int] | None:
         text = self.text
@@ -220,12 +279,12 @@ class Lexer:
             parts.append(("literal", s, e, value))
 
         while True:
-            if m := _QUOTED.match(text, at, end):
-                literal(*_content(m))
-                at = m.end()
-            elif (m := _CALL.match(text, at, end)) and (q := _QUOTED.match(text, m.end(), end)):
-                literal(*_content(q))
-                at = q.end()
+            if q := self._quoted(at, end):
+                literal(*q[:3])
+                at = q[3]
+            elif (m := _CALL.match(text, at, end)) and (q := self._quoted(m.end(), end)):
+                literal(*q[:3])
+                at = q[3]
                 while at < end and text[at] in "\x20\t)":
                     at += 1
             elif parts or ((m := _IDENTIFIER.match(text, at, stop)) and _NEXT_NAME.match(text, m.end(), end)) or (m and _NEXT_STRING.match(text, m.end(), end) and "+" in _NEXT_STRING.match(text, m.end(), end)[0]):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -630,9 +631,25 @@ def test_constants_by_plain_code():
         assert secretscan.lexed(text) == sorted(set(spans)), text
 
 
-def test_lexing_is_linear():
-    for t in ("=", "a=", '"', ": ", "# ", "[", "]", "secret = a + ", '"\\"', "/*", 'x = "a'):
-        secretscan.lexed(t * 60_000 + "= secret")
+@pytest.mark.parametrize(
+    "part", ["12:30 lunch at: hall ", "12:30 at: x ", "a]: ", "] = ", '"x" "k":"v" ', "* = ", "a[ = ", "k: [ ", "a: b: ", "x: |\n", 'a\\"=', '\\"""a=1\n', 'a=r"', "`k=\\`", "/* k:v ", "<!-- a=b ", "a = b + ",
+     "=", "a=", '"', ": ", "# ", "[", "]", "secret = a + ", '"\\"', "/*", 'x = "a'],
+)
+def test_lexing_is_linear(part):
+    took = []
+    for size in (100_000, 400_000):
+        text = "secret password " + part * (size // len(part))
+        start = time.process_time()
+        secretscan.spans(text)
+        took.append(time.process_time() - start)
+    # four times the text: a scan of quadratic cost takes sixteen times as long
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 5
+
+
+def test_strings_that_do_not_close():
+    assert secretscan.lexed('password = "ab\\"cd1234XY \n') == []
+    text = 'note: it\'s\npassword = "abcd1234XYZW"\nx = """ \\""" password'
+    assert [text[s:e] for s, e in secretscan.lexed(text)] == ["abcd1234XYZW"]
 
 
 def test_pipeline(docs, spark):

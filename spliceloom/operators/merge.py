@@ -288,10 +288,17 @@ def track(groups: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+PRESENT_KEYS = ("merged_tx_id", "merged_gene_id", "merged_exon_num", "src_tx_count_in_merged_group")
+
+
+def present_in(tracked: DataFrame) -> DataFrame:
+    """(PRESENT_KEYS, files): the input files of each merged transcript, sorted; ids, since names may repeat."""
+    return tracked.groupBy(*PRESENT_KEYS).agg(F.sort_array(F.collect_set("source_file_id")).alias("files"))
+
+
 def present_absent(tracked: DataFrame, files: list[int]) -> DataFrame:
-    """0 or 1 for each input file, by file id since names may repeat."""
-    keys = ["merged_tx_id", "merged_gene_id", "merged_exon_num", "src_tx_count_in_merged_group"]
-    return tracked.groupBy(*keys).pivot("source_file_id", files).agg(F.max(F.lit(1))).fillna(0).select(*keys, *(F.col(f"`{i}`").alias(f"file_{i}") for i in files))
+    """0 or 1 in a column for each of a few input files."""
+    return present_in(tracked).select(*PRESENT_KEYS, *(F.array_contains("files", i).cast("int").alias(f"file_{i}") for i in files))
 
 
 def merge_stats(groups: DataFrame, members: DataFrame) -> DataFrame:

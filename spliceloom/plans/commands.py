@@ -99,10 +99,10 @@ def merge_files(
     order = ["tx_no", "source_file_id", "src_start", "src_end", "src_tx_id"]
     files.write_lines(rows.select(*order, F.concat_ws("\t", *TRACK).alias("line")), order, f"{prefix}.track.tsv.gz", ["\t".join(TRACK)])
 
-    ids = list(range(len(inputs)))
-    wide = merge.present_absent(rows, ids).withColumn("tx_no", F.substring_index("merged_tx_id", "_", -1).cast("long"))
-    keys = ["merged_tx_id", "merged_gene_id", "merged_exon_num", "src_tx_count_in_merged_group"]
-    files.write_lines(wide.select("tx_no", F.concat_ws("\t", *keys, *(f"file_{i}" for i in ids)).alias("line")), ["tx_no"], f"{prefix}.present_absent.tsv.gz", ["\t".join([*keys, *(base_name(p) for p in inputs)])])
+    wide = merge.present_in(rows).withColumn("tx_no", F.substring_index("merged_tx_id", "_", -1).cast("long"))
+    cells = F.transform("files", lambda i: F.struct(i.alias("at"), F.lit("1").alias("value")))
+    line = F.concat_ws("\t", *merge.PRESENT_KEYS, X.filled_line(cells, len(inputs), "0"))
+    files.write_lines(wide.select("tx_no", line.alias("line")), ["tx_no"], f"{prefix}.present_absent.tsv.gz", ["\t".join([*merge.PRESENT_KEYS, *(base_name(p) for p in inputs)])])
 
     source = T.source_text(*(F.col(c) for c in ("source_file_id", "src_tx_id", "src_start", "src_end", "src_tx_type", "total_donor_diff", "total_acceptor_diff", "exon_diff")))
     src = rows.groupBy("merged_tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_file_id", "src_start", "src_end", "src_tx_id", source.alias("text")))), lambda x: x["text"]), "|").alias("src"))
@@ -205,9 +205,10 @@ def valtable(spark: SparkSession, merged_path: str, inputs: Sequence[str], attri
     src = gtf.scan(spark, [p for _, p in found]).filter("feature = 'transcript'").join(F.broadcast(pairs), "source_file_id")
     src = src.select("file_id", gtf.attribute(F.col("attrs"), "transcript_id").alias("src_tx_id"), gtf.attribute(F.col("attrs"), attribute).alias("value"), "line_no").filter("src_tx_id <> ''")
     joined = X.value_rows(X.projection(merged), src)
-    wide = X.value_matrix(merged, joined, [(i, f"v{i}") for i, _ in found], default)
     order = merged.select(F.col("merged_tx_id").alias("transcript_id"), "line_no")
-    files.write_lines(wide.join(order, "transcript_id").select("line_no", F.concat_ws("\t", "transcript_id", *(f"v{i}" for i, _ in found)).alias("line")), ["line_no"], f"{prefix}.valtable.tsv.gz", ["\t".join(["transcript_id", *(base_name(p) for _, p in found)])])
+    line = F.col("transcript_id") if not found else F.concat_ws("\t", "transcript_id", X.filled_line(F.col("cells"), len(found), default))
+    wide = X.value_cells(merged, joined, [i for i, _ in found]).join(order, "transcript_id").select("line_no", line.alias("line"))
+    files.write_lines(wide, ["line_no"], f"{prefix}.valtable.tsv.gz", ["\t".join(["transcript_id", *(base_name(p) for _, p in found)])])
     stats = {"merged_tx_count": merged.count(), "merged_gtf_sample_count": len(samples), "per_file": {samples[r.file_id]: {k: r[k] for k in ("extracted", "attr_missing", "src_tx_not_in_merged")} for r in X.value_stats(joined).collect()}}
     files.write_text(spark, f"{prefix}.valtable_stats.json", json.dumps(stats, indent=2))
     return stats

@@ -39,6 +39,12 @@ def valtable(spark, d):
     return X.value_matrix(merged, rows, [(i, f"file_{i}") for i in (1, 2, 3, 4)])
 
 
+def valtable_lines(spark, d):
+    """The value table as lines over 40 files, of which four have values."""
+    merged, rows = _values(spark, d)
+    return X.value_cells(merged, rows, range(40)).select("transcript_id", X.filled_line(F.col("cells"), 40, "0.0").alias("line"))
+
+
 def valtable_stats(spark, d):
     return X.value_stats(_values(spark, d)[1])
 
@@ -47,7 +53,7 @@ _M = """, v as (select concat('M', chrom, '_', cast(floor(s / 4000) as bigint),
 
 
 def queries():
-    return {"chop_attrs": chop_attrs, "attribute_bag": attribute_bag, "valtable": valtable, "valtable_stats": valtable_stats}
+    return {"chop_attrs": chop_attrs, "attribute_bag": attribute_bag, "valtable": valtable, "valtable_lines": valtable_lines, "valtable_stats": valtable_stats}
 
 
 def oracle_sql():
@@ -57,5 +63,8 @@ def oracle_sql():
         "chop_attrs": f"""{cte} select tx_id, concat('gene_id "', gene_id, '"; transcript_id "', tx_id, '"; TPM "', n_exons * 7, '";') as own_removed, concat('gene_id "', gene_id, '"; transcript_id "', tx_id, '";') as all_removed from tx""",
         "attribute_bag": f"{cte} select tx_id, concat('gene_id=', gene_id, '|transcript_id=', tx_id, '|TPM=', n_exons * 7, '|ISOM_COUNT=', n_exons) as bag, cast(n_exons * 7 as varchar) as tpm, gene_id as gene from tx",
         "valtable": f"{cte} {_M} select transcript_id, {files} from v group by transcript_id",
+        "valtable_lines": f"""{cte} {_M}, w as (select transcript_id, file_id, arg_max(value, tx_id) filter (value <> '') as value from v group by all),
+ x as (select transcript_id, i from (select distinct transcript_id from v), range(40) r(i))
+ select x.transcript_id, string_agg(coalesce(value, '0.0'), chr(9) order by i) as line from x left join w on w.transcript_id = x.transcript_id and w.file_id = i group by x.transcript_id""",
         "valtable_stats": f"{cte} {_M} select file_id, count(*) filter (value <> '') as extracted, count(*) filter (value = '') as attr_missing, cast(0 as bigint) as src_tx_not_in_merged from v group by file_id",
     }

@@ -48,12 +48,29 @@ def value_rows(projected: DataFrame, source: DataFrame) -> DataFrame:
     return source.join(projected, ["file_id", "src_tx_id"], "left")
 
 
+def value_cells(merged: DataFrame, rows: DataFrame, files: Sequence[int]) -> DataFrame:
+    """(transcript_id, cells): the cells (at, value) of a merged transcript that have a value, by place in ``files``; the last value of a file wins."""
+    spark = merged.sparkSession
+    places = spark.createDataFrame([(i, at) for at, i in enumerate(files)], "file_id int, at int")
+    known = rows.filter("merged_tx_id is not null and value <> ''").groupBy("merged_tx_id", "file_id").agg(F.max_by("value", "line_no").alias("value"))
+    # one row an input; a merged transcript has at most as many cells
+    placed = known.join(F.broadcast(places), "file_id").groupBy("merged_tx_id").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("cells"))
+    out = merged.select(F.col("merged_tx_id").alias("transcript_id")).join(placed, F.col("transcript_id") == F.col("merged_tx_id"), "left")
+    return out.select("transcript_id", F.coalesce("cells", F.array().cast("array<struct<at:int,value:string>>")).alias("cells"))
+
+
+def filled_line(cells: Column, n: int, default: str, sep: str = "\t") -> Column:
+    """n fields in one text: ``cells`` (at, value), sorted by distinct places, and ``default`` in between. Work grows with the cells and the text, not with columns of a plan."""
+    gap = lambda c, i: c["at"] - F.coalesce(F.get(cells, i - 1)["at"], F.lit(-1)) - 1
+    shown = F.transform(cells, lambda c, i: F.concat(F.repeat(F.lit(default + sep), gap(c, i)), c["value"]))
+    rest = F.repeat(F.lit(sep + default), F.lit(n - 1) - F.get(cells, F.size(cells) - 1)["at"])
+    return F.when(F.size(cells) == 0, F.lit(sep.join([default] * n))).otherwise(F.concat(F.array_join(shown, sep), rest))
+
+
 def value_matrix(merged: DataFrame, rows: DataFrame, files: list[tuple[int, str]], default: str = "0.0") -> DataFrame:
-    """transcript_id and one column per (file id, name); the last value wins, ``default`` stands where there is none."""
-    known = rows.filter("merged_tx_id is not null and value <> ''")
-    wide = known.groupBy("merged_tx_id").pivot("file_id", [i for i, _ in files]).agg(F.max_by("value", "line_no"))
-    out = merged.select(F.col("merged_tx_id").alias("transcript_id")).join(wide, F.col("transcript_id") == F.col("merged_tx_id"), "left")
-    return out.select("transcript_id", *(F.coalesce(F.col(f"`{i}`"), F.lit(default)).alias(name) for i, name in files))
+    """transcript_id and one column per (file id, name), for a few files; ``default`` stands where there is no value."""
+    cells = value_cells(merged, rows, [i for i, _ in files]).withColumn("by", F.map_from_entries("cells"))
+    return cells.select("transcript_id", *(F.coalesce(F.element_at("by", F.lit(at)), F.lit(default)).alias(name) for at, (_, name) in enumerate(files)))
 
 
 def value_stats(rows: DataFrame) -> DataFrame:

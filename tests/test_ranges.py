@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.operators import anchors, merge, prefixmax
+from spliceloom.operators import anchors, prefixmax
+from spliceloom.tools import attributes
 
 rng = random.Random(5)
 
@@ -72,3 +73,23 @@ def test_a_million_ends_in_one_group(spark):
     want = walked(set(zip(pdf.tss, pdf.tes, strict=True)), "both", 50, 50)
     assert len(pdf) == len(want) and all(want[s, e] == (x, y) for s, e, x, y in zip(pdf.tss, pdf.tes, pdf.a_tss, pdf.a_tes, strict=True))
     assert took < 60
+
+
+@pytest.mark.parametrize("n", [1, 2, 7])
+def test_filled_lines(spark, n):
+    cases = [sorted(rng.sample(range(n), k)) for k in range(n + 1) for _ in range(3)]
+    table = spark.createDataFrame([(i, [(at, f"v{at}") for at in c]) for i, c in enumerate(cases)], "i int, cells array<struct<at:int,value:string>>")
+    got = {r.i: r.line for r in table.select("i", attributes.filled_line(F.col("cells"), n, "0.0").alias("line")).collect()}
+    assert got == {i: "\t".join(f"v{at}" if at in c else "0.0" for at in range(n)) for i, c in enumerate(cases)}
+
+
+def test_value_lines_of_thousands_of_files(spark):
+    took = {}
+    for n in (50, 5000):
+        merged = spark.range(2000).select(F.concat(F.lit("M"), "id").alias("merged_tx_id"))
+        rows = spark.range(12000).select((F.col("id") * 7 % n).cast("int").alias("file_id"), F.concat(F.lit("M"), (F.col("id") % 2000)).alias("merged_tx_id"), F.col("id").cast("string").alias("value"), F.col("id").alias("line_no"))
+        start = time.time()
+        lines = attributes.value_cells(merged, rows, range(n)).select("transcript_id", attributes.filled_line(F.col("cells"), n, "0").alias("line"))
+        assert lines.agg(F.min(F.size(F.split("line", "\t"))), F.max(F.size(F.split("line", "\t"))), F.count("*")).first()[:] == (n, n, 2000)
+        took[n] = time.time() - start
+    assert took[5000] < 3 * took[50] + 2

@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--guide-tss")
     m.add_argument("--guide-tes")
     m.add_argument("--chrmap")
+    m.add_argument("--index-dir")
     _options(m, MergeOptions)
     c = sub.add_parser("classify")
     c.add_argument("query")
@@ -54,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--default-val", default="0.0")
     for x in (m, c, h, v):
         x.add_argument("-o", "--prefix", required=True)
+        x.add_argument("--parts", action="store_true", help="folders of ordered parts instead of single files")
     return p
 
 
@@ -63,13 +65,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "index":
         commands.index(spark, a.gtf, a.fasta, out=a.out, skip_missing=a.skip_missing_ref_chr)
     elif a.command == "merge":
-        print(commands.merge_files(spark, a.inputs, a.fasta, a.prefix, _picked(a, MergeOptions), guide_tss=a.guide_tss, guide_tes=a.guide_tes, alias=a.chrmap, skip_missing=a.skip_missing_ref_chr))
+        print(commands.merge_files(spark, a.inputs, a.fasta, a.prefix, _picked(a, MergeOptions), guide_tss=a.guide_tss, guide_tes=a.guide_tes, alias=a.chrmap, skip_missing=a.skip_missing_ref_chr, parts=a.parts, index_dir=a.index_dir))
     elif a.command == "classify":
-        print(commands.classify_files(spark, a.query, a.ref, a.fasta, a.prefix, _picked(a, ClassifyOptions), cage=a.cage, polya=a.polya, skip_missing=a.skip_missing_ref_chr))
+        print(commands.classify_files(spark, a.query, a.ref, a.fasta, a.prefix, _picked(a, ClassifyOptions), cage=a.cage, polya=a.polya, skip_missing=a.skip_missing_ref_chr, parts=a.parts))
     elif a.tool == "chop":
-        commands.chop(spark, a.input, a.prefix, keep=a.keep_attrs.split(","), everything=a.mode == "all", check_case=a.keep_check_case)
+        commands.chop(spark, a.input, a.prefix, keep=a.keep_attrs.split(","), everything=a.mode == "all", check_case=a.keep_check_case, parts=a.parts)
     else:
-        print(commands.valtable(spark, a.merged, a.inputs, a.attr_val, a.prefix, default=a.default_val))
+        print(commands.valtable(spark, a.merged, a.inputs, a.attr_val, a.prefix, default=a.default_val, parts=a.parts))
 
 
 if __name__ == "__main__":

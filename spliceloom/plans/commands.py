@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,21 +76,62 @@ def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | Non
     return tx.withColumn("chrom", F.col("chrom").cast("string")), spark.read.parquet(f"{out}/lines")
 
 
-def _indexed(spark, paths: Sequence[str], fasta_path: str, skip_missing: bool) -> DataFrame:
-    """All inputs as one table; file ids in the order of the arguments."""
-    out = None
-    for i, p in enumerate(paths):
-        tx = index(spark, p, fasta_path, skip_missing=skip_missing)[0].withColumn("source_file_id", F.lit(i)).select(*assemble.COLUMNS)
-        out = tx if out is None else out.unionByName(tx)
-    return out
+#: The table of many inputs: transcripts under the build and the digest of their file.
+MANIFEST = "key string, build string, path string, tx_cnt long"
+
+
+def index_many(spark: SparkSession, paths: Sequence[str], fasta_path: str, out: str, *, skip_missing: bool = False) -> DataFrame:
+    """All inputs as one table, ``assemble.COLUMNS``; file ids in the order of ``paths``.
+
+    Transcripts of any number of inputs stand in one table at ``out``, by chromosome, sorted by
+    input. An input is known by the digest of its bytes and those of the sequences. Those that the
+    manifest does not list are indexed together, so the number of jobs and of scans in a plan does
+    not depend on the number of inputs; the manifest has one row for each, written last: a build
+    that breaks off leaves rows that nothing reads.
+    """
+    if absent := [p for p in paths if files.status(spark, p) is None]:
+        raise FileNotFoundError(absent[0])
+    *shas, sequences = files.digests(spark, [*paths, fasta_path])
+    keys = [f"{INDEX_VERSION}-{sequences[:32]}-{int(skip_missing)}-{s}" for s in shas]
+    manifest = lambda: spark.read.schema(MANIFEST).json(f"{out}/manifest") if files.status(spark, f"{out}/manifest") else spark.createDataFrame([], MANIFEST)
+    wanted = spark.createDataFrame(list(zip(keys, range(len(keys)), strict=True)), "key string, source_file_id int")
+    known = {r.key for r in manifest().join(F.broadcast(wanted), "key", "left_semi").select("key").distinct().collect()}  # one row an input
+    todo = {k: p for k, p in zip(keys, paths, strict=True) if k not in known}
+    if todo:
+        build = uuid.uuid4().hex
+        rows = gtf.scan(spark, list(todo.values()))
+        gtf.check(rows, len(todo))
+        tx = assemble.transcripts(gtf.exon_rows(rows))
+        seqs = fasta.index(spark, fasta_path).select(F.col("seqid").alias("chrom"))
+        if not skip_missing and (gone := tx.join(seqs, "chrom", "left_anti").select("chrom").distinct().orderBy("chrom").collect()):
+            raise ValueError(f"chromosomes absent from the sequences: {[r.chrom for r in gone]}")
+        tx = tx.join(seqs, "chrom", "left_semi")
+        if odd := tx.filter(~T.junctions_valid(F.col("junctions"))).limit(5).collect():
+            raise ValueError(f"exons that overlap: {[r.tx_id for r in odd]}")
+        tx = assemble.with_sites(tx, fasta.intron_sites(tx, fasta.chunks(spark, fasta_path)))
+        names = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(todo.items())], "source_file_id int, key string, path string")
+        tx = tx.join(F.broadcast(names), "source_file_id").select(*(c for c in assemble.COLUMNS if c != "source_file_id"), "key", F.lit(build).alias("build"))
+        order = ["chrom", "key", "start", "end", "strand", "tx_id"]
+        tx.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("chrom").parquet(f"{out}/transcripts")
+        counts = spark.read.parquet(f"{out}/transcripts").filter(F.col("build") == build).groupBy("key").agg(F.count("*").alias("tx_cnt"))
+        lines = names.join(counts, "key", "left").select("key", F.lit(build).alias("build"), "path", F.coalesce("tx_cnt", F.lit(0)).alias("tx_cnt"))
+        lines.coalesce(1).write.mode("append").json(f"{out}/manifest")
+    # an input that two builds indexed at the same time is taken from one of them
+    places = manifest().groupBy("key").agg(F.min("build").alias("build")).join(F.broadcast(wanted), "key")
+    tx = spark.read.parquet(f"{out}/transcripts").withColumn("chrom", F.col("chrom").cast("string"))
+    return tx.join(F.broadcast(places), ["key", "build"]).select(*assemble.COLUMNS)
 
 
 def merge_files(
     spark: SparkSession, inputs: Sequence[str], fasta_path: str, prefix: str, options: merge.MergeOptions = merge.MergeOptions(), *, guide_tss: str | None = None, guide_tes: str | None = None,
-    alias: str | None = None, skip_missing: bool = False,
+    alias: str | None = None, skip_missing: bool = False, parts: bool = False, index_dir: str | None = None,
 ) -> dict:
-    """Writes the merged GTF, the track and presence tables and the statistics; returns the latter."""
-    tx = _indexed(spark, inputs, fasta_path, skip_missing)
+    """Writes the merged GTF, the track and presence tables and the statistics; returns the latter.
+
+    ``parts``: folders of ordered parts, see ``files.write_lines``. ``index_dir``: the table of
+    ``index_many``, beside the first input if not given.
+    """
+    tx = index_many(spark, inputs, fasta_path, index_dir or f"{inputs[0].rpartition('/')[0] or '.'}/{PROGRAM}.index", skip_missing=skip_missing)
     read = lambda p: bed.guide(spark, p) if p else None
     groups, members = merge.merge(tx, options, guide_tss=read(guide_tss), guide_tes=read(guide_tes), alias=bed.aliases(spark, alias) if alias else None)
     groups = merge.with_ids(groups, members)
@@ -97,12 +139,12 @@ def merge_files(
     names = spark.createDataFrame([(i, base_name(p)) for i, p in enumerate(inputs)], "source_file_id int, src_file_name string")
     rows = rows.join(F.broadcast(names), "source_file_id")  # one row an input
     order = ["tx_no", "source_file_id", "src_start", "src_end", "src_tx_id"]
-    files.write_lines(rows.select(*order, F.concat_ws("\t", *TRACK).alias("line")), order, f"{prefix}.track.tsv.gz", ["\t".join(TRACK)])
+    files.write_lines(rows.select(*order, F.concat_ws("\t", *TRACK).alias("line")), order, f"{prefix}.track.tsv.gz", ["\t".join(TRACK)], parts=parts)
 
     wide = merge.present_in(rows).withColumn("tx_no", F.substring_index("merged_tx_id", "_", -1).cast("long"))
     cells = F.transform("files", lambda i: F.struct(i.alias("at"), F.lit("1").alias("value")))
     line = F.concat_ws("\t", *merge.PRESENT_KEYS, X.filled_line(cells, len(inputs), "0"))
-    files.write_lines(wide.select("tx_no", line.alias("line")), ["tx_no"], f"{prefix}.present_absent.tsv.gz", ["\t".join([*merge.PRESENT_KEYS, *(base_name(p) for p in inputs)])])
+    files.write_lines(wide.select("tx_no", line.alias("line")), ["tx_no"], f"{prefix}.present_absent.tsv.gz", ["\t".join([*merge.PRESENT_KEYS, *(base_name(p) for p in inputs)])], parts=parts)
 
     source = T.source_text(*(F.col(c) for c in ("source_file_id", "src_tx_id", "src_start", "src_end", "src_tx_type", "total_donor_diff", "total_acceptor_diff", "exon_diff")))
     src = rows.groupBy("merged_tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_file_id", "src_start", "src_end", "src_tx_id", source.alias("text")))), lambda x: x["text"]), "|").alias("src"))
@@ -121,7 +163,7 @@ def merge_files(
         '##ISOM <FORMAT> ID="ISOM_SRC"; Description="source records S#:tx_id:start:end:tx_type:donor_diff:acceptor_diff:exon_diffs, joined by |";',
         '##ISOM <FORMAT> ID="ISOM_REPR_POLICY"; Description="how junctions, TSS and TES were chosen, NA where none apply";', f"##ISOM <COMMAND> cmd={_command()}",
     ]
-    files.write_lines(t.unionByName(x), ["tx_no", "nth"], f"{prefix}.merged.gtf.gz", header)
+    files.write_lines(t.unionByName(x), ["tx_no", "nth"], f"{prefix}.merged.gtf.gz", header, parts=parts)
 
     stats = merge.merge_stats(groups, members).first().asDict()
     stats["source_tx_cnt_per_merged_tx"] = {str(r.group_size): r.merged_tx_cnt for r in merge.group_size_histogram(groups).orderBy("group_size").collect()}
@@ -130,7 +172,8 @@ def merge_files(
 
 
 def classify_files(
-    spark: SparkSession, query_path: str, ref_path: str, fasta_path: str, prefix: str, options: classify.ClassifyOptions = classify.ClassifyOptions(), *, cage: str | None = None, polya: str | None = None, skip_missing: bool = False
+    spark: SparkSession, query_path: str, ref_path: str, fasta_path: str, prefix: str, options: classify.ClassifyOptions = classify.ClassifyOptions(), *, cage: str | None = None, polya: str | None = None, skip_missing: bool = False,
+    parts: bool = False,
 ) -> dict:
     """Writes the classification table, the annotated GTF and the statistics; returns the latter."""
     query, _ = index(spark, query_path, fasta_path, skip_missing=skip_missing)
@@ -148,7 +191,7 @@ def classify_files(
     shown["perc_a_downstream_tts"] = F.when(F.col("perc_a_downstream_tts").isNull(), "NA").otherwise(shown["perc_a_downstream_tts"])
     order = ["chrom", "start", "end", T.strand_rank(F.col("strand")).alias("strand_rank"), "tx_id"]
     line = F.concat_ws("\t", *(shown[c] for c in CLASSIFICATION)).alias("line")
-    files.write_lines(done.select(*order, line), ["chrom", "start", "end", "strand_rank", "tx_id"], f"{prefix}.classification.txt.gz", ["\t".join(CLASSIFICATION)])
+    files.write_lines(done.select(*order, line), ["chrom", "start", "end", "strand_rank", "tx_id"], f"{prefix}.classification.txt.gz", ["\t".join(CLASSIFICATION)], parts=parts)
 
     # annotated GTF: the transcript's attributes, less older ones of ours, on the transcript and on its exons
     raw = gtf.transcript_lines(gtf.scan(spark, [query_path])).select("tx_id", "attrs")
@@ -159,7 +202,7 @@ def classify_files(
     spans = F.concat(F.array(F.struct(F.lit("transcript").alias("kind"), F.col("start").alias("s"), F.col("end").alias("e"))), F.transform("exons", lambda x: F.struct(F.lit("exon").alias("kind"), x["start"].alias("s"), x["end"].alias("e"))))
     rows = full.select(*order, "attr_line", "strand", F.posexplode(spans).alias("nth", "x"))
     rows = rows.withColumn("line", F.concat_ws("\t", "chrom", F.lit(PROGRAM), "x.kind", "x.s", "x.e", F.lit("."), "strand", F.lit("."), "attr_line"))
-    files.write_lines(rows, ["chrom", "start", "end", "strand_rank", "tx_id", "nth"], f"{prefix}.annotated.gtf.gz", _header(spark, query_path))
+    files.write_lines(rows, ["chrom", "start", "end", "strand_rank", "tx_id", "nth"], f"{prefix}.annotated.gtf.gz", _header(spark, query_path), parts=parts)
 
     by = done.groupBy("structural_category", "subcategory").agg(F.count("*").alias("n")).collect()  # at most the vocabulary of categories
     totals = done.agg(F.count("*").alias("query_tx_cnt"), F.count_if(F.col("query_exon_n") == 1).alias("mono_exon_tx_cnt"), F.count_if("all_canonical").alias("all_canonical_tx_cnt"), F.count_if(F.col("within_cage_peak")).alias("within_cage_peak_cnt"), F.count_if(F.col("within_poly_a_peak")).alias("within_poly_a_peak_cnt")).first().asDict()
@@ -185,12 +228,12 @@ def _header(spark, path: str) -> list[str]:
     return [*out, f"##ISOM <COMMAND> cmd={_command()}"]
 
 
-def chop(spark: SparkSession, path: str, prefix: str, *, keep: Sequence[str] = (), everything: bool = False, check_case: bool = False) -> None:
+def chop(spark: SparkSession, path: str, prefix: str, *, keep: Sequence[str] = (), everything: bool = False, check_case: bool = False, parts: bool = False) -> None:
     rows = files.lines(spark, [path], ends=True)
-    files.write_lines(rows.select("line_no", X.chop_lines(F.col("value"), keep=keep, everything=everything, check_case=check_case).alias("line")), ["line_no"], f"{prefix}.chopped.gtf.gz")
+    files.write_lines(rows.select("line_no", X.chop_lines(F.col("value"), keep=keep, everything=everything, check_case=check_case).alias("line")), ["line_no"], f"{prefix}.chopped.gtf.gz", parts=parts)
 
 
-def valtable(spark: SparkSession, merged_path: str, inputs: Sequence[str], attribute: str, prefix: str, *, default: str = "0.0") -> dict:
+def valtable(spark: SparkSession, merged_path: str, inputs: Sequence[str], attribute: str, prefix: str, *, default: str = "0.0", parts: bool = False) -> dict:
     """Writes one column per input with an attribute of the source transcripts; returns the statistics."""
     body = files.lines(spark, [merged_path])
     head = body.filter(F.col("value").startswith("##ISOM"))
@@ -208,7 +251,7 @@ def valtable(spark: SparkSession, merged_path: str, inputs: Sequence[str], attri
     order = merged.select(F.col("merged_tx_id").alias("transcript_id"), "line_no")
     line = F.col("transcript_id") if not found else F.concat_ws("\t", "transcript_id", X.filled_line(F.col("cells"), len(found), default))
     wide = X.value_cells(merged, joined, [i for i, _ in found]).join(order, "transcript_id").select("line_no", line.alias("line"))
-    files.write_lines(wide, ["line_no"], f"{prefix}.valtable.tsv.gz", ["\t".join(["transcript_id", *(base_name(p) for _, p in found)])])
+    files.write_lines(wide, ["line_no"], f"{prefix}.valtable.tsv.gz", ["\t".join(["transcript_id", *(base_name(p) for _, p in found)])], parts=parts)
     stats = {"merged_tx_count": merged.count(), "merged_gtf_sample_count": len(samples), "per_file": {samples[r.file_id]: {k: r[k] for k in ("extracted", "attr_missing", "src_tx_not_in_merged")} for r in X.value_stats(joined).collect()}}
     files.write_text(spark, f"{prefix}.valtable_stats.json", json.dumps(stats, indent=2))
     return stats

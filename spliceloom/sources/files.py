@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,26 @@ def digest(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def digests(spark: SparkSession, paths: list[str]) -> list[str]:
+    """SHA-256 of the bytes of each file, computed by tasks, one a file; a file that is not there is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for uri, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(uri)
+                sha = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while held := f.read(1 << 22):
+                        sha.update(held)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sha.hexdigest()])], names=["i", "sha"])
+
+    todo = spark.createDataFrame([(qualified(spark, p), i) for i, p in enumerate(paths)], "path string, i int")
+    got = todo.repartition(min(len(paths), 1024), "i").mapInArrow(run, "i int, sha string").collect()  # one row a file
+    return [r.sha for r in sorted(got)]
+
+
 def _misnamed(spark: SparkSession, paths: list[tuple[str, int]]) -> DataFrame:
     """(source_file_id, line_no, value) of files whose names don't tell whether they are compressed; one task a file, as for any gzip file."""
 
@@ -114,27 +137,110 @@ def lines(spark: SparkSession, paths: list[str], *, ends: bool = False) -> DataF
     return out if ends else out.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
-def write_lines(rows: DataFrame, order: list, path: str, header: list[str] = ()) -> None:
-    """Write column ``line`` in ``order`` as one gzip file.
+#: Bytes of parts, at most, that the driver itself appends to each other.
+DRIVER_BYTES = 1 << 20
+
 
-    Parts are sorted and compressed in parallel and then appended to each other by the driver as
-    a stream: members of a gzip file may follow one another.
+def _open_in_place(path: str) -> str | None:
+    """The local name of a path that every process can open for writing in place, None elsewhere."""
+    return path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:/") else None
+
+
+def _concatenated(fs, target, parts: list) -> bool:
+    """Append ``parts`` to ``target`` inside the store, where it can; no byte is read."""
+    try:
+        fs.concat(target, parts)
+    except UnsupportedOperationException:
+        return False
+    return True
+
+
+def _placed(spark: SparkSession, target: str, parts: list[tuple[str, int]]) -> None:
+    """Copy each part to its place in ``target`` by tasks, side by side; a repeated task writes the same bytes again."""
+    rows, at = [], 0
+    for name, size in parts:
+        rows.append((name, at, size))
+        at += size
+    with open(target, "wb") as f:
+        f.truncate(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, at, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with open(name, "rb") as source, open(target, "r+b") as f:
+                    f.seek(at)
+                    while held := source.read(1 << 20):
+                        f.write(held)
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["size"])
+
+    todo = spark.createDataFrame(rows, "name string, at long, size long").repartition(len(rows), "at")
+    if (done := todo.mapInArrow(run, "size long").agg(F.sum("size")).first()[0]) != at:
+        raise OSError(f"{target}: {done} of {at} bytes written")
+
+
+def write_lines(rows: DataFrame, order: list, path: str, header: list[str] = (), *, parts: bool = False) -> None:
+    """Write column ``line`` in ``order``, gzip-compressed.
+
+    Parts are sorted and compressed in parallel by Spark's writer, whose commit names those that
+    count. With ``parts`` they stay a folder at ``path``: the header's file and the parts, in order
+    of their names and as ``_manifest.json`` lists them with their bytes; one after another they
+    are the single file. Else they become one file, members of a gzip file following one another:
+    the store appends them where it can (``concat``), on a shared file system tasks copy each part
+    to its place. The driver handles names and sizes, and bytes only up to ``DRIVER_BYTES``. In
+    any other store a single file would need a stream through one process: that is an error, to be
+    met with ``parts``.
     """
     spark = rows.sparkSession
-    folder = f"{path}.parts-{uuid.uuid4().hex}"
-    # rangewise, so that the order of the parts is the order of the lines
-    rows.orderBy(*order).select("line").write.option("compression", "gzip").text(folder)
     fs, target = _fs(spark, path)
-    out = fs.create(target, True)
+    target = target.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{target.toString()}.parts-{uuid.uuid4().hex}")
     try:
+        # rangewise, so that the order of the parts is the order of the lines
+        rows.orderBy(*order).select("line").write.option("compression", "gzip").text(folder.toString())
         if header:
-            out.write(bytearray(gzip.compress("".join(f"{h}\n" for h in header).encode())))
-        parts = sorted((str(s.getPath().toString()) for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))), key=str)
-        for part in parts:
-            if "/part-" in part:
-                stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(part))
+            _write_bytes(fs, hadoop(folder, "header-00000.gz"), gzip.compress("".join(f"{h}\n" for h in header).encode()))
+        found = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(folder))
+        found = [(n, size) for n, size in found if n.startswith(("header-", "part-")) and size]
+        if not parts:
+            whole = hadoop(folder, "whole")
+            _compose(spark, fs, folder, whole, found)
+        elif found:
+            _write_bytes(fs, hadoop(folder, "_manifest.json"), json.dumps([{"name": n, "bytes": size} for n, size in found]).encode())
+        fs.delete(target, True)
+        if not fs.rename(folder if parts else whole, target):
+            raise OSError(f"{path}: cannot be put in place")
+    finally:
+        fs.delete(folder, True)
+
+
+def _write_bytes(fs, path, data: bytes) -> None:
+    out = fs.create(path, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _compose(spark: SparkSession, fs, folder, whole, found: list[tuple[str, int]]) -> None:
+    """One file of the parts of a folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    local = _open_in_place(folder.toString())
+    if sum(size for _, size in found) <= DRIVER_BYTES:
+        out = fs.create(whole, True)
+        try:
+            for name, _ in found:
+                stream = fs.open(hadoop(folder, name))
                 spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
                 stream.close()
-    finally:
-        out.close()
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+        finally:
+            out.close()
+        return
+    array = spark.sparkContext._gateway.new_array(hadoop, len(found) - 1)
+    for i, (name, _) in enumerate(found[1:]):
+        array[i] = hadoop(folder, name)
+    first = hadoop(folder, found[0][0])
+    if _concatenated(fs, first, array):
+        fs.rename(first, whole)
+    elif local:
+        _placed(spark, f"{local}/whole", [(f"{local}/{name}", size) for name, size in found])
+    else:
+        raise OSError(f"{folder.getParent().toString()} appends no files inside the store: write ordered parts")

@@ -70,13 +70,13 @@ def transcript_lines(gtf: DataFrame) -> DataFrame:
     return t.groupBy("source_file_id", "tx_id").agg(F.min_by(name, "line_no").alias("gene_name"), F.min_by("attrs", "line_no").alias("attrs"), F.count("*").alias("lines"))
 
 
-def check(gtf: DataFrame) -> None:
-    """Raise where a file has no transcript line or its transcripts and exons lie on different chromosomes."""
+def check(gtf: DataFrame, n_files: int = 1) -> None:
+    """Raise where one of the files has no transcript line or its transcripts and exons lie on different chromosomes."""
     kinds = gtf.filter("feature in ('transcript', 'exon')").groupBy("source_file_id", "chrom").agg(F.bool_or(F.col("feature") == "transcript").alias("t"), F.bool_or(F.col("feature") == "exon").alias("x"))
     if odd := kinds.filter("not (t and x)").limit(5).collect():
         raise ValueError(f"chromosomes with only transcripts or only exons: {[(r.source_file_id, r.chrom) for r in odd]}")
-    if not kinds.limit(1).collect():
-        raise ValueError("no transcript line")
+    if kinds.agg(F.count_distinct("source_file_id")).first()[0] < n_files:
+        raise ValueError("no transcript line" + (" in some of the files" if n_files > 1 else ""))
 
 
 def check_reference(tx: DataFrame, tx_lines: DataFrame) -> None:

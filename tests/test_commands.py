@@ -208,3 +208,107 @@ def test_documented_counts(spark, tmp_path):
     assert stats["merged_multi_exons_tx_cnt"] == 5 and stats["merged_mono_exon_tx_cnt"] == 5
     stats = commands.classify_files(spark, str(tmp_path / "m.merged.gtf.gz"), str(tmp_path / "ref.gtf"), str(tmp_path / "g.fa"), str(tmp_path / "c"))
     assert stats["categories"] == {"antisense": 1, "full-splice_match": 3, "incomplete-splice_match": 2, "intergenic": 1, "novel_in_catalog": 2, "novel_not_in_catalog": 1}
+
+
+@pytest.fixture
+def many_lines(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("line")).repartition(7, "line")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield rows, ["head", *(r.line for r in rows.orderBy("n").collect())]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_single_files_are_put_together_by_tasks(spark, tmp_path, many_lines, monkeypatch):
+    rows, want = many_lines
+    monkeypatch.setattr(files, "DRIVER_BYTES", 0)
+    copied = []
+    monkeypatch.setattr(files, "_write_bytes", lambda fs, path, data, real=files._write_bytes: copied.append(len(data)) or real(fs, path, data))
+    path = str(tmp_path / "out file.txt.gz")
+    for _ in range(2):  # the second one takes the place of the first
+        files.write_lines(rows, ["n"], path, ["head"])
+        assert read(path) == want and sum(copied) < 200
+    assert os.listdir(tmp_path) == ["out file.txt.gz"]
+    monkeypatch.setattr(files, "DRIVER_BYTES", 1 << 30)
+    files.write_lines(rows, ["n"], path, ["head"])
+    assert read(path) == want and files.lines(spark, [path]).count() == len(want)
+
+
+def test_ordered_parts(spark, tmp_path, many_lines):
+    rows, want = many_lines
+    files.write_lines(rows, ["n"], str(tmp_path / "p.gz"), ["head"], parts=True)
+    listed = json.loads((tmp_path / "p.gz" / "_manifest.json").read_text())
+    names = sorted(n for n in os.listdir(tmp_path / "p.gz") if n.startswith(("header", "part")))
+    assert [x["name"] for x in listed] == names and len(names) > 2 and all(os.path.getsize(tmp_path / "p.gz" / x["name"]) == x["bytes"] for x in listed)
+    data = b"".join((tmp_path / "p.gz" / n).read_bytes() for n in names)
+    assert gzip.decompress(data).decode().splitlines() == want
+
+
+def test_a_store_that_appends_gets_no_bytes(spark, tmp_path, many_lines, monkeypatch):
+    rows, want = many_lines
+    monkeypatch.setattr(files, "DRIVER_BYTES", 0)
+    asked = []
+
+    def concat(fs, target, parts):
+        asked.append(len(parts))
+        local = [str(p.toUri().getPath()) for p in (target, *parts)]
+        with open(local[0], "ab") as f:
+            for p in local[1:]:
+                with open(p, "rb") as g:
+                    f.write(g.read())
+        os.path.exists(c := os.path.join(os.path.dirname(local[0]), f".{os.path.basename(local[0])}.crc")) and os.remove(c)
+        return True
+
+    monkeypatch.setattr(files, "_concatenated", concat)
+    files.write_lines(rows, ["n"], str(tmp_path / "c.gz"), ["head"])
+    assert read(tmp_path / "c.gz") == want and asked and asked[0] > 1
+    monkeypatch.setattr(files, "_concatenated", lambda *x: False)
+    monkeypatch.setattr(files, "_open_in_place", lambda path: None)
+    with pytest.raises(OSError, match="ordered parts"):
+        files.write_lines(rows, ["n"], str(tmp_path / "d.gz"))
+    assert os.listdir(tmp_path) == ["c.gz"]
+
+
+def test_many_inputs_are_one_table(spark, toy, tmp_path):
+    """Jobs and scans do not grow with the inputs; known ones are not indexed again; a repeated input counts twice."""
+
+    def run(paths, out):
+        group = f"many-{len(paths)}-{out.name}-{len(os.listdir(out)) if out.exists() else 0}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            tx = commands.index_many(spark, paths, str(toy / "g.fa"), str(out))
+            rows = sorted((r.source_file_id, r.tx_id, r.chrom, r.start, r.tx_type) for r in tx.collect())
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return tx, rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    for i in range(60):
+        (tmp_path / f"i{i}.gtf").write_text(tx(f"t{i}", "g", "+", (100 + i % 7, 150), (201, 250)) + tx(f"u{i}", "g", "-", (500, 540 + i)))
+    paths = [str(tmp_path / f"i{i}.gtf") for i in range(60)]
+    _, few, jobs_few = run(paths[:4], tmp_path / "few")
+    table, many, jobs_many = run(paths, tmp_path / "many")
+    assert len(many) == 120 and [r[0] for r in many] == sorted([*range(60)] * 2) and few == many[:8] and many[0][1:] == ("t0", "chrT", 100, "ALL_CA")
+    assert jobs_many <= jobs_few + 2
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") <= 2 and "Union" not in plan
+    (tmp_path / "new.gtf").write_text(tx("n", "g", "+", (300, 400)))
+    built = os.listdir(tmp_path / "many" / "manifest")
+    again = [paths[5], str(tmp_path / "new.gtf"), paths[5], paths[59]]
+    _, rows, _ = run(again, tmp_path / "many")
+    assert [(r[0], r[1]) for r in rows] == [(0, "t5"), (0, "u5"), (1, "n"), (2, "t5"), (2, "u5"), (3, "t59"), (3, "u59")]
+    assert len(os.listdir(tmp_path / "many" / "manifest")) > len(built)
+    listed = spark.read.json(str(tmp_path / "many" / "manifest"))
+    assert listed.count() == 61 and listed.filter("tx_cnt = 1").count() == 1
+    with pytest.raises(FileNotFoundError):
+        commands.index_many(spark, [str(tmp_path / "none.gtf")], str(toy / "g.fa"), str(tmp_path / "many"))
+    (tmp_path / "empty.gtf").write_text("# nothing\n")
+    with pytest.raises(ValueError, match="no transcript line"):
+        commands.index_many(spark, [paths[0], str(tmp_path / "empty.gtf"), str(tmp_path / "new.gtf")], str(toy / "g.fa"), str(tmp_path / "other"))
+
+
+def test_a_broken_build_leaves_nothing_that_is_read(spark, toy, tmp_path):
+    (tmp_path / "a.gtf").write_text(tx("a", "g", "+", (100, 150), (201, 250)))
+    out = tmp_path / "index"
+    first = commands.index_many(spark, [str(tmp_path / "a.gtf")], str(toy / "g.fa"), str(out)).collect()
+    for name in os.listdir(out / "manifest"):
+        os.remove(out / "manifest" / name)  # as if the first build had broken off before its last step
+    assert commands.index_many(spark, [str(tmp_path / "a.gtf")], str(toy / "g.fa"), str(out)).collect() == first

@@ -19,6 +19,7 @@ from spliceloom.functions import transcript as T
 from spliceloom.operators.anchors import anchors
 from spliceloom.operators.components import connected_components
 from spliceloom.operators.islands import with_islands
+from spliceloom.operators.prefixmax import prefix_count
 from spliceloom.operators.rangejoin import range_join
 from spliceloom.session import written
 
@@ -58,18 +59,35 @@ def chain_table(tx: DataFrame) -> DataFrame:
     return tx.withColumn("node", _node()).groupBy(*CLUSTER, "node").agg(F.first("junctions").alias("junctions"), F.count("*").alias("copies"))
 
 
-def wobble_pairs(chains: DataFrame, d: int, a: int, u: int) -> DataFrame:
-    """(node_a, node_b) of distinct chains of a cluster that match within the wobbles, node_a < node_b.
+def blocking_sites(chains: DataFrame, step: int) -> DataFrame:
+    """(CLUSTER, pos, side): the place of a chain, junction and side of it, that tells the chains of a cluster apart best.
 
-    The first junction's left side is cut into steps as wide as the largest wobble, so a chain
-    meets only those of its own and the next step.
+    Places are cut into steps; the best one has the fewest pairs of chains in one step.
     """
-    step = max(d, a, u) + 1
-    c = chains.select(*CLUSTER, "node", "junctions", F.floor(F.col("junctions")[0]["l"] / step).alias("b"))
+    at = F.flatten(F.transform("junctions", lambda j, i: F.array(F.struct(i.alias("pos"), F.lit("l").alias("side"), F.floor(j["l"] / step).alias("b")), F.struct(i.alias("pos"), F.lit("r").alias("side"), F.floor(j["r"] / step).alias("b")))))
+    n = chains.select(*CLUSTER, F.explode(at).alias("x")).groupBy(*CLUSTER, "x.pos", "x.side", "x.b").agg(F.count("*").cast("double").alias("n"))
+    cost = n.groupBy(*CLUSTER, "pos", "side").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+    return cost.groupBy(*CLUSTER).agg(F.min(F.struct("cost", "pos", "side")).alias("m")).select(*CLUSTER, "m.pos", "m.side")
+
+
+def wobble_candidates(chains: DataFrame, step: int) -> DataFrame:
+    """(CLUSTER, n1, j1, n2, j2): chains of a cluster within a step of each other at the cluster's blocking site, each pair once."""
+    picked = F.element_at("junctions", F.col("pos") + 1)
+    b = F.floor(F.when(F.col("side") == "l", picked["l"]).otherwise(picked["r"]) / step)
+    c = chains.join(blocking_sites(chains, step), CLUSTER).select(*CLUSTER, "node", "junctions", b.alias("b"))
     left = c.select(*CLUSTER, F.col("node").alias("n1"), F.col("junctions").alias("j1"), F.col("b").alias("b1"), F.explode(F.array("b", F.col("b") + 1)).alias("b"))
     right = c.select(*CLUSTER, F.col("node").alias("n2"), F.col("junctions").alias("j2"), "b")
-    near = left.join(right, [*CLUSTER, "b"]).filter((F.col("b1") < F.col("b")) | (F.col("n1") < F.col("n2")))
-    near = near.filter(T.wobble_match(F.col("strand"), F.col("j1"), F.col("j2"), d, a, u))
+    return left.join(right, [*CLUSTER, "b"]).filter((F.col("b1") < F.col("b")) | (F.col("n1") < F.col("n2")))
+
+
+def wobble_pairs(chains: DataFrame, d: int, a: int, u: int) -> DataFrame:
+    """(node_a, node_b) of distinct chains of a cluster that match within the wobbles, node_a < node_b.
+
+    All places of matching chains lie within the wobbles, so any one place may bring them together:
+    it is cut into steps as wide as the largest wobble, and a chain meets those of its own and the
+    next step.
+    """
+    near = wobble_candidates(chains, max(d, a, u) + 1).filter(T.wobble_match(F.col("strand"), F.col("j1"), F.col("j2"), d, a, u))
     return near.select(*CLUSTER, F.least("n1", "n2").alias("node_a"), F.greatest("n1", "n2").alias("node_b"))
 
 
@@ -139,10 +157,12 @@ def guide_key(points: DataFrame, guide: DataFrame, alias: DataFrame | None = Non
 def guide_hits(points: DataFrame, guide: DataFrame, flank: int, alias: DataFrame | None = None) -> DataFrame:
     """(chrom, strand, pos, hits): guide intervals (closed start, end) that meet [pos - flank, pos + flank]."""
     p = points.select("chrom", "strand", "pos").distinct().join(guide_key(points, guide, alias), ["chrom", "strand"])
-    p = p.withColumn("p_lo", F.greatest(F.col("pos") - flank, F.lit(0))).withColumn("p_hi", F.col("pos") + flank)
-    g = guide.select(F.col("chrom").alias("g_chrom"), F.col("strand").alias("g_strand"), F.col("start").alias("g_lo"), F.col("end").alias("g_hi"))
-    meet = range_join(p, g, [("guide_chrom", "g_chrom"), ("strand", "g_strand")], ("p_lo", "p_hi"), ("g_lo", "g_hi"), T.overlaps_closed(F.col("p_lo"), F.col("p_hi"), F.col("g_lo"), F.col("g_hi")), bin_size=1024)
-    return meet.groupBy("chrom", "strand", "pos").agg(F.count("*").alias("hits"))
+    p = p.withColumn("hi", (F.col("pos") + flank).cast("long")).withColumn("lo", F.greatest(F.col("pos") - flank, F.lit(0)).cast("long") - 1)
+    # those that start by the flank's end, less those that end before its start
+    keys, whole = ["guide_chrom", "strand"], guide.filter("start <= end")
+    side = lambda end, at: prefix_count(whole.select(F.col("chrom").alias("guide_chrom"), "strand", F.col(end).cast("long").alias(at)), p.select(*keys, at), keys, at).withColumnRenamed("best", f"n_{at}")
+    met = p.join(side("start", "hi"), [*keys, "hi"]).join(side("end", "lo"), [*keys, "lo"])
+    return met.select("chrom", "strand", "pos", (F.col("n_hi") - F.col("n_lo")).alias("hits")).filter("hits > 0")
 
 
 def repr_terminal(members: DataFrame, side: str, policy: str = "major", hits: DataFrame | None = None, group: str = "gkey") -> DataFrame:

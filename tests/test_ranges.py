@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.operators import anchors, prefixmax
+from spliceloom.operators import anchors, merge, prefixmax
 from spliceloom.tools import attributes
 
 rng = random.Random(5)
@@ -93,3 +93,40 @@ def test_value_lines_of_thousands_of_files(spark):
         assert lines.agg(F.min(F.size(F.split("line", "\t"))), F.max(F.size(F.split("line", "\t"))), F.count("*")).first()[:] == (n, n, 2000)
         took[n] = time.time() - start
     assert took[5000] < 3 * took[50] + 2
+
+
+@pytest.mark.parametrize("bin_size", [3, 1 << 16])
+def test_prefix_count(spark, bin_size):
+    cat = [(rng.choice("ab"), rng.randrange(80)) for _ in range(90)] + [(None, 4), ("a", None)]
+    asked = [(k, p) for k in "abc" for p in range(-2, 85, 5)] + [("a", 3), ("a", 3)]
+    got = prefixmax.prefix_count(spark.createDataFrame(cat, "k string, at long"), spark.createDataFrame(asked, "k string, at long"), ["k"], "at", bin_size=bin_size)
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(k, p, sum(x == k and q is not None and q <= p for x, q in cat)) for k, p in asked})
+
+
+def test_guide_hits_by_counts(spark):
+    guides = [("c", rng.choice("+-"), *(lambda a: (a, a + rng.randrange(12)))(rng.randrange(1, 200))) for _ in range(150)] + [("c", "+", 50, 40)]
+    points = [("c", s, p) for s in "+-" for p in range(0, 230, 3)] + [("d", "+", 5)]
+    g = spark.createDataFrame(guides, "chrom string, strand string, start int, end int")
+    hits = merge.guide_hits(spark.createDataFrame(points * 2, "chrom string, strand string, pos int"), g, 10)
+    want = {(c, s, p): sum(x == c and y == s and a <= z and max(p - 10, 0) <= z and a <= p + 10 for x, y, a, z in guides) for c, s, p in points}
+    assert {(r.chrom, r.strand, r.pos): r.hits for r in hits.collect()} == {k: v for k, v in want.items() if v}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_chains_of_a_hot_first_exon_meet_at_another_place(spark):
+    chains = []
+    for i in range(1500):
+        far = 5000 + 40 * (i % 700) + rng.choice([0, 0, 2])
+        junctions = [{"l": 100 + rng.choice([0, 1]), "r": 200}, {"l": 300, "r": far}]
+        chains.append(("c", 0, "+", 3, f"n{i}", junctions))
+    table = spark.createDataFrame(chains, "chrom string, island int, strand string, n_exons int, node string, junctions array<struct<l:int,r:int>>")
+    pairs = {(r.node_a, r.node_b) for r in merge.wobble_pairs(table, 3, 3, 3).collect()}
+    close = lambda a, b: all(abs(x[k] - y[k]) <= 3 for x, y in zip(a[5], b[5], strict=True) for k in "lr")
+    by_far = {}
+    for c in chains:
+        by_far.setdefault((c[5][1]["r"] - 5000) // 40, []).append(c)
+    want = {tuple(sorted((a[4], b[4]))) for same in by_far.values() for i, a in enumerate(same) for b in same[:i] if close(a, b)}
+    assert pairs == want and len(want) > 500
+    compared = merge.wobble_candidates(table, 4).count()
+    assert compared * 20 < 1500 * 1499 / 2

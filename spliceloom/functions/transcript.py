@@ -117,13 +117,14 @@ def exon_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda s, x: s + F.aggregate(b, F.lit(0), lambda t, y: t + genomic_overlap(x["start"], x["end"], y["start"], y["end"])))
 
 
-def _ends(exons: Column) -> Column:
+def exon_ends(exons: Column) -> Column:
+    """Starts and ends of all exons, repeats included."""
     return F.flatten(F.transform(exons, lambda e: F.array(e["start"], e["end"])))
 
 
-def site_agreement(query: Column, ref: Column) -> Column:
-    """How many exon ends of ``ref``, transcript ends and repeats included, the query has."""
-    return F.size(F.filter(_ends(ref), lambda p: F.array_contains(_ends(query), p)))
+def site_agreement(query_ends: Column, ref_ends: Column) -> Column:
+    """How many exon ends of the reference, transcript ends and repeats included, the query has."""
+    return F.size(F.filter(ref_ends, lambda p: F.array_contains(query_ends, p)))
 
 
 def subchain_offset(query: Column, ref: Column) -> Column:

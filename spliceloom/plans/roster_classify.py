@@ -149,7 +149,8 @@ def classify_retained(spark, d):
 
 @query("antisense_genes", _PAIRS + _ANTI + " select tx_id, genes from an")
 def antisense_genes(spark, d):
-    return C.antisense_genes(_pairs(spark, d)).select("tx_id", F.array_join("antisense", ",").alias("genes"))
+    q, r = _sides(spark, d)
+    return C.antisense_genes(q, C.reference_of(r)).select("tx_id", F.array_join("antisense", ",").alias("genes"))
 
 
 @query("gene_endpoint_diffs", _PAIRS + """, gg as (select distinct tx_id, chrom, strand, s, e, gene from pr where strand = r_strand),

@@ -214,8 +214,9 @@ def _entries(spark, slim: DataFrame, spanning: dict[str, pd.DataFrame], rules: R
 def anchors(ends: DataFrame, keys: list[str], mode: str, tss_wob: int, tes_wob: int, *, fold: int = FOLD, block_rows: int = BLOCK) -> DataFrame:
     """(keys, tss, tes, a_tss, a_tes) of distinct ends (keys, tss, tes): the anchor, first of its group, of each."""
     ends = written(ends.select(*keys, F.col("tss").cast("int"), F.col("tes").cast("int")), "anchor-ends")
-    large = written(ends.groupBy(*keys).count().filter(F.col("count") > fold).select(*keys), "anchor-large")
+    large = ends.groupBy(*keys).count().filter(F.col("count") > fold).select(*keys)
     if large.isEmpty():
         return folded(ends, keys, mode, tss_wob, tes_wob)
+    large = written(large, "anchor-large")
     many = blockwise(ends.join(large, keys, "left_semi"), keys, mode, tss_wob, tes_wob, block_rows)
     return folded(ends.join(large, keys, "left_anti"), keys, mode, tss_wob, tes_wob).unionByName(many)

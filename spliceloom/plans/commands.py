@@ -19,7 +19,7 @@ from spliceloom.operators import assemble, classify, context, merge
 from spliceloom.sources import bed, fasta, files, gtf
 from spliceloom.tools import attributes as X
 
-PROGRAM, VERSION, INDEX_VERSION, SCHEMA_VERSION = "spliceloom", "0.1", 2, "1"
+PROGRAM, VERSION, INDEX_VERSION, SCHEMA_VERSION = "spliceloom", "0.1", 3, "1"
 #: Columns of the outputs, in order (fixed formats).
 TRACK = (
     "merged_tx_id", "merged_gene_id", "merged_start", "merged_end", "merged_strand", "merged_exon_num", "junction_policy", "tss_policy", "tes_policy", "src_tx_count_in_merged_group",
@@ -66,7 +66,8 @@ def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | Non
         if odd := tx.filter(~T.junctions_valid(F.col("junctions"))).limit(5).collect():
             raise ValueError(f"exons that overlap: {[r.tx_id for r in odd]}")
         tx = assemble.with_sites(tx, fasta.intron_sites(tx, fasta.chunks(spark, fasta_path)))
-        tx.repartition("chrom").sortWithinPartitions("chrom", "start", "end", "strand", "tx_id").write.mode("overwrite").partitionBy("chrom").parquet(f"{out}/transcripts")
+        tx = with_order(tx)
+        tx.repartition("chrom").sortWithinPartitions("chrom", "gidx").write.mode("overwrite").partitionBy("chrom").parquet(f"{out}/transcripts")
         gtf.transcript_lines(rows).write.mode("overwrite").parquet(f"{out}/lines")
         stats = assemble.index_stats(spark.read.parquet(f"{out}/transcripts")).first().asDict()
         stats |= {"skipped_transcript_cnt": sum(r.n for r in gone), "skipped_gene_cnt": sum(r.g for r in gone), "missing_seqids": [r.chrom for r in gone]}
@@ -76,6 +77,13 @@ def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | Non
     return tx.withColumn("chrom", F.col("chrom").cast("string")), spark.read.parquet(f"{out}/lines")
 
 
+def with_order(tx: DataFrame, step: int = 1 << 20) -> DataFrame:
+    """Adds ``gidx``: the place of a transcript in the order of its file, from 0."""
+    c = F.col
+    coarse = [c("source_file_id"), c("chrom"), F.floor(c("start") / step)]
+    return merge.numbered(tx, coarse, [c("start"), c("end"), T.strand_rank(c("strand")), c("tx_id"), c("gene_id")], "gidx").withColumn("gidx", c("gidx") - 1)
+
+
 #: The table of many inputs: transcripts under the build and the digest of their file.
 MANIFEST = "key string, build string, path string, tx_cnt long"
 

@@ -13,6 +13,7 @@ from spliceloom.operators import assemble, islands, merge
 from spliceloom.plans import adapter as A
 from spliceloom.plans import merge_sql as M
 from spliceloom.plans import roster_classify, roster_tools
+from spliceloom.session import written
 
 O = merge.MergeOptions()
 _QUERIES: dict[str, Callable] = {}
@@ -64,13 +65,18 @@ def tx_stats(spark, d):
     return assemble.index_stats(A.transcripts(spark, d))
 
 
+def _stored(spark, d):
+    """The transcripts as a table, like an index."""
+    return written(A.transcripts(spark, d), "transcripts")
+
+
 def _islands(spark, d):
-    return islands.with_islands(A.transcripts(spark, d), bin_size=1 << 16)
+    return islands.with_islands(_stored(spark, d), bin_size=1 << 16)
 
 
 @query("super_clusters", "select chrom, island, max(e) as island_end, count(*) as tx_cnt from isl group by chrom, island")
 def super_clusters(spark, d):
-    return islands.island_table(_islands(spark, d))
+    return islands.island_table(A.transcripts(spark, d), bin_size=1 << 16)
 
 
 @query("junction_clusters", "select chrom, island, strand, n_exons, count(*) as tx_cnt, count(distinct chain) as chain_cnt from isl group by chrom, island, strand, n_exons")
@@ -270,7 +276,7 @@ def nc_absorption(spark, d):
 
 
 def _merged(spark, d, options=O, **guides):
-    g, m = merge.merge(A.transcripts(spark, d), options, **guides)
+    g, m = merge.merge(_stored(spark, d), options, **guides)
     return merge.with_ids(g, m), m
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spliceloom.plans import adapter as A
+from spliceloom.plans import commands
 from spliceloom.sources import gtf
 from spliceloom.tools import attributes as X
 
@@ -45,6 +46,12 @@ def valtable_lines(spark, d):
     return X.value_cells(merged, rows, range(40)).select("transcript_id", X.filled_line(F.col("cells"), 40, "0.0").alias("line"))
 
 
+def tx_order(spark, d):
+    """The order of a file, all transcripts as one file."""
+    tx = commands.with_order(A.transcripts(spark, d).withColumn("source_file_id", F.lit(0)), 1 << 16)
+    return tx.select("tx_id", "chrom", "start", "gidx")
+
+
 def valtable_stats(spark, d):
     return X.value_stats(_values(spark, d)[1])
 
@@ -53,7 +60,7 @@ _M = """, v as (select concat('M', chrom, '_', cast(floor(s / 4000) as bigint),
 
 
 def queries():
-    return {"chop_attrs": chop_attrs, "attribute_bag": attribute_bag, "valtable": valtable, "valtable_lines": valtable_lines, "valtable_stats": valtable_stats}
+    return {"chop_attrs": chop_attrs, "attribute_bag": attribute_bag, "valtable": valtable, "valtable_lines": valtable_lines, "valtable_stats": valtable_stats, "tx_order": tx_order}
 
 
 def oracle_sql():
@@ -63,6 +70,7 @@ def oracle_sql():
         "chop_attrs": f"""{cte} select tx_id, concat('gene_id "', gene_id, '"; transcript_id "', tx_id, '"; TPM "', n_exons * 7, '";') as own_removed, concat('gene_id "', gene_id, '"; transcript_id "', tx_id, '";') as all_removed from tx""",
         "attribute_bag": f"{cte} select tx_id, concat('gene_id=', gene_id, '|transcript_id=', tx_id, '|TPM=', n_exons * 7, '|ISOM_COUNT=', n_exons) as bag, cast(n_exons * 7 as varchar) as tpm, gene_id as gene from tx",
         "valtable": f"{cte} {_M} select transcript_id, {files} from v group by transcript_id",
+        "tx_order": f'{cte} select tx_id, chrom, s as start, row_number() over (order by chrom, s, e, srank, tx_id, gene_id) - 1 as gidx from tx',
         "valtable_lines": f"""{cte} {_M}, w as (select transcript_id, file_id, arg_max(value, tx_id) filter (value <> '') as value from v group by all),
  x as (select transcript_id, i from (select distinct transcript_id from v), range(40) r(i))
  select x.transcript_id, string_agg(coalesce(value, '0.0'), chr(9) order by i) as line from x left join w on w.transcript_id = x.transcript_id and w.file_id = i group by x.transcript_id""",

@@ -312,3 +312,31 @@ def test_a_broken_build_leaves_nothing_that_is_read(spark, toy, tmp_path):
     for name in os.listdir(out / "manifest"):
         os.remove(out / "manifest" / name)  # as if the first build had broken off before its last step
     assert commands.index_many(spark, [str(tmp_path / "a.gtf")], str(toy / "g.fa"), str(out)).collect() == first
+
+
+def test_reference_lines_must_be_there_once(spark, toy):
+    """A repeated transcript line of the reference is an error, so is a transcript without one."""
+    ref = (toy / "ref.gtf").read_text()
+    line = next(x for x in ref.splitlines() if "\ttranscript\t" in x)
+    for name, text, error in (("twice", ref + line + "\n", "repeated transcript lines.*R1"), ("none", ref.replace(line + "\n", ""), "transcripts without a line.*R1")):
+        (toy / f"{name}.gtf").write_text(text)
+        tx, lines = commands.index(spark, str(toy / f"{name}.gtf"), str(toy / "g.fa"))
+        with pytest.raises(ValueError, match=error):
+            gtf.check_reference(tx, lines)
+
+
+def test_chromosomes_that_the_sequences_lack(spark, toy):
+    text = (toy / "ref.gtf").read_text() + tx("far", "GF", "+", (5, 9)).replace("chrT", "chrX")
+    (toy / "lack.gtf").write_text(text)
+    path, fa = str(toy / "lack.gtf"), str(toy / "g.fa")
+    for f in (lambda **k: commands.index(spark, path, fa, **k)[0], lambda **k: commands.index_many(spark, [path], fa, str(toy / "lack.many"), **k)):
+        with pytest.raises(ValueError, match="absent from the sequences.*chrX"):
+            f()
+        assert sorted(r.tx_id for r in f(skip_missing=True).collect()) == ["R1", "R2", "R3"]
+    info = json.loads((toy / "lack.gtf.index.info.json").read_text())
+    assert info["missing_seqids"] == ["chrX"] and info["skipped_transcript_cnt"] == 1 and info["skipped_gene_cnt"] == 1
+
+
+def test_index_stores_the_order_of_a_file(spark, toy):
+    got = commands.index(spark, str(toy / "s2.gtf.gz"), str(toy / "g.fa"))[0].select("gidx", "tx_id").collect()
+    assert [r.tx_id for r in sorted(got)] == ["p4", "p1", "p2", "p3"] and sorted(r.gidx for r in got) == [0, 1, 2, 3]

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.operators import anchors, merge, prefixmax
+from spliceloom.operators import anchors, islands, merge, prefixmax
 from spliceloom.tools import attributes
 
 rng = random.Random(5)
@@ -130,3 +130,26 @@ def test_chains_of_a_hot_first_exon_meet_at_another_place(spark):
     assert pairs == want and len(want) > 500
     compared = merge.wobble_candidates(table, 4).count()
     assert compared * 20 < 1500 * 1499 / 2
+
+
+@pytest.mark.parametrize("bin_size", [5, 1 << 16])
+def test_islands(spark, bin_size):
+    rows = [(rng.choice("ab"), s, s + rng.randrange(1, 14), i) for i, s in enumerate(rng.randrange(1, 1200) for _ in range(120))] + [("c", 5, 5, 900), ("c", 5, 9, 901), ("c", 9, 10, 902), ("c", 11, 12, 903)]
+    want, last = {}, {}
+    for c, s, e, i in sorted(rows):
+        island, far = last.get(c, (None, -1))
+        if island is None or s > far:
+            island = s
+        last[c] = (island, max(far, e))
+        want[i] = island
+    got = islands.with_islands(spark.createDataFrame(rows, "chrom string, start int, end int, i int"), bin_size=bin_size)
+    assert {r.i: r.island for r in got.collect()} == want and got.columns == ["chrom", "start", "end", "i", "island"]
+
+
+def test_a_dense_bin_costs_its_places(spark):
+    """Two million transcripts of one bin: no window holds more rows than the bin has places."""
+    tx = spark.range(2_000_000).select(F.lit("c").alias("chrom"), (F.col("id") % 50_000).cast("int").alias("start"), (F.col("id") % 50_000 + 3).cast("int").alias("end"))
+    got = islands.with_islands(tx)
+    assert got.agg(F.count("*"), F.countDistinct("island"), F.max("island")).first()[:] == (2_000_000, 1, 0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("Aggregate" in below for below in plan.split("Window")[1:])

@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,16 +114,115 @@ def _misnamed(spark: SparkSession, paths: list[tuple[str, int]]) -> DataFrame:
     return todo.mapInArrow(read, "source_file_id int, line_no struct<block:bigint,n:bigint>, value string")
 
 
+#: Compressed bytes of a range of a block-gzipped file.
+RANGE = 16 << 20
+
+
+def block_size(header: bytes) -> int | None:
+    """Bytes of the member that begins with these 18 bytes or more, where it says so itself: block gzip, field BC."""
+    if len(header) < 18 or header[:4] != b"\x1f\x8b\x08\x04":
+        return None
+    at, end = 12, 12 + int.from_bytes(header[10:12], "little")
+    while at + 6 <= min(end, len(header)):
+        size = int.from_bytes(header[at + 2 : at + 4], "little")
+        if header[at : at + 2] == b"BC" and size == 2:
+            return int.from_bytes(header[at + 4 : at + 6], "little") + 1
+        at += 4 + size
+    return None
+
+
+def _members(f, start: int) -> Iterator[tuple[int, bytes]]:
+    """(place of its member, bytes) of a gzip file from a member on."""
+    f.seek(start)
+    place, read, held = start, start, b""
+    inflate = zlib.decompressobj(31)
+    while True:
+        if not held:
+            held = f.read(1 << 18)
+            read += len(held)
+            if not held:
+                return
+        if inflate.eof:
+            place, inflate = read - len(held), zlib.decompressobj(31)
+        out = inflate.decompress(held)
+        held = inflate.unused_data
+        if out:
+            yield place, out
+
+
+def _range_lines(f, start: int, end: int) -> Iterator[list[bytes]]:
+    """Lines that begin behind the first line end of a range, or at the start of the file, up to the first line end behind the range."""
+    rest, skips = b"", start > 0
+    for place, data in _members(f, start):
+        if place >= end:
+            cut = data.find(b"\n")
+            rest += data if cut < 0 else data[: cut + 1]
+            if skips or cut >= 0:
+                break
+            continue
+        rest += data
+        if skips:
+            cut = rest.find(b"\n")
+            rest, skips = (b"", True) if cut < 0 else (rest[cut + 1 :], False)
+        if len(rest) >= 1 << 20 and (cut := rest.rfind(b"\n")) >= 0:
+            yield rest[:cut].split(b"\n")
+            rest = rest[cut + 1 :]
+    if rest and not skips:
+        yield rest.removesuffix(b"\n").split(b"\n")
+
+
+def _block_gzipped(spark: SparkSession, paths: list[tuple[str, int]], size: int = RANGE) -> DataFrame:
+    """(source_file_id, line_no, value) of block-gzipped files, by ranges of blocks.
+
+    One task a file hops from block to block, reading their headers only, and cuts ranges.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for uri, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as f:
+                    at, starts, end = 0, [0], f.size()
+                    # a member that does not tell its size ends the hops: the last range reads on
+                    while at < end and (step := block_size(f.read_at(min(64, end - at), at))):
+                        if at - starts[-1] >= size:
+                            starts.append(at)
+                        at += step
+                ends = [*starts[1:], end]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(starts)), pa.array([i] * len(starts), pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["path", "i", "start", "end"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for uri, i, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as f:
+                    n = 0
+                    for held in _range_lines(f, start, end):
+                        no = pa.StructArray.from_arrays([pa.array([start] * len(held), pa.int64()), pa.array(range(n, n + len(held)), pa.int64())], names=["block", "n"])
+                        n += len(held)
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(held), pa.int32()), no, pa.array([x.decode() for x in held])], names=["source_file_id", "line_no", "value"])
+
+    todo = spark.createDataFrame([(qualified(spark, p), i) for p, i in paths], "path string, i int").repartition(min(len(paths), 1024), "i")
+    ranges = todo.mapInArrow(cut, "path string, i int, start long, end long")
+    parts = max(spark.sparkContext.defaultParallelism, sum(status(spark, p)[0] // size + 1 for p, _ in paths))
+    return ranges.repartition(parts, "i", "start").mapInArrow(read, "source_file_id int, line_no struct<block:bigint,n:bigint>, value string")
+
+
 def lines(spark: SparkSession, paths: list[str], *, ends: bool = False) -> DataFrame:
     """(source_file_id, line_no, value): file ids in the order of ``paths``; line_no orders the lines of a file.
 
     Lines end with a newline; a carriage return before it goes unless ``ends`` keeps it. Whether a
-    file is gzip follows from its content, whatever its name.
+    file is gzip follows from its content, whatever its name; block gzip is read by ranges.
     """
-    by_name, odd = [], []
+    by_name, odd, blocks = [], [], []
     for i, p in enumerate(paths):
-        zipped = head(spark, p, 2) == b"\x1f\x8b"
-        (by_name if zipped == p.endswith(".gz") else odd).append((p, i))
+        first = head(spark, p, 64)
+        zipped = first[:2] == b"\x1f\x8b"
+        (blocks if block_size(first) else by_name if zipped == p.endswith(".gz") else odd).append((p, i))
     out = None
     if by_name:
         ids = spark.createDataFrame([(qualified(spark, p), i) for p, i in by_name], "_path string, source_file_id int")
@@ -131,9 +231,9 @@ def lines(spark: SparkSession, paths: list[str], *, ends: bool = False) -> DataF
         plain = lambda c: F.regexp_replace(F.url_decode(c), "^([a-z0-9]+):/+", "$1:/")
         # one row a file: bounded by the arguments of the call
         out = raw.join(F.broadcast(ids), plain(F.col("_p")) == plain(F.col("_path"))).select("source_file_id", "line_no", "value")
-    if odd:
-        rest = _misnamed(spark, odd)
-        out = rest if out is None else out.unionByName(rest)
+    for some, reader in ((odd, _misnamed), (blocks, _block_gzipped)):
+        if some:
+            out = reader(spark, some) if out is None else out.unionByName(reader(spark, some))
     return out if ends else out.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 

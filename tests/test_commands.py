@@ -1,8 +1,12 @@
 """A toy genome through all commands."""
 
 import gzip
+import io
 import json
 import os
+import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +344,50 @@ def test_chromosomes_that_the_sequences_lack(spark, toy):
 def test_index_stores_the_order_of_a_file(spark, toy):
     got = commands.index(spark, str(toy / "s2.gtf.gz"), str(toy / "g.fa"))[0].select("gidx", "tx_id").collect()
     assert [r.tx_id for r in sorted(got)] == ["p4", "p1", "p2", "p3"] and sorted(r.gidx for r in got) == [0, 1, 2, 3]
+
+
+def block_gzip(data, size):
+    """Members of at most ``size`` bytes each that tell their own length, and the empty one at the end."""
+    out = b""
+    for a in [*range(0, len(data), size), len(data)]:
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = deflate.compress(data[a : a + size]) + deflate.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H2sHH", 6, b"BC", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data[a : a + size]), len(data[a : a + size]))
+    return out
+
+
+@pytest.mark.parametrize("last", ["", "\n\n"])
+def test_block_gzip_by_ranges(spark, tmp_path, last):
+    r = random.Random(len(last))
+    text = "\n".join(["é" * r.choice([0, 1, 3, 40, 900]) + str(i) for i in range(700)] + ["x" * 999] * 3) + last
+    data = text.encode()
+    (tmp_path / "b.gtf.gz").write_bytes(block_gzip(data, 1000))
+    assert gzip.decompress((tmp_path / "b.gtf.gz").read_bytes()) == data
+    want = text.removesuffix("\n").split("\n")
+    rows = files._block_gzipped(spark, [(str(tmp_path / "b.gtf.gz"), 4)], 4000).collect()
+    got = sorted(rows, key=lambda x: (x.line_no.block, x.line_no.n))
+    assert [x.value for x in got] == want and {x.source_file_id for x in got} == {4} and len({x.line_no.block for x in got}) > 2
+
+
+def test_ranges_of_blocks_share_no_line():
+    r = random.Random(1)
+    for _ in range(200):
+        data = ("\n".join("y" * r.choice([0, 1, 2, 9, 60]) for _ in range(r.randint(0, 60))) + r.choice(["", "\n", "\n\n"])).encode()
+        packed, size = block_gzip(data, r.choice([1, 3, 10, 50])), r.choice([1, 40, 100, 500])
+        starts, at = [0], 0
+        while at < len(packed):
+            if at - starts[-1] >= size:
+                starts.append(at)
+            at += files.block_size(packed[at : at + 64])
+        got = [x for a, z in zip(starts, [*starts[1:], len(packed)], strict=True) for part in files._range_lines(io.BytesIO(packed), a, z) for x in part]
+        assert got == (data.removesuffix(b"\n").split(b"\n") if data else [])
+
+
+def test_block_gzip_and_other_files_together(spark, tmp_path):
+    texts = [f"a{i}\nb{i}\r\n" for i in range(4)]
+    (tmp_path / "0.gtf").write_text(texts[0])
+    (tmp_path / "1.gtf.gz").write_bytes(block_gzip(texts[1].encode(), 3))
+    (tmp_path / "2.gtf.gz").write_bytes(gzip.compress(texts[2].encode()))
+    (tmp_path / "3.gtf").write_bytes(block_gzip(texts[3].encode(), 2) + gzip.compress(b"tail"))
+    rows = files.lines(spark, [str(tmp_path / n) for n in ("0.gtf", "1.gtf.gz", "2.gtf.gz", "3.gtf")]).orderBy("source_file_id", "line_no").collect()
+    assert [(r.source_file_id, r.value) for r in rows] == [(i, f"{c}{i}") for i in range(4) for c in "ab"] + [(3, "tail")]

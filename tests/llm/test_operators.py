@@ -669,6 +669,13 @@ def test_pipeline(docs, spark):
     assert p.filter("piece = 0").count() == m.count()
 
 
+def test_pipeline_of_no_documents(empty, spark):
+    docs = empty
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0, name
+
+
 def plain_kept(text, lang, model):
     """The quality rules word by word."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")

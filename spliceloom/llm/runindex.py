@@ -2,8 +2,12 @@
 
 The Burrows-Wheeler transform of the strings is kept as runs: first row, symbol, where a run's
 first row goes under the last-to-first mapping, and the places of the text sampled at both ends of
-the run. The suffix order itself is dropped once the runs are known. Strings have colours: symbols
-of different colours differ, so one index serves many sets of strings that must not meet.
+the run. The suffix order itself is dropped once the runs are known; the run of a row is found by
+search among the first rows. Copies of a string are rows next to each other with one symbol in front,
+so they lengthen runs and add none: a string is given once, with the number of its copies, and what
+is kept has the size of the runs and a byte for each place of the distinct strings. Strings have
+colours: symbols of different colours differ, so one index serves many sets of strings that must not
+meet.
 
 Matching statistics read patterns from right to left, all patterns at once: while the symbol
 before the current row is the one asked for, the match grows by one step of the mapping; otherwise
@@ -66,16 +70,16 @@ def suffix_order(text: np.ndarray, stop: np.ndarray, longest: int) -> np.ndarray
 
 
 class RunIndex:
-    """Index of the strings data[first : first + length], each of a colour."""
+    """Index of the strings data[first : first + length], each of a colour and standing ``copies`` times (once)."""
 
-    def __init__(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, colour: np.ndarray):
+    def __init__(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, colour: np.ndarray, copies: np.ndarray | None = None):
         self.text, start = joined(data, first, length)
         n = int((length + 1).sum())
-        self.total = n
-        self.stop = np.repeat(start + length, length + 1)
+        self.start, self.stop = start, start + length
+        stop = np.repeat(self.stop, length + 1)
         tint = np.repeat(colour.astype(np.int64), length + 1)
-        ended = np.arange(n) == self.stop
-        rank = suffix_order(self.text, self.stop, int(length.max(initial=0)))
+        ended = np.arange(n) == stop
+        rank = suffix_order(self.text, stop, int(length.max(initial=0)))
         # ends first, then by colour; equal suffixes in the order of their strings
         order = np.argsort(np.where(ended, 0, tint + 1) * (n + 1) + rank, kind="stable")
         symbol = (tint << 8) + self.text[:n] + 1
@@ -84,23 +88,26 @@ class RunIndex:
         before[start] = 0
         bwt = before[order]
         self.symbols, run_symbol = np.unique(bwt, return_inverse=True)
-        self.first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.last = np.concatenate([self.first[1:], [n]]) - 1
-        self.run_of = np.repeat(np.arange(len(self.first), dtype=np.int32), self.last - self.first + 1)
-        self.symbol = run_symbol[self.first]
+        head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        tail = np.concatenate([head[1:], [n]]) - 1
+        rows = np.ones(n, np.int64) if copies is None else np.repeat(copies.astype(np.int64), length + 1)[order]
+        end = np.cumsum(rows)
+        self.total = int(end[-1]) if n else 0
+        self.first, self.last = end[head] - rows[head], end[tail] - 1
+        self.symbol = run_symbol[head]
         # rows before the runs of a symbol in first-column order, then runs of the same symbol
         self.by_symbol = np.lexsort((self.first, self.symbol))
         sizes = (self.last - self.first + 1)[self.by_symbol]
         self.target = np.empty(len(self.first), np.int64)
         self.target[self.by_symbol] = np.cumsum(sizes) - sizes
         # runs by (symbol, place), to find the nearest one of a symbol
-        self.place_key = self.symbol[self.by_symbol] * (n + 1) + self.first[self.by_symbol]
+        self.place_key = self.symbol[self.by_symbol] * (self.total + 1) + self.first[self.by_symbol]
         self.edge = np.searchsorted(self.symbol[self.by_symbol], np.arange(len(self.symbols) + 1))
-        self.first_sample, self.last_sample = order[self.first], order[self.last]
+        self.first_sample, self.last_sample = order[head], order[tail]
 
     def _common(self, sample: np.ndarray, words: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Common prefix of the text from ``sample`` with the pattern from ``at``, at most ``most``."""
-        most = np.minimum(most, self.stop[sample] - sample)
+        most = np.minimum(most, self.stop[np.searchsorted(self.start, sample, "right") - 1] - sample)
         out = most.copy()
         own, live, done = _words(self.text), np.flatnonzero(most > 0), 0
         while len(live):
@@ -138,7 +145,7 @@ class RunIndex:
             place = length[live] - step
             c = asked[start[live] + place]
             r, got = row[live], matched[live]
-            run = self.run_of[r].astype(np.int64)
+            run = np.searchsorted(self.first, r, "right") - 1
             off = np.flatnonzero(self.symbol[run] != c)
             if len(off):
                 none = c[off] < 0

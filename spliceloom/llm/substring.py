@@ -8,17 +8,18 @@ id. The work is dealt out by content, so that every index stays small and no tex
    stretch of rows hears back which of its hashes several documents have.
 2. Windows that share an anchor form a stretch. Stretches whose anchor several documents have go
    to the bucket of their anchor: every distinct stretch of a slice once, with the smallest id there.
-3. A bucket keeps the distinct stretches, each with the smallest id that holds it. Stretches that
-   differ though they share an anchor are halved by id, again and again: the half of smaller ids
+3. A bucket has each stretch with the smallest id that holds it and the number of its copies in
+   larger ids. Stretches of an anchor are halved by id, again and again: the half of smaller ids
    becomes a run-length index (run-compressed Burrows-Wheeler transform with samples at run ends),
-   the other half is streamed through it, and where the matching statistics reach ``span`` the
-   window is known to stand in a smaller id. Only stretches that share a seed around their anchor
-   with another id take part, as every shared window holds one. Each slice hears back, for its stretches, the smallest
-   id that holds the whole and the windows that smaller ids hold.
+   in which copies lengthen the runs; the other half, and a copy of each stretch that larger ids
+   hold too, are streamed through it, and where the matching statistics reach ``span`` the window is
+   known to stand in a smaller id. A stretch that shares no seed around its anchor with another one
+   of another id meets its own copies only, as every shared window holds a seed. Each slice hears
+   back, for its stretches, their smallest id, the windows that smaller ids than that hold, and
+   those that larger ids find in front of them.
    An anchor that very many stretches have would fill a task; its windows are anchored anew, by
    the least-hashed bytes in them that differ from it, and travel by both hashes.
-4. Each document looks up its stretches and removes the bytes: whole stretches that a smaller id
-   holds, else their windows.
+4. Each document looks up its stretches and removes the bytes of the windows found for its id.
 
 Steps 1, 2 and 4 read the same files. What returns are facts about strings, addressed to rows of a
 file, so the passes may cut the files into other partitions, as they do when executors come or go.
@@ -232,17 +233,24 @@ def _anchored_anew(data, owner, first, count, h, is_hot, span: int):
     )
 
 
-def mark_stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, group: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window): windows of the distinct strings data[first : first + length] that a string of their group with a smaller ``least`` holds.
+def mark_stretches(
+    data: np.ndarray, first: np.ndarray, length: np.ndarray, group: np.ndarray, least: np.ndarray, span: int, *, later: np.ndarray | None = None, copies: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window): windows of the strings data[first : first + length] that a string of their group with a smaller ``least`` holds.
+
+    Strings that are ``later`` stand for the copies of a string in ids above its ``least``: that string is in front of
+    them, too, and they are asked for only, as what they hold stands there. Others stand ``copies`` times in an index.
 
     The ids of a group are ranked. At level k, blocks of 2**(k + 1) ranks are halved: the lower half is
     indexed, the upper half streamed. Any two ids part at one level, so every window meets all smaller
     ids. A string of which nothing is left is out of all further levels.
     """
-    order = np.lexsort((least, group))
-    g, v = group[order], least[order]
+    later = np.zeros(len(length), bool) if later is None else later
+    copies = np.ones(len(length), np.int64) if copies is None else copies
+    order = np.lexsort((later, least, group))
+    g, v, after = group[order], least[order], later[order]
     new_group = np.concatenate([[True], g[1:] != g[:-1]])
-    steps = np.cumsum(new_group | np.concatenate([[True], v[1:] != v[:-1]]))
+    steps = np.cumsum(new_group | np.concatenate([[True], (v[1:] != v[:-1]) | (after[1:] != after[:-1])]))
     rank = np.empty(len(order), np.int64)
     rank[order] = steps - steps[new_group][np.cumsum(new_group) - 1]
     windows = length - span + 1
@@ -255,17 +263,19 @@ def mark_stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, grou
     level = 0
     while len(live := live[(top[group[live]] >> level > 0) & ~whole[live]]):
         upper = rank[live] >> level & 1 == 1
+        lower = ~upper & ~later[live]
         colour = group[live] * (int(top.max()) + 1) + (rank[live] >> (level + 1))
         colour = np.searchsorted(np.unique(colour), colour)
-        sides = np.bincount(colour, minlength=int(colour.max()) + 1), np.bincount(colour[upper], minlength=int(colour.max()) + 1)
-        both = (sides[1] > 0) & (sides[0] > sides[1])
-        size = np.where(both, np.bincount(colour, length[live] + 1, len(both)), 0)
+        sides = (np.bincount(colour[side], minlength=int(colour.max()) + 1) for side in (lower, upper))
+        both = np.logical_and(*(n > 0 for n in sides))
+        size = np.where(both, np.bincount(colour, (length[live] + 1) * (lower | upper), len(both)), 0)
         part = np.where(both, np.cumsum(size) // INDEX, -1)[colour]
         for p in np.unique(part[part >= 0]).tolist():
-            here = part == p
-            low, high = live[here & ~upper], live[here & upper]
-            index = RunIndex(data, first[low], length[low], colour[here & ~upper])
-            for who, place, matched in index.matching_statistics(data, first[high], length[high], colour[here & upper], span):
+            low, high = (np.flatnonzero((part == p) & side) for side in (lower, upper))
+            of_low, of_high = colour[low], colour[high]
+            low, high = live[low], live[high]
+            index = RunIndex(data, first[low], length[low], of_low, copies[low])
+            for who, place, matched in index.matching_statistics(data, first[high], length[high], of_high, span):
                 hit = matched >= span
                 gone[high[who[hit]], place[hit]] = True
             whole[high] = gone[high].sum(axis=1) == windows[high]
@@ -314,9 +324,9 @@ def may_share(strings: np.ndarray, length: np.ndarray, h: np.ndarray, least: np.
     return live[keep]
 
 
-#: Kinds of the arrays of a message of stretches: lengths, anchor hashes, smallest ids, whether further ids hold them, bytes.
-STRETCHES = ("<u2", "<u8", "<i8", "?", "u1")
-#: Kinds of those of the answer: anchor hashes, hashes of all bytes, smallest ids, windows as bits.
+#: Kinds of the arrays of a message of stretches: lengths, anchor hashes, smallest ids, copies in larger ids, bytes.
+STRETCHES = ("<u2", "<u8", "<i8", "<u4", "u1")
+#: Kinds of those of the answer: anchor hashes, hashes of all bytes, smallest ids, bits of the windows that go at the smallest id and at larger ones.
 FACTS = ("<u8", "<u8", "<i8", "u1")
 
 
@@ -324,7 +334,7 @@ def _bucket_facts(messages: list[bytes], span: int) -> Iterator[bytes | None]:
     """The answer to each message of a bucket, None where nothing of its stretches goes."""
     width = 2 * span - GRAM
     got = [unpacked(m, *STRETCHES) for m in messages]
-    length, hashes, ids, more, data = (np.concatenate([r[i] for r in got]) for i in range(5))
+    length, hashes, ids, further, data = (np.concatenate([r[i] for r in got]) for i in range(5))
     length = length.astype(np.int64)
     first = np.cumsum(length) - length
     strings = _matrix(data, first, length, width)
@@ -334,12 +344,20 @@ def _bucket_facts(messages: list[bytes], span: int) -> Iterator[bytes | None]:
         raise RuntimeError("two stretches share a name")
     least = np.full(len(lead), NULL_ID, np.int64)
     np.minimum.at(least, same, ids)
-    some = may_share(strings[lead], length[lead], hashes[lead], least, span)
-    s, w = mark_stretches(data, first[lead[some]], length[lead[some]], hashes[lead[some]], least[some], span)
-    windows = np.zeros((len(lead), span - GRAM + 1), bool)
-    windows[some[s], w] = True
-    bits = np.packbits(windows, axis=1)
-    useful = more | (ids > least[same]) | windows.any(axis=1)[same]
+    behind = further + (ids > least[same])
+    copies = np.bincount(same, behind, len(lead)).astype(np.int64)
+    shares = np.zeros(len(lead), bool)
+    shares[may_share(strings[lead], length[lead], hashes[lead], least, span)] = True
+    here, again = np.flatnonzero(shares | (copies > 0)), np.flatnonzero(copies)
+    item = np.concatenate([here, again])
+    later = np.arange(len(item)) >= len(here)
+    group = np.where(shares, hashes[lead], name)[item]
+    s, w = mark_stretches(data, first[lead[item]], length[lead[item]], group, least[item], span, later=later, copies=1 + copies[item])
+    windows = np.zeros((len(lead), 2, span - GRAM + 1), bool)
+    windows[item[s], later[s].astype(int), w] = True
+    bits = np.packbits(windows, axis=2)
+    some = windows.any(axis=2)[same]
+    useful = some[:, 0] | (some[:, 1] & (behind > 0))
     at = 0
     for r in got:
         k = at + np.flatnonzero(useful[at : at + len(r[0])])
@@ -437,17 +455,17 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, hot: int = HOT, id_col:
                 continue
             # equal stretches once, in the order of their buckets
             _, lead, same = np.unique(_string_hashes(_matrix(data, first, length, width), h), return_index=True, return_inverse=True)
-            least, most = np.full(len(lead), NULL_ID, np.int64), np.full(len(lead), -NULL_ID - 1, np.int64)
+            least = np.full(len(lead), NULL_ID, np.int64)
             np.minimum.at(least, same, ids[owner])
-            np.maximum.at(most, same, ids[owner])
+            further = np.bincount(same, ids[owner] > least[same], len(lead)).astype("<u4")
             to = _bucket_of(h[lead], buckets)
             order = np.argsort(to, kind="stable")
-            to, lead, least, most = to[order], lead[order], least[order], most[order]
+            to, lead, least, further = to[order], lead[order], least[order], further[order]
             names, out = [], []
             for a, z in _runs(np.diff(to) != 0):
                 d = lead[a:z]
                 names.append(int(to[a]))
-                out.append(packed(length[d].astype("<u2"), h[d], least[a:z], most[a:z] > least[a:z], data[ranges(first[d], length[d])]))
+                out.append(packed(length[d].astype("<u2"), h[d], least[a:z], further[a:z], data[ranges(first[d], length[d])]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), *(pa.array([x] * len(names), pa.int64()) for x in (file, int(rows[0]), int(rows[-1]))), pa.array(out, pa.binary())], names=["bucket", "file", "lo", "hi", "stretches"]
             )
@@ -465,7 +483,7 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, hot: int = HOT, id_col:
         if not letters or not len(h):
             return none
         anchor, own, least, bits = (np.concatenate(x) for x in zip(*(unpacked(m, *FACTS) for _, _, m in letters), strict=True))
-        bits = bits.reshape(len(own), -1)
+        bits = bits.reshape(len(own), 2, -1)
         order = np.argsort(own)
         anchor, own, least, bits = anchor[order], own[order], least[order], bits[order]
         k = np.flatnonzero(np.isin(h, anchor))
@@ -476,11 +494,14 @@ def removed_spans(docs: DataFrame, *, span: int = SPAN, hot: int = HOT, id_col:
         at = np.minimum(np.searchsorted(own, name), len(own) - 1)
         k = np.flatnonzero((own[at] == name) & (anchor[at] == h))
         at, owner, first, length = at[k], owner[k], first[k], length[k]
-        late = ids[owner] > least[at]
-        some = np.flatnonzero(~late & bits[at].any(axis=1))
-        o, w = np.nonzero(np.unpackbits(bits[at[some]], axis=1, count=span - GRAM + 1))
-        o = some[o]
-        return np.concatenate([owner[late], owner[o]]), np.concatenate([first[late], first[o] + w]), np.concatenate([(first + length)[late], first[o] + w + span])
+        bits = bits[at, (ids[owner] > least[at]).astype(int)]
+        some = np.flatnonzero(bits.any(axis=1))
+        owner, first, length = owner[some], first[some], length[some]
+        gone = np.unpackbits(bits[some], axis=1, count=span - GRAM + 1)
+        whole = gone.sum(axis=1) == length - span + 1  # one run, not a run a window
+        gone[whole] = 0
+        o, w = np.nonzero(gone)
+        return np.concatenate([owner[whole], owner[o]]), np.concatenate([first[whole], first[o] + w]), np.concatenate([(first + length)[whole], first[o] + w + span])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, judged = answers.reader(), facts.reader()

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,6 +148,56 @@ def test_run_index_statistics():
     assert seen == sum(map(len, patterns))
 
 
+def test_copies_lengthen_runs_and_add_none():
+    own = random.Random(77)
+    strings = sorted({bytes(own.choice(b"abc") for _ in range(own.randint(5, 30))) for _ in range(40)})
+    copies = np.array([own.choice((1, 2, 50)) for _ in strings])
+    many = [s for s, n in zip(strings, copies.tolist()) for _ in range(n)]
+    colour = np.zeros(len(many), np.int64)
+    few, full = runindex.RunIndex(*_flat(strings), colour[: len(strings)], copies), runindex.RunIndex(*_flat(many), colour)
+    assert few.total == full.total == sum(len(s) + 1 for s in many) > 10 * len(few.first)
+    for name in ("first", "last", "symbol", "target"):
+        assert (getattr(few, name) == getattr(full, name)).all(), name
+    assert max(x.nbytes for x in vars(few).values() if isinstance(x, np.ndarray) and x.dtype != np.uint8) <= 8 * max(len(few.first), len(strings) + 1)
+    patterns = [bytes(own.choice(b"abcd") for _ in range(12)) for _ in range(20)] + strings[:9]
+    asked = [[(who.tolist(), place.tolist(), n.tolist()) for who, place, n in x.matching_statistics(*_flat(patterns), np.zeros(len(patterns)))] for x in (few, full)]
+    assert asked[0] == asked[1]
+
+
+def test_windows_go_by_matching_statistics_alone(monkeypatch):
+    """All texts of a table in one bucket: at least 90 % of what goes (here all) was streamed through an index."""
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"])
+    ids, texts = table["doc_id"].to_numpy(), [(t or "").encode() for t in table["text"].to_pylist()]
+    data, starts, n = _flat(texts)
+    owner, first, count, h = substring.stretches_of(data, starts, starts + n, 50)
+    length = count + 49
+    found, run = [0], runindex.RunIndex.matching_statistics
+
+    def watched(self, *a):
+        for who, place, matched in run(self, *a):
+            found[0] += int((matched >= 50).sum())
+            yield who, place, matched
+
+    monkeypatch.setattr(runindex.RunIndex, "matching_statistics", watched)
+    order = np.argsort(ids[owner], kind="stable")  # one message of smaller ids, one of larger ones
+    messages = []
+    for k in np.array_split(order, 2):
+        messages.append(substring.packed(length[k].astype("<u2"), h[k], ids[owner[k]].astype("<i8"), np.zeros(len(k), "<u4"), data[substring.ranges(first[k], length[k])]))
+    facts = [substring.unpacked(m, *substring.FACTS) for m in substring._bucket_facts(messages, 50) if m]
+    own, least = (np.concatenate([f[i] for f in facts]) for i in (1, 2))
+    _, one = np.unique(own, return_index=True)
+    bits = np.unpackbits(np.concatenate([f[3] for f in facts]).reshape(len(own), 2, -1)[one], axis=2)
+    gone = int(bits.sum())
+    assert gone > 1000 and found[0] >= 0.9 * gone
+    # every window of a stretch that stands in a larger id goes there
+    names = {x: i for i, x in enumerate(own[one].tolist())}
+    hashes = substring._string_hashes(substring._matrix(data, first, length, 80), h)
+    late = [(names[x], c) for x, c, i in zip(hashes.tolist(), count.tolist(), ids[owner].tolist()) if x in names and i > least[one][names[x]]]
+    assert late and all(bits[k, 1].sum() == c for k, c in late)
+    monkeypatch.setattr(runindex.RunIndex, "matching_statistics", lambda self, *a: iter(()))
+    assert not any(substring._bucket_facts(messages, 50))
+
+
 def test_match_length_decides_which_windows_go(monkeypatch):
     own = random.Random(8)
     strings, group, least = [], [], []

@@ -42,31 +42,35 @@ def _words(text: np.ndarray) -> np.ndarray:
     return np.ndarray(len(text) - 7, "<u8", np.ascontiguousarray(text), strides=(1,))
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    """Rank of each key among the distinct keys."""
-    order = np.argsort(key)
-    ordered = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-    return out
+def suffix_order(text: np.ndarray, stop: np.ndarray, tint: np.ndarray, longest: int) -> np.ndarray:
+    """Ranks of the suffixes of ``text``, each up to its own end ``stop``, by prefix doubling: ends first, then by ``tint``.
 
-
-def suffix_order(text: np.ndarray, stop: np.ndarray, longest: int) -> np.ndarray:
-    """Dense ranks of the suffixes of ``text``, each up to its own end ``stop``, by prefix doubling."""
+    A rank is the number of suffixes in front; equal suffixes share it. Each round sorts only what is still tied,
+    little where a colour has few strings.
+    """
     n = len(stop)
     at = np.arange(n)
     left = stop - at  # symbols before the end
     key = np.where(left > 0, text[:n].astype(np.int64) + 1, 0)
     for width, bits in ((1, 9), (2, 18)):
-        further = np.where(left >= width, key[np.minimum(at + width, n - 1)], 0)
-        key = (key << bits) | further
-    further = np.where(left >= 4, key[np.minimum(at + 4, n - 1)], 0)
-    rank, width = _dense((key << 27) | (further >> 9)), 7
-    while width <= longest:
-        further = np.where(left >= width, rank[np.minimum(at + width, n - 1)] + 1, 0)
-        rank = _dense(rank * (n + 1) + further)
+        key = (key << bits) | np.where(left >= width, key[np.minimum(at + width, n - 1)], 0)
+    key = np.where(left > 0, ((tint + 1) << 36) | key, 0)
+    rank, tied, base, width = np.empty(n, np.int64), at, np.zeros(n, np.int64), 4
+    while True:
+        order = np.argsort(key)
+        key, tied, base = key[order], tied[order], base[order]
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (base[1:] == base[:-1])])
+        place = np.arange(len(key))
+        lead = np.maximum.accumulate(np.where(np.concatenate([[True], base[1:] != base[:-1]]), place, 0))
+        rank[tied] = base + np.maximum.accumulate(np.where(same, 0, place)) - lead
+        # a suffix within the width equals all that it is tied with
+        open_ = (same | np.concatenate([same[1:], [False]])) & (left[tied] >= width)
+        if width > longest or not open_.any():
+            return rank
+        tied = tied[open_]
+        base = rank[tied]
+        key = base * (n + 1) + rank[np.minimum(tied + width, n - 1)]
         width *= 2
-    return rank
 
 
 class RunIndex:
@@ -78,31 +82,32 @@ class RunIndex:
         self.start, self.stop = start, start + length
         stop = np.repeat(self.stop, length + 1)
         tint = np.repeat(colour.astype(np.int64), length + 1)
-        ended = np.arange(n) == stop
-        rank = suffix_order(self.text, stop, int(length.max(initial=0)))
-        # ends first, then by colour; equal suffixes in the order of their strings
-        order = np.argsort(np.where(ended, 0, tint + 1) * (n + 1) + rank, kind="stable")
+        rank = suffix_order(self.text, stop, tint, int(length.max(initial=0)))
+        order = np.argsort(rank * n + np.arange(n))  # equal suffixes in the order of their strings
         symbol = (tint << 8) + self.text[:n] + 1
         before = np.zeros(n, np.int64)
         before[1:] = symbol[:-1]
         before[start] = 0
         bwt = before[order]
-        self.symbols, run_symbol = np.unique(bwt, return_inverse=True)
         head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         tail = np.concatenate([head[1:], [n]]) - 1
         rows = np.ones(n, np.int64) if copies is None else np.repeat(copies.astype(np.int64), length + 1)[order]
         end = np.cumsum(rows)
         self.total = int(end[-1]) if n else 0
         self.first, self.last = end[head] - rows[head], end[tail] - 1
-        self.symbol = run_symbol[head]
         # rows before the runs of a symbol in first-column order, then runs of the same symbol
-        self.by_symbol = np.lexsort((self.first, self.symbol))
+        self.by_symbol = np.argsort(bwt[head] * len(head) + np.arange(len(head)))
+        ordered = bwt[head][self.by_symbol]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        self.symbols, self.symbol = ordered[fresh], np.empty(len(head), np.int64)
+        self.symbol[self.by_symbol] = np.cumsum(fresh) - 1
         sizes = (self.last - self.first + 1)[self.by_symbol]
         self.target = np.empty(len(self.first), np.int64)
         self.target[self.by_symbol] = np.cumsum(sizes) - sizes
+        self.target_run = np.searchsorted(self.first, self.target, "right") - 1
         # runs by (symbol, place), to find the nearest one of a symbol
         self.place_key = self.symbol[self.by_symbol] * (self.total + 1) + self.first[self.by_symbol]
-        self.edge = np.searchsorted(self.symbol[self.by_symbol], np.arange(len(self.symbols) + 1))
+        self.edge = np.concatenate([np.flatnonzero(fresh), [len(head)]])
         self.first_sample, self.last_sample = order[head], order[tail]
 
     def _common(self, sample: np.ndarray, words: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -134,7 +139,7 @@ class RunIndex:
         asked = (np.repeat(colour.astype(np.int64), length + 1) << 8) + text[: int((length + 1).sum())] + 1
         known = np.minimum(np.searchsorted(self.symbols, asked), len(self.symbols) - 1)
         asked = np.where(self.symbols[known] == asked, known, -1)
-        row, matched = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        row, row_run, matched = (np.zeros(len(first), np.int64) for _ in range(3))
         by_length = np.argsort(-length, kind="stable")
         enough = np.cumsum(np.bincount(length[by_length], minlength=int(length.max(initial=0)) + 1)[::-1])[::-1]
         out = np.zeros(len(first), bool)
@@ -145,7 +150,7 @@ class RunIndex:
             place = length[live] - step
             c = asked[start[live] + place]
             r, got = row[live], matched[live]
-            run = np.searchsorted(self.first, r, "right") - 1
+            run = row_run[live]
             off = np.flatnonzero(self.symbol[run] != c)
             if len(off):
                 none = c[off] < 0
@@ -171,8 +176,11 @@ class RunIndex:
                     run[lost] = 0
                     r[lost] = self.first[0]
             r = self.target[run] + r - self.first[run]
+            run = self.target_run[run]
+            beyond = np.flatnonzero(r > self.last[run])
+            run[beyond] = np.searchsorted(self.first, r[beyond], "right") - 1
             got = got + 1
-            row[live], matched[live] = r, got
+            row[live], row_run[live], matched[live] = r, run, got
             if span:
                 out[live[(place < span) & (place + got < span)]] = True
             yield live, place, got

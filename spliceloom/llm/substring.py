@@ -259,7 +259,7 @@ def mark_stretches(
     _, group = np.unique(group, return_inverse=True)
     top = np.zeros(int(group.max(initial=0)) + 1, np.int64)
     np.maximum.at(top, group, rank)
-    live = np.flatnonzero(top[group] > 0)
+    live = order[top[group[order]] > 0]  # strings of a colour side by side
     level = 0
     while len(live := live[(top[group[live]] >> level > 0) & ~whole[live]]):
         upper = rank[live] >> level & 1 == 1

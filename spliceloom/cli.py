@@ -1,4 +1,4 @@
-"""python -m spliceloom.cli index | merge | classify | tools chop | tools valtable"""
+"""python -m spliceloom.cli index | lookup | merge | classify | tools chop | tools valtable"""
 
 from __future__ import annotations
 
@@ -27,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("index")
     i.add_argument("gtf")
     i.add_argument("--out")
+    f = sub.add_parser("lookup", help="print the attributes of some transcripts of an indexed file")
+    f.add_argument("gtf")
+    f.add_argument("ids", nargs="+")
+    f.add_argument("--out")
     m = sub.add_parser("merge")
     m.add_argument("inputs", nargs="+")
     m.add_argument("--guide-tss")
@@ -40,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--cage")
     c.add_argument("--polya")
     _options(c, ClassifyOptions)
-    for x in (i, m, c):
+    for x in (i, f, m, c):
         x.add_argument("--fasta", required=True)
         x.add_argument("--skip-missing-ref-chr", action="store_true")
     t = sub.add_parser("tools").add_subparsers(dest="tool", required=True)
@@ -64,6 +68,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = session.build(a.master)
     if a.command == "index":
         commands.index(spark, a.gtf, a.fasta, out=a.out, skip_missing=a.skip_missing_ref_chr)
+    elif a.command == "lookup":
+        lines = commands.index(spark, a.gtf, a.fasta, out=a.out, skip_missing=a.skip_missing_ref_chr)[1]
+        for r in commands.lookup(lines, a.ids).orderBy("tx_id").toLocalIterator():
+            print(r.tx_id, r.attrs, sep="\t")
     elif a.command == "merge":
         print(commands.merge_files(spark, a.inputs, a.fasta, a.prefix, _picked(a, MergeOptions), guide_tss=a.guide_tss, guide_tes=a.guide_tes, alias=a.chrmap, skip_missing=a.skip_missing_ref_chr, parts=a.parts, index_dir=a.index_dir))
     elif a.command == "classify":

@@ -19,7 +19,7 @@ from spliceloom.operators import assemble, classify, context, merge
 from spliceloom.sources import bed, fasta, files, gtf
 from spliceloom.tools import attributes as X
 
-PROGRAM, VERSION, INDEX_VERSION, SCHEMA_VERSION = "spliceloom", "0.1", 3, "1"
+PROGRAM, VERSION, INDEX_VERSION, SCHEMA_VERSION = "spliceloom", "0.1", 4, "1"
 #: Columns of the outputs, in order (fixed formats).
 TRACK = (
     "merged_tx_id", "merged_gene_id", "merged_start", "merged_end", "merged_strand", "merged_exon_num", "junction_policy", "tss_policy", "tes_policy", "src_tx_count_in_merged_group",
@@ -68,7 +68,7 @@ def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | Non
         tx = assemble.with_sites(tx, fasta.intron_sites(tx, fasta.chunks(spark, fasta_path)))
         tx = with_order(tx)
         tx.repartition("chrom").sortWithinPartitions("chrom", "gidx").write.mode("overwrite").partitionBy("chrom").parquet(f"{out}/transcripts")
-        gtf.transcript_lines(rows).write.mode("overwrite").parquet(f"{out}/lines")
+        write_lines(gtf.transcript_lines(rows), f"{out}/lines")
         stats = assemble.index_stats(spark.read.parquet(f"{out}/transcripts")).first().asDict()
         stats |= {"skipped_transcript_cnt": sum(r.n for r in gone), "skipped_gene_cnt": sum(r.g for r in gone), "missing_seqids": [r.chrom for r in gone]}
         files.write_text(spark, f"{out}.info.json", json.dumps(stats, indent=2, sort_keys=True))
@@ -77,6 +77,36 @@ def index(spark: SparkSession, gtf_path: str, fasta_path: str, *, out: str | Non
     return tx.withColumn("chrom", F.col("chrom").cast("string")), spark.read.parquet(f"{out}/lines")
 
 
+#: Rows of a row group of the lines, and ids that are asked for as a filter; more are joined.
+GROUP_ROWS, ASKED = 2000, 1000
+
+
+def write_lines(lines: DataFrame, path: str, *, group_rows: int = GROUP_ROWS) -> None:
+    """Transcript lines for lookups: sorted by ``tx_id`` over all files, in small row groups with a Bloom filter each.
+
+    The order lets the bounds of row groups rule nearly all of them out, the filters rule out ids that are absent.
+    """
+    options = {"parquet.block.row.count.limit": group_rows, "parquet.bloom.filter.enabled#tx_id": "true", "parquet.bloom.filter.expected.ndv#tx_id": group_rows}
+    lines.repartitionByRange("tx_id").sortWithinPartitions("tx_id").write.mode("overwrite").options(**options).parquet(path)
+
+
+def lookup(lines: DataFrame, tx_ids: Sequence[str]) -> DataFrame:
+    """The lines of the given ids; ids that are absent give none, repeated ones count once, null ones never.
+
+    Up to ASKED ids are equalities that reach the row groups; more are a semi-join.
+    """
+    ids = sorted({i for i in tx_ids if i is not None})
+    if not ids:
+        return lines.filter(F.lit(False))
+    if len(ids) > ASKED:
+        return lines.join(lines.sparkSession.createDataFrame([(i,) for i in ids], "tx_id string"), "tx_id", "left_semi").select(*lines.columns)
+    # equalities: a long list of values would reach the files as its two bounds only
+    terms = [F.col("tx_id") == i for i in ids]
+    while len(terms) > 1:  # a shallow tree
+        terms = [a | b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
+    return lines.filter(terms[0])
+
+
 def with_order(tx: DataFrame, step: int = 1 << 20) -> DataFrame:
     """Adds ``gidx``: the place of a transcript in the order of its file, from 0."""
     c = F.col

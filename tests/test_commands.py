@@ -11,6 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from spliceloom import cli
 from spliceloom.operators.classify import ClassifyOptions
 from spliceloom.plans import commands
 from spliceloom.sources import bed, fasta, files, gtf
@@ -346,6 +347,39 @@ def test_index_stores_the_order_of_a_file(spark, toy):
     assert [r.tx_id for r in sorted(got)] == ["p4", "p1", "p2", "p3"] and sorted(r.gidx for r in got) == [0, 1, 2, 3]
 
 
+def rows_read(df):
+    """(rows, rows that the scan handed on)."""
+    rows = df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return rows, scan.metrics().get("numOutputRows").get().value()
+
+
+def test_lookup_reads_the_row_groups_of_its_ids(spark, tmp_path, monkeypatch):
+    n, group = 40_000, 10
+    lines = spark.range(n).select(F.lit(0).alias("source_file_id"), F.concat(F.lit("T"), F.lpad(F.col("id") * 2, 9, "0")).alias("tx_id"), F.lit("g").alias("gene_name"), F.md5(F.col("id").cast("string")).alias("attrs"), F.lit(1).alias("lines"))
+    path = str(tmp_path / "lines")
+    commands.write_lines(lines.orderBy("attrs"), path, group_rows=group)
+    stored, own = spark.read.parquet(path), random.Random(3)
+    ids = [f"T{2 * k:09d}" for k in own.sample(range(n), 100)]
+    got, read_ = rows_read(commands.lookup(stored, [*ids, ids[0], None, "T000000001", "other"]))
+    assert sorted(r.tx_id for r in got) == sorted(ids) and read_ <= 0.05 * n
+    # ids between two that are there: bounds hold them, Bloom filters don't
+    got, read_ = rows_read(commands.lookup(stored, [f"T{2 * k + 1:09d}" for k in own.sample(range(n - 1), 100)]))
+    assert not got and read_ <= 10 * group
+    assert rows_read(commands.lookup(stored, ids[:1]))[1] == group
+    assert commands.lookup(stored, []).count() == commands.lookup(stored, [None]).count() == 0
+    monkeypatch.setattr(commands, "ASKED", 50)
+    joined = commands.lookup(stored, ids)
+    assert joined.columns == stored.columns and sorted(r.tx_id for r in joined.collect()) == sorted(ids)
+
+
+def test_lookup_of_an_indexed_file(spark, toy, capsys):
+    lines = commands.index(spark, str(toy / "ref.gtf"), str(toy / "g.fa"))[1]
+    assert [(r.tx_id, r.gene_name) for r in commands.lookup(lines, ["R1", "R9"]).collect()] == [("R1", "Alpha")]
+    cli.main(["lookup", str(toy / "ref.gtf"), "R3", "R2", "--fasta", str(toy / "g.fa")])
+    assert [x.split("\t")[0] for x in capsys.readouterr().out.splitlines()] == ["R2", "R3"]
+
+
 def block_gzip(data, size):
     """Members of at most ``size`` bytes each that tell their own length, and the empty one at the end."""
     out = b""

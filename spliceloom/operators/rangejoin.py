@@ -3,6 +3,9 @@
 Both sides are exploded to the bins they touch; a pair is kept in the first bin that both touch,
 so nothing is counted twice and no distinct is needed. Spans of more than ``wide`` bins are put
 into one coarser level of bins, so a long span costs few rows as well.
+
+Where few loci may hold most of the left side, bins with more than ``hot`` of its rows are dealt out:
+such a row goes to one of several deals by its hash, right rows of the bin go to each.
 """
 
 from __future__ import annotations
@@ -18,7 +21,25 @@ def _binned(df: DataFrame, lo: Column, hi: Column, size: int, tag: str) -> DataF
     return df.withColumn(f"_{tag}0", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, F.floor(hi / size)))))
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_span: tuple[str, str], right_span: tuple[str, str], condition: Column, *, bin_size: int = BIN) -> DataFrame:
+def dealt(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides, by _bin_l and _bin_r, with the deal of each row: _deal_l and _deal_r, 0 in bins of up to ``hot`` left rows."""
+    names = [f"_h{i}" for i in range(len(keys))]
+    by = [*(F.col(k).alias(n) for (k, _), n in zip(keys, names, strict=True)), F.col("_bin_l").alias("_hb")]
+    crowded = left.groupBy(*by).agg(F.ceil(F.count("*") / hot).cast("int").alias("_deals")).filter("_deals > 1")  # at most one row for ``hot`` rows
+
+    def told(side: DataFrame, tag: str, cols: list[str]) -> DataFrame:
+        on = F.col(f"_bin_{tag}") == F.col("_hb")
+        for k, n in zip(cols, names, strict=True):
+            on = on & (F.col(k) == F.col(n))
+        return side.join(crowded, on, "left").withColumn("_deals", F.coalesce("_deals", F.lit(1))).drop(*names, "_hb")
+
+    plain = [c for c, kind in left.dtypes if not kind.startswith(("array", "map", "struct"))]
+    lefts = told(left, "l", [k for k, _ in keys]).withColumn("_deal_l", F.pmod(F.xxhash64(*plain), F.col("_deals")).cast("int"))
+    rights = told(right, "r", [k for _, k in keys]).withColumn("_deal_r", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)))
+    return lefts.drop("_deals"), rights.drop("_deals")
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_span: tuple[str, str], right_span: tuple[str, str], condition: Column, *, bin_size: int = BIN, hot: int | None = None) -> DataFrame:
     """Rows whose closed spans share a point and that fulfil ``condition``.
 
     ``keys``: pairs of equal columns. Column names of the two sides must differ. ``condition`` may
@@ -39,7 +60,11 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], l
     def joined(lefts: DataFrame, rights: DataFrame, size: int) -> DataFrame:
         x = _binned(lefts, F.col(a), F.col(b), size, "l").withColumnRenamed("_bin", "_bin_l")
         y = _binned(rights, F.col(c), F.col(d), size, "r").withColumnRenamed("_bin", "_bin_r")
-        return x.join(y, (F.col("_bin_l") == F.col("_bin_r")) & once & on).drop("_bin_l", "_bin_r", "_l0", "_r0")
+        here = F.col("_bin_l") == F.col("_bin_r")
+        if hot:
+            x, y = dealt(x, y, keys, hot)
+            here = here & (F.col("_deal_l") == F.col("_deal_r"))
+        return x.join(y, here & once & on).drop("_bin_l", "_bin_r", "_l0", "_r0", "_deal_l", "_deal_r")
 
     short = joined(level(left, a, b, False), level(right, c, d, False), bin_size)
     coarse = bin_size * COARSE

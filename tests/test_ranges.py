@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.operators import anchors, islands, merge, prefixmax
+from spliceloom.operators import anchors, islands, merge, prefixmax, rangejoin
 from spliceloom.tools import attributes
 
 rng = random.Random(5)
@@ -153,3 +153,20 @@ def test_a_dense_bin_costs_its_places(spark):
     assert got.agg(F.count("*"), F.countDistinct("island"), F.max("island")).first()[:] == (2_000_000, 1, 0)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and all("Aggregate" in below for below in plan.split("Window")[1:])
+
+
+def test_a_hot_locus_is_dealt_out(spark):
+    own = random.Random(19)
+    span = lambda a, n: (a, a + own.randrange(n))
+    left = [(i, "a", *span(5000 + own.randrange(300), 90)) for i in range(4000)] + [(i, own.choice(["a", "b", None]), *span(own.randrange(90_000), 2500)) for i in range(4000, 5000)]
+    right = [(i, own.choice("ab"), *span(5000 + own.randrange(300), 40)) for i in range(30)] + [(i, own.choice("ab"), *span(own.randrange(90_000), 60_000)) for i in range(30, 60)]
+    x, y = spark.createDataFrame(left, "i int, k string, s int, e int"), spark.createDataFrame(right, "j int, q string, l int, r int")
+    on = (F.col("s") <= F.col("r")) & (F.col("l") <= F.col("e"))
+    got = [sorted(map(tuple, rangejoin.range_join(x, y, [("k", "q")], ("s", "e"), ("l", "r"), on, bin_size=500, hot=hot).select("i", "j").collect())) for hot in (None, 200, 1)]
+    want = sorted((i, j) for i, k, s, e in left for j, q, l, r in right if k == q and s <= r and l <= e)
+    assert got[0] == got[1] == got[2] == want
+    lefts, rights = rangejoin.dealt(x.withColumn("_bin_l", F.floor(F.col("s") / 500)), y.withColumn("_bin_r", F.floor(F.col("l") / 500)), [("k", "q")], 200)
+    sizes = [r["count"] for r in lefts.groupBy("k", "_bin_l", "_deal_l").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 300  # 4000 rows in one bin
+    assert rights.filter("_deal_r > 0").select("q", "_bin_r").distinct().count() == 1
+    assert sorted(r.j for r in rights.filter("_deal_r = 0").select("j").collect()) == list(range(60))

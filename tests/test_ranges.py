@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spliceloom.operators import anchors, islands, merge, prefixmax, rangejoin
+from spliceloom.operators import anchors, context, islands, merge, prefixmax, rangejoin
 from spliceloom.tools import attributes
 
 rng = random.Random(5)
@@ -170,3 +170,15 @@ def test_a_hot_locus_is_dealt_out(spark):
     assert sum(sizes) == 5000 and max(sizes) <= 300  # 4000 rows in one bin
     assert rights.filter("_deal_r > 0").select("q", "_bin_r").distinct().count() == 1
     assert sorted(r.j for r in rights.filter("_deal_r = 0").select("j").collect()) == list(range(60))
+
+
+@pytest.mark.parametrize("ask", [context.cage_peaks, context.polya_peaks])
+def test_peaks_are_asked_once_an_end(spark, ask):
+    """300 transcripts of one span and 300 peaks of one span make one pair, not 90,000; results are those of each alone."""
+    tx = spark.range(300).select(F.lit(1).alias("source_file_id"), F.concat(F.lit("t"), "id").alias("tx_id"), F.lit("c").alias("chrom"), F.lit("+").alias("strand"), F.lit(1000).alias("start"), F.lit(1000).alias("end"))
+    peaks = spark.range(300).select(F.lit("c").alias("chrom"), F.lit("+").alias("strand"), F.lit(991).alias("start"), F.lit(995).alias("end"))
+    got = ask(tx, peaks, 100)
+    want = ask(tx.limit(1), peaks.limit(1), 100).select(*got.columns[-2:]).collect()
+    assert got.count() == 300 and [tuple(r) for r in got.select(*got.columns[-2:]).distinct().collect()] == [tuple(r) for r in want] and want[0][1] is not None
+    end = F.col("start")
+    assert context._near(tx, peaks, end, F.col("at"), 100).count() == 1

@@ -6,7 +6,9 @@ orders; rare shifts of two or three bases give fuzzy chains. File 0 plays the re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spliceloom.functions import transcript as T
@@ -50,8 +52,12 @@ def exons(spark: SparkSession, sf_dir: str, loci: int = LOCI, retained: bool = F
     """Exon rows in the shape that a GTF scan gives; ``retained``: some orders keep introns inside exons."""
     sql = RETAINED.replace("{exons}", EXONS) if retained else EXONS
     rows = spark.sql(sql.replace("{loci}", str(loci)), lineitem=table(spark, sf_dir, "lineitem"))
-    genes = rows.groupBy("tx_id").agg(F.expr(GENE).alias("gene_id"))
-    return rows.join(genes, "tx_id").withColumn("line_no", F.col("slot").cast("long"))
+    # a gene is told of all exons of a transcript, which stay together for the grouping that follows
+    whole = Window.partitionBy("tx_id")
+    gene = re.sub(r"(min|max)\((\w+)\)", r"_\1_\2", GENE)
+    ends = {"_min_locus": F.min("locus"), "_max_slot": F.max("slot"), "_min_slot": F.min("slot")}
+    told = rows.select("*", *(e.over(whole).alias(n) for n, e in ends.items())).withColumn("gene_id", F.expr(gene))
+    return told.drop(*ends).withColumn("line_no", F.col("slot").cast("long"))
 
 
 def motif(l, r):

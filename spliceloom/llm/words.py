@@ -28,10 +28,14 @@ SLICE_BYTES, FEW_BYTES, FEWEST_BYTES = 6 << 20, 3 << 20, 3 << 19
 JOINED, MARK = 500, "\x01"
 #: Words of Latin letters, which no step before the model cuts or composes.
 PLAIN = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: Such a word, without the letter whose lower case ends with a mark, and signs: the first sign opens a piece of its own.
+TAILED = re.compile(" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+" + r"[!-&(-/:-@\[-`{-~]+")
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from U+0100.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 SPACE = BYTES[0x20]
+#: The bytes of plain words and spaces that are written otherwise.
+_OTHERWISE = [(chr(b), c) for b, c in BYTES.items() if b == 0x20 or b >= 0x7F]
 
 
 def give_back() -> None:
@@ -42,11 +46,14 @@ def give_back() -> None:
 
 
 class UnitStore:
-    """Distinct units and their ids in one flat array."""
+    """Distinct units and their ids in one flat array.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = UNITS):
-        """``encode`` gives (ids of all units one after another, ids per unit)."""
-        self.encode, self.limit = encode, limit
+    A full store starts anew with the units that were asked for again since it last did so.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = UNITS, signs: bool = False):
+        """``encode`` gives (ids of all units one after another, ids per unit); ``signs``: it cuts before signs behind a plain word."""
+        self.encode, self.limit, self.signs = encode, limit, signs
         self.clear()
 
     _last: UnitStore | None = None
@@ -70,12 +77,24 @@ class UnitStore:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
         self.used = 0
 
+    def _renew(self) -> None:
+        """Only units that were asked for again stay, none if they are over half of a full store."""
+        again = self.again[: len(self.index)]
+        if (k := int(again.sum())) == 0 or 2 * k > self.limit:
+            return self.clear()
+        units = list(itertools.compress(self.index, again.tolist()))
+        ids, n = self.gather(np.flatnonzero(again))
+        self.clear()
+        self._add(units, ids, n)
+
     def _add(self, units: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         k = len(self.index)
         while k + len(units) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -87,24 +106,28 @@ class UnitStore:
         """Row numbers of the units, new ones encoded. Valid until the next call."""
         self.activate()
         if len(self.index) > self.limit:
-            self.clear()
+            self._renew()
         index = self.index
         out = np.fromiter(map(index.get, units, itertools.repeat(-1)), np.int64, len(units))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            missing = list(dict.fromkeys(itertools.compress(units, (out < 0).tolist())))
-            # a last comma or stop behind a letter is a piece of its own
-            tailed = [u for u in missing if u.endswith((",", ".")) and u[-2:-1].isalpha() and (u[-2].isascii() or unicodedata.normalize("NFC", u[-2]).lower()[-1:].isalpha())]
-            apart = set(tailed)
-            need = dict.fromkeys([u for u in missing if u not in apart] if apart else missing)
-            need |= dict.fromkeys([u[:-1] for u in tailed]) | dict.fromkeys([u[-1] for u in tailed])
+        new = out < 0
+        self.again[out[~new]] = True
+        if new.any():
+            unknown = list(itertools.compress(units, new.tolist()))
+            missing = list(dict.fromkeys(unknown))
+            # a last comma or stop behind a letter is a piece of its own, as are signs behind a plain word
+            tails = {u: len(u) - 1 for u in missing if u.endswith((",", ".")) and u[-2:-1].isalpha() and (u[-2].isascii() or unicodedata.normalize("NFC", u[-2]).lower()[-1:].isalpha())}
+            if self.signs:
+                word, signs = PLAIN.match, TAILED.fullmatch
+                tails |= {u: word(u).end() for u in missing if u not in tails and signs(u)}
+            need = dict.fromkeys([u for u in missing if u not in tails] if tails else missing)
+            need |= dict.fromkeys([u[:k] for u, k in tails.items()]) | dict.fromkeys([u[k:] for u, k in tails.items()])
             need = [u for u in need if u not in index]
             self._add(need, *self.encode(need))
-            if tailed:
-                pairs = np.array([(index[u[:-1]], index[u[-1]]) for u in tailed], np.int64).ravel()
+            if tails:
+                pairs = np.array([(index[u[:k]], index[u[k:]]) for u, k in tails.items()], np.int64).ravel()
                 ids, n = self.gather(pairs)
-                self._add(tailed, ids, n[::2] + n[1::2])
-            out[new] = [index[units[i]] for i in new.tolist()]
+                self._add(list(tails), ids, n[::2] + n[1::2])
+            out[new] = np.fromiter(map(index.__getitem__, unknown), np.int64, len(unknown))
         return out
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +152,7 @@ def split_spaces(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(code of every part between spaces, distinct parts, number of parts of each text)."""
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), np.diff(lists.offsets.to_numpy())
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.diff(lists.offsets.to_numpy())
 
 
 def _sum_by(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -161,7 +184,7 @@ class TextEncoder:
             self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         else:
             self.mark = self._one_by_one([MARK])[0]
-        self.store = UnitStore(self._units, UNITS if keeps_spaces else FEW_UNITS)
+        self.store = UnitStore(self._units, UNITS if keeps_spaces else FEW_UNITS, signs=True)
 
     def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat_lists([e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)])
@@ -169,8 +192,10 @@ class TextEncoder:
     def _words(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of plain letters, with or without a space before: one piece each, so the model alone is asked."""
         tokens = self.model.tokenize
-        written = [u.replace(" ", SPACE) if u.isascii() else u.encode().decode("latin-1").translate(BYTES) for u in units]
-        return flat_lists([[t.id for t in tokens(w)] for w in written])
+        written = "\n".join(units).encode().decode("latin-1")
+        for shown, c in _OTHERWISE:
+            written = written.replace(shown, c)
+        return flat_lists([[t.id for t in tokens(w)] for w in written.split("\n")])
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units: words of plain letters by the model, others with their surroundings."""

@@ -964,3 +964,48 @@ def test_mixed_documents_take_rows_without_an_id(spark):
     assert sum(len((r.text or "").split()) for r in out) == taken
     by = {(r.source, len(r.text.split()), r.doc_id): 0 for r in out}
     assert {s for s, _, i in by if i is None} == {"s1", "s2", None} and mixing.mixed_documents(d).columns == d.columns
+
+
+def test_full_store_keeps_units_asked_for_again():
+    from spliceloom.llm.words import UnitStore
+
+    encoded = []
+
+    def encode(units):
+        encoded.extend(units)
+        return np.array([ord(c) for u in units for c in u], np.uint32), np.array([len(u) for u in units])
+
+    store = UnitStore(encode, 100)
+    common = [f"common{i}" for i in range(20)]
+    for k in range(40):
+        units = common + [f"rare{k}x{i}" for i in range(30)]
+        ids, n = store.gather(store.rows(units))
+        assert "".join(map(chr, ids)) == "".join(units) and n.tolist() == [len(u) for u in units]
+        assert len(store.index) <= 150
+    assert sorted(u for u in encoded if u in common) == sorted(common)  # once each
+    hot = UnitStore(encode, 100)
+    for k in range(6):  # units of which over half a store come again
+        units = [f"{k // 3}u{i}" for i in range(120)]
+        assert "".join(map(chr, hot.gather(hot.rows(units))[0])) == "".join(units) and len(hot.index) <= 240
+
+
+@pytest.mark.parametrize(("name", "keeps_spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_signs_behind_words_are_units_of_their_own(name, keeps_spaces):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from spliceloom.llm.words import TextEncoder
+
+    own = random.Random(5)
+    signs, letters = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'", ["abc", "Don", "É", "ß", "été", "ŒUVRE", "İ", "ǅ", "Σας", "日本", "é", "x1", "'s", ""]
+    word = lambda: "".join(own.choice(letters) for _ in range(own.randint(1, 3))) + "".join(own.choice(signs) for _ in range(own.randint(0, 4))) + own.choice(["", "", "'s", "̸", "s"])
+    texts = [own.choice(["", "\n"]).join(" " + word() if own.random() < 0.8 else word() for _ in range(40)) for _ in range(200)]
+    texts += [f"{w}{s}" for w in letters for s in signs] + [f"see {w}{s}{s} " for w in letters for s in signs]
+    e, whole = TextEncoder(public_tokenizers.path(name), keeps_spaces), Tokenizer.from_file(public_tokenizers.path(name))
+    asked = []
+    encode = e.store.encode
+    e.store.encode = lambda units: asked.extend(units) or encode(units)
+    ids, n = e.encode(pa.array(texts))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert not any(u.strip(" ") in ("abc&&", "abc%%") for u in asked)  # the word and its signs are asked for

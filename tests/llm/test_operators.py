@@ -1009,3 +1009,20 @@ def test_signs_behind_words_are_units_of_their_own(name, keeps_spaces):
     ids, n = e.encode(pa.array(texts))
     assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
     assert not any(u.strip(" ") in ("abc&&", "abc%%") for u in asked)  # the word and its signs are asked for
+
+
+def test_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    from spliceloom.llm import neardup
+
+    own = random.Random(31)
+    rows = [(i, " ".join(own.choice("abcdef") for _ in range(own.randint(0, 60)))) for i in range(400)]
+    exact = Counter(h for _, t in rows for h in neardup.shingles(t).tolist())
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for counted, hashes_at_once in ((20_000, 1 << 20), (0, 100)):  # one bucket, many
+        monkeypatch.setattr(neardup, "COUNT_ALL", counted)
+        monkeypatch.setattr(neardup, "COUNT_STEP", hashes_at_once)
+        h, n = neardup._common_shingles(texts, len(rows), 10_000, neardup.SHINGLE)
+        assert (np.diff(h.astype(object)) > 0).all() and dict(zip(h.tolist(), n.tolist(), strict=True)) == {k: v for k, v in exact.items() if v > 1}
+    monkeypatch.setattr(neardup, "COMMON", 1)  # never more than that many, the most frequent ones
+    h, n = neardup._common_shingles(texts, len(rows), 10_000, neardup.SHINGLE)
+    assert len(h) <= 1 and all(v == max(exact.values()) for v in n)

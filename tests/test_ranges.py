@@ -182,3 +182,25 @@ def test_peaks_are_asked_once_an_end(spark, ask):
     assert got.count() == 300 and [tuple(r) for r in got.select(*got.columns[-2:]).distinct().collect()] == [tuple(r) for r in want] and want[0][1] is not None
     end = F.col("start")
     assert context._near(tx, peaks, end, F.col("at"), 100).count() == 1
+
+
+@pytest.mark.parametrize("side", [5, 10_000])
+def test_tiles_of_a_join_make_every_pair_once(spark, side):
+    far = lambda i: 2_500_000 if i % 40 == 0 else 400
+    made = lambda n: [(i, rng.choice("ab"), s := rng.randrange(3000) + (2_000_000 if i % 9 == 0 else 0), s + rng.randrange(far(i)), 1 + i % 3) for i in range(n)]
+    left, right = made(200), made(150)
+    x, y = spark.createDataFrame(left, "i long, k string, s int, e int, w int"), spark.createDataFrame(right, "j long, q string, l int, r int, v int")
+    on = (F.col("s") < F.col("r")) & (F.col("l") < F.col("e"))
+    got = rangejoin.tiled_join(x, y, [("k", "q")], ("s", "e"), ("l", "r"), on, ("i", "j"), (F.col("w"), F.col("v")), side=side)
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    assert sorted((r.i, r.j) for r in got.select("i", "j").collect()) == want
+    assert got.columns == [*x.columns, *y.columns]
+
+
+def test_a_hot_bin_of_a_tiled_join_is_many_small_groups(spark):
+    """300 rows a side under one key: no group of the join holds more than a few of either side."""
+    x = spark.range(300).select(F.col("id").alias("i"), F.lit("a").alias("k"), F.lit(1).alias("s"), F.lit(9).alias("e"))
+    y = x.select(F.col("i").alias("j"), F.col("k").alias("q"), F.col("s").alias("l"), F.col("e").alias("r"))
+    got = rangejoin.tiled_join(x, y, [("k", "q")], ("s", "e"), ("l", "r"), F.lit(True), ("i", "j"), (F.lit(1), F.lit(1)), side=30, pairs=900)
+    at = got.select("i", "j", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in at) == 90_000 and len(at) > 20 and max(r["count"] for r in at) < 15_000

@@ -1026,3 +1026,27 @@ def test_shingles_are_counted_over_all_texts(spark, monkeypatch):
     monkeypatch.setattr(neardup, "COMMON", 1)  # never more than that many, the most frequent ones
     h, n = neardup._common_shingles(texts, len(rows), 10_000, neardup.SHINGLE)
     assert len(h) <= 1 and all(v == max(exact.values()) for v in n)
+
+
+def test_common_shingles_do_not_reach_the_driver(spark, monkeypatch):
+    import pickle
+
+    from spliceloom.llm import neardup
+
+    own = random.Random(37)
+    base = [[f"w{own.randint(0, 9999)}" for _ in range(60)] for _ in range(40)]
+    rows = [(2 * i + k, " ".join(w + ["tail"] * k)) for i, w in enumerate(base) for k in range(2)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    reached, frame = [], type(texts)
+    for name in ("collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(frame, name, lambda self, take=getattr(frame, name): (out := take(self), reached.append(len(out)))[0])
+    common = neardup._common_shingles(texts, len(rows), 10_000, neardup.SHINGLE)
+    assert max(reached) < 10 and len(pickle.dumps(common)) < 1000
+    for most_a_file in (100, 1 << 17):  # many files, one
+        monkeypatch.setattr(neardup, "COMMON_FILE", most_a_file)
+        h, n = neardup._common_shingles(texts, len(rows), 10_000, neardup.SHINGLE)
+        assert len(h) > 2000 and (np.diff(h.astype(object)) > 0).all() and set(n.tolist()) == {2}
+    groups = neardup.near_duplicate_groups(texts)
+    assert max(reached) < 10
+    monkeypatch.undo()
+    assert {r.doc_id: r.component_id for r in groups.collect()} == {i: i // 2 * 2 for i, _ in rows}
